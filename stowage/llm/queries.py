@@ -1,16 +1,34 @@
 """The queries of this subpackage and their SQL, for __spark_entry__.py."""
 
-from . import chat_format, line_dedup, mixing, url_filter
+from . import (
+    chat_format,
+    decontaminate,
+    embedding_dedup,
+    html_extract,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dedup,
+    pii,
+    url_filter,
+)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_html_extract": html_extract.op3_html_extract,
+    "op4_language_id": language_id.op4_language_id,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_pii": pii.op10_pii,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_chat_format": chat_format.OP2_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
 }
