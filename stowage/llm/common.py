@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -56,3 +57,13 @@ def join_hot(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame,
     few = F.broadcast(hot)
     hot_side = big.join(few, keys, "left_semi").join(F.broadcast(small.join(few, keys, "left_semi")), keys, how)
     return big.join(few, keys, "left_anti").join(small.join(few, keys, "left_anti"), keys, how).unionByName(hot_side)
+
+
+def python_side(spark: SparkSession, rows: int = 500) -> None:
+    """Before mapInArrow: batches of at most `rows` rows (texts may be long, and a batch is held whole), and this package
+    on the workers' path, wherever the driver was started."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .language_id import small_batches
+from .common import python_side
 from .shingles import mix
 
 EDITS, SEED, ROUNDS, BITS = 0.2, 3, 24, 3
@@ -204,7 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     (highest 1 - edits / words of a match; null without one).  Null, empty and wordless texts match nothing, nor do such
     items; items with a null id are left out; repeated rows repeat; an empty benchmark finds nothing.  Items are held
     ITEMS at a time, so what a task holds has a bound; a larger benchmark takes more passes over docs."""
-    small_batches(docs.sparkSession)
+    python_side(docs.sparkSession)
     total = benchmark.where(F.col(item_col).isNotNull() & (F.length(F.trim(item_text)) > 0))
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     parts = max(1, -(-total.count() // ITEMS))

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import python_side
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 #: Elements by how they are read (fixed by HTML).
@@ -421,7 +423,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     whole pages are read; broken markup is read as far as it goes; repeated rows repeat; other columns are not looked
     at; no rows give no rows."""
     spark = pages.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")  # pages may be long
+    python_side(spark, 200)
     model = spark.sparkContext.broadcast(trained())
 
     def run(batches):

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import python_side
+
 #: Bounds of the labelled sample, for each language: rows collected, and characters that its automaton is built from.
 SAMPLE_ROWS, TRAIN_CHARS = 64, 16_000
 CLASSES, PAD, OTHER, BLOCK = 64, 63, 61, 256
@@ -200,12 +202,8 @@ def held_out() -> Column:
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    python_side(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
-
-def small_batches(spark) -> None:
-    """Arrow batches of at most 500 rows: texts may be long, and a batch is held whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")

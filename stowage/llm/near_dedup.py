@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hot_keys, join_hot, n_parts, written
+from .common import NO_ID, hot_keys, join_hot, n_parts, python_side, written
 from .graph import connected_components, stars
-from .language_id import small_batches
 from .shingles import mix, shingle_sets
 
 TREES, LEVELS, NODE, SKETCH, GROUP = 12, 4, 64, 64, 256
@@ -285,7 +284,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fewer than five words are one shingle; null, empty and blank texts have none and link with nothing.  A null id is
     -2^63 in component_id; rows that share an id are one vertex of the graph.  No rows give no rows."""
     spark = docs.sparkSession
-    small_batches(spark)
+    python_side(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     two = docs.select(key.alias("id"), F.col(text_col).alias("body"))
     rows = written(two.mapInArrow(lambda b: _describe(b, trees), "id long, n long, d1 long, d2 long, tokens binary, sketch binary"), "sets")

@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .language_id import small_batches
+from .common import python_side
+
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -312,5 +313,5 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    python_side(spark)
     return pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
