@@ -198,21 +198,27 @@ def find(texts: pa.Array, items: Items) -> list[dict[int, int]]:
     return out
 
 
+def _item_blocks(benchmark: DataFrame, item_col: str, item_text: str):
+    """The benchmark as broadcasts of Items, at most about ITEMS items each, one after the other."""
+    sc = benchmark.sparkSession.sparkContext
+    items = benchmark.where(F.col(item_col).isNotNull() & (F.length(F.trim(item_text)) > 0)).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t"))
+    parts = max(1, -(-items.count() // ITEMS))
+    for p in range(parts):
+        rows = sorted(map(tuple, items.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p).collect()))
+        yield sc.broadcast(Items.of([r[0] for r in rows], [r[1] for r in rows]))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each row of docs: id, contaminated, n_matches (items found), items (their ids, ascending), best
     (highest 1 - edits / words of a match; null without one).  Null, empty and wordless texts match nothing, nor do such
-    items; items with a null id are left out; repeated rows repeat; an empty benchmark finds nothing.  Items are held
-    ITEMS at a time, so what a task holds has a bound; a larger benchmark takes more passes over docs."""
+    items; items with a null id are left out; repeated rows repeat (of a benchmark with over ITEMS items, rows with one
+    id give one row); an empty benchmark finds nothing.  Items are held ITEMS at a time, so what a task holds has a
+    bound; a larger benchmark takes more passes over docs."""
     python_side(docs.sparkSession)
-    total = benchmark.where(F.col(item_col).isNotNull() & (F.length(F.trim(item_text)) > 0))
     two = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    parts = max(1, -(-total.count() // ITEMS))
-    out = None
-    for p in range(parts):
-        some = total.where(F.pmod(F.xxhash64(item_col), F.lit(parts)) == p) if parts > 1 else total
-        rows = sorted((r[0], r[1]) for r in some.select(F.col(item_col).cast("long"), item_text).collect())
-        items = docs.sparkSession.sparkContext.broadcast(Items.of([r[0] for r in rows], [r[1] for r in rows]))
+    passes = []
+    for items in _item_blocks(benchmark, item_col, item_text):
 
         def run(batches, items=items):
             for batch in batches:
@@ -224,15 +230,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                      pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())],
                     names=["doc_id", "contaminated", "n_matches", "items", "best"])
 
-        one = two.mapInArrow(run, SCHEMA)
-        out = one if out is None else out.unionByName(one)
-    if parts > 1:
+        passes.append(two.mapInArrow(run, SCHEMA))
+    out = passes[0]
+    for more in passes[1:]:
+        out = out.unionByName(more)
+    if len(passes) > 1:
         out = out.groupBy("doc_id").agg(
             F.max("contaminated").alias("contaminated"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.max("best").alias("best")).select("doc_id", "contaminated", F.size("items").cast("long").alias("n_matches"), "items", "best")
     return out.withColumnRenamed("doc_id", id_col)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, that hold no benchmark item.  No shuffle, whatever the size."""
+    python_side(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    for items in _item_blocks(benchmark, item_col, item_text):
+
+        def run(batches, items=items):
+            for batch in batches:
+                yield batch.filter(pa.array([not g for g in find(batch.column(at), items.value)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

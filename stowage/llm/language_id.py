@@ -197,6 +197,19 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language (not und)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            langs, _ = shared.value.predict(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
