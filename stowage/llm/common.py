@@ -24,12 +24,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, tag: str = "t") -> DataFrame:
+def written(df: DataFrame, tag: str = "t", tasks: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: the lineage ends there, and a lost executor costs
-    only the tasks that it ran."""
+    only the tasks that it ran.  tasks: write with so many at most (where the caller knows the rows to be few)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    return written(pairs.groupBy("u").agg(F.min("v").alias("m")), "near")
+#: Edges for each task of a step, at least.
+EDGES = 250_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long).  Returns id, component_id (the smallest id reachable) for every id on an edge that is no
     loop.  The two sides of each join are tables of their own, so Spark can split the rows of an id with very many
-    edges; sums run map-side first."""
+    edges; sums run map-side first.  A step has as many tasks as its edges call for, since there are many steps."""
     e = written(edges.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
@@ -23,14 +23,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen or mark[0] == 0:
             break
-        seen = mark
-        both = written(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
-        near = _nearest(both)
-        far = both.where(F.col("v") > F.col("u")).join(near, "u")
-        e = written(far.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large")
-        near = _nearest(e)
-        both = e.join(near, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(both.unionByName(near.select("u", F.col("m").alias("v"))).distinct(), "small")
+        seen, tasks = mark, max(8, -(-mark[0] // EDGES))
+
+        def nearest(pairs: DataFrame, tasks=tasks) -> DataFrame:
+            return written(pairs.groupBy("u").agg(F.min("v").alias("m")), "near", tasks)
+
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        far = both.where(F.col("v") > F.col("u")).join(nearest(both), "u")
+        e = written(far.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large", tasks)
+        near = nearest(e)
+        rest = e.join(near, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = written(rest.unionByName(near.select("u", F.col("m").alias("v"))).distinct(), "small", tasks)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(
         e.select(F.col("v").alias("id"), F.col("v").alias("component_id"))).distinct()
 

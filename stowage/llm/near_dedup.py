@@ -117,39 +117,35 @@ def groups(batches, key: str):
 
 
 def _compare(batches, near):
-    """Stars of near(table) for each node or block.  `far` rows are documents of a block with pivots that are in no
-    pivot's component."""
-    a, b, far, block = [], [], [], []
+    """For each node or block the stars of near(table): a the smallest id of a component, b another one of it.  `far`
+    rows are documents of a block with pivots that are in no pivot's component."""
+    cols: tuple[list, ...] = ([], [], [], [], [])
     for t in groups(batches, "key"):
-        ids = t["id"].to_pylist()
-        pivots = t["pivot"].to_pylist()
-        if len(ids) > 1:
-            label = list(range(len(ids)))
-            for i, c in stars(near(t)):
-                label[i] = c
-                a.append(ids[c])
-                b.append(ids[i])
-                far.append(False)
-                block.append(0)
-            if any(pivots):
-                first = {x for x, p in zip(ids, pivots, strict=True) if p}
-                home = {c for x, c in zip(ids, label, strict=True) if x in first}
-                node = t["node"][0].as_py()
-                for i, x in enumerate(ids):
-                    if label[i] not in home:
-                        a.append(x)
-                        b.append(x)
-                        far.append(True)
-                        block.append(node)
-        if len(a) > 5000:
-            yield _batch(a, b, far, block)
-            a, b, far, block = [], [], [], []
-    yield _batch(a, b, far, block)
-
-
-def _batch(a, b, far, block):
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(far, pa.bool_()),
-                                       pa.array(block, pa.int64())], names=["a", "b", "far", "node"])
+        if t.num_rows < 2:
+            continue
+        t = t.sort_by("id")  # so the smallest position is the smallest id
+        ids, pivots, node, big = t["id"].to_pylist(), t["pivot"].to_pylist(), t["node"][0].as_py(), t["big"][0].as_py()
+        label = list(range(len(ids)))
+        for i, c in stars(near(t)):
+            label[i] = c
+            for col, x in zip(cols, (ids[c], ids[i], False, node, big), strict=True):
+                col.append(x)
+        if any(pivots):
+            first = {x for x, p in zip(ids, pivots, strict=True) if p}
+            home = {c for x, c in zip(ids, label, strict=True) if x in first}
+            for x, c in zip(ids, label, strict=True):
+                if c not in home:
+                    for col, v in zip(cols, (x, x, True, node, big), strict=True):
+                        col.append(v)
+        if len(cols[0]) > 5000:
+            yield _batch(cols)
+            cols = ([], [], [], [], [])
+    yield _batch(cols)
+
+
+def _batch(cols):
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["a", "b", "far", "node", "big"])
 
 
 def _sketch_near(t) -> np.ndarray:
@@ -181,7 +177,8 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return (100 * common >= percent * either) & (sizes[:, None] > 0) & (sizes[None, :] > 0)
 
 
-def _by_block(spark, rows: DataFrame, near, schema: str = "a long, b long, far boolean, node long") -> DataFrame:
+def _by_block(spark, rows: DataFrame, near) -> DataFrame:
+    schema = "a long, b long, far boolean, node long, big boolean"
     dealt = rows.repartition(n_parts(spark), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(lambda batches: _compare(batches, near), schema)
 
@@ -236,7 +233,7 @@ def candidate_clusters(reps: DataFrame, trees: int = TREES) -> DataFrame:
     members = written(large.select(F.col(f"k{LEVELS - 1}").alias("node"), "id"), "members")
     sizes = written(_pivots(members), "pivots")
     rows = rows.unionByName(_blocks(members, sizes, NODE))
-    sketches = reps.select("id", F.col("sketch").alias("body"))
+    sketches = reps.select("id", F.col("sketch").alias("body"), F.lit(False).alias("big"))
     found = written(_by_block(spark, rows.join(sketches, "id"), _sketch_near), "near")
     far = found.where("far").select("node", F.col("a").alias("id"))
     edges = found.where("not far").select("a", "b")
@@ -247,7 +244,8 @@ def candidate_clusters(reps: DataFrame, trees: int = TREES) -> DataFrame:
 
 
 def confirmed(clusters: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
-    """clusters: node, id; texts: id, body.  Returns stars (a, b) of the links on full sets within each cluster."""
+    """clusters: node, id; texts: id, body.  Returns a, b: for each component of the links on full sets with two
+    documents or more, its smallest id and each other one."""
     spark = clusters.sparkSession
 
     def near(t):
@@ -258,23 +256,26 @@ def confirmed(clusters: DataFrame, texts: DataFrame, percent: int = 75) -> DataF
     texts = written(texts.join(clusters.select("id").distinct(), "id"), "texts")
     sizes = written(_pivots(clusters), "sizes")
     tiny = clusters.join(sizes.where(F.col("n") <= GROUP).select("node"), "node").select(
-        F.col("node").alias("key"), "node", "id", F.lit(False).alias("pivot"))
+        F.col("node").alias("key"), "node", "id", F.lit(False).alias("pivot"), F.lit(False).alias("big"))
     big_sizes = sizes.where(F.col("n") > GROUP)
     big = written(clusters.join(big_sizes.select("node"), "node"), "big")
-    rows = tiny.unionByName(_blocks(big, big_sizes, GROUP))
-    found = written(_by_block(spark, rows.join(texts, "id"), near), "links")
-    edges = found.where(F.col("a") != F.col("b")).select("a", "b")
+    rows = tiny.unionByName(_blocks(big, big_sizes, GROUP).withColumn("big", F.lit(True)))
+    found = written(_by_block(spark, rows.join(texts, "id"), near).where(F.col("a") != F.col("b")), "links")
+    out = found.where("not big").select("a", "b")  # compared in one go, so the star is the component
     if not big.isEmpty():
         # a document is settled if it is in the largest component of its cluster; all others meet every member
-        own = connected_components(written(edges, "links"))
+        edges = found.where("big").select("a", "b")
+        own = written(connected_components(edges), "own")
         label = written(big.join(own, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")), "label")
         most = label.groupBy("node", "component_id").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(
             F.max_by("component_id", F.struct("n", "component_id")).alias("top"))
         far = label.join(written(most, "most"), "node").where(F.col("component_id") != F.col("top")).select("node", "id")
         if not far.isEmpty():
-            again = _again(far, big, big_sizes, GROUP).join(texts, "id")
+            again = _again(far, big, big_sizes, GROUP).withColumn("big", F.lit(True)).join(texts, "id")
             edges = edges.unionByName(_by_block(spark, again, near).where(F.col("a") != F.col("b")).select("a", "b"))
-    return written(edges.distinct(), "confirmed")
+            own = connected_components(written(edges.distinct(), "edges"))
+        out = out.unionByName(own.where(F.col("id") != F.col("component_id")).select(F.col("component_id").alias("a"), F.col("id").alias("b")))
+    return written(out.distinct(), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
