@@ -54,8 +54,11 @@ def automaton(codes: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    root = np.array([nxt[0].get(c, 0) for c in range(CLASSES)], dtype=np.int32) * CLASSES + 1
-    table = np.tile(root, (len(nxt), 1))
+    # `alone` follows a character that never occurs: a phrase of its own, so whatever comes next begins another
+    alone = len(nxt)
+    again = np.array([nxt[0].get(c, alone) for c in range(CLASSES)], dtype=np.int32) * CLASSES + 1
+    table = np.tile(again, (alone + 1, 1))
+    table[0] = again - 1  # where a block begins, no phrase has ended
     for s, out in enumerate(nxt):
         for c, t in out.items():
             table[s, c] = t * CLASSES

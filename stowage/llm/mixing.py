@@ -22,12 +22,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
-def targets(sizes: dict, share: float = 1.5, most: float = 2.0, weights=WEIGHTS) -> dict:
-    """sizes: words by source.  Sources by code point, null last, get the weights in turn; a target stops at most *
+def targets(sizes: dict, share: float = 1.5, most: float = 2.0, weights=WEIGHTS, total: int | None = None) -> dict:
+    """sizes: words by source; total: all words, where documents of several sources count once.  Sources by code point, null last, get the weights in turn; a target stops at most *
     size, and the excess goes to the others by weight until none is above."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, out, free = share * sum(sizes.values()), {}, [s for s in order if sizes[s] > 0]
+    left, free = share * (sum(sizes.values()) if total is None else total), [s for s in order if sizes[s] > 0]
     out = dict.fromkeys(order, 0.0)
     while free:
         unit = left / sum(w[s] for s in free)
@@ -60,7 +60,6 @@ def min_cost_flow(patterns: dict, quotas: dict, copies: int = 2) -> dict:
         for c in range(1, copies + 1):
             edge(s, node(("p", p)), size, 2 * c - 1)
         for src in p:
-            arcs[p, src] = (node(("p", p)), None)
             a, b = node(("p", p)), node(("q", src))
             edge(a, b, size * copies, 0)
             arcs[p, src] = (a, len(graph[a]) - 1)
@@ -107,18 +106,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
     """
     lone = F.array(F.lit(None).cast("string"))
     src = F.when(F.coalesce(F.size(sources_col), F.lit(0)) > 0, F.array_sort(F.array_distinct(sources_col))).otherwise(lone)
-    rank = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = written(docs.select(
-        F.col(id_col).cast("long").alias("_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        src.alias("sources")).withColumn("_rank", rank if id_col == "_id" else F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("")))))
-        .withColumn("_bucket", F.substring("_rank", 1, 3)), "sizes")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), src.alias("sources"))
+    rank = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
+    rows = written(rows.withColumn("_rank", rank).withColumn("_bucket", F.substring("_rank", 1, 3)), "sizes")
     spark = docs.sparkSession
     patterns = {tuple(r["sources"]): r["n"] for r in rows.groupBy("sources").agg(F.sum("size").alias("n")).collect()}
     sizes: dict = {}
     for p, n in patterns.items():
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
-    goal = targets(sizes, share, most)
+    goal = targets(sizes, share, most, total=sum(patterns.values()))
     flow = min_cost_flow(patterns, {s: int(g + 0.5) for s, g in goal.items()}, most)
     taken = {p: sum(flow[p, s] for s in p) for p in patterns}
 
