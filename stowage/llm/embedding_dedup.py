@@ -36,6 +36,29 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     return c
 
 
+def nearby(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell of each vector, and whether each cell may hold a vector within reach of it."""
+    dots = x @ c.T
+    gap = np.sqrt(np.maximum(0, ((c[:, None, :] - c[None, :, :]) ** 2).sum(-1)))
+    home = dots.argmax(axis=1)
+    return home, dots[np.arange(len(x)), home][:, None] - dots <= reach * gap[home] + 1e-9
+
+
+def fitted(sample: np.ndarray, total: int, reach: float) -> np.ndarray:
+    """Centroids for about total vectors: the number of cells, of CELL_ROWS rows and coarser ones, that makes the least
+    work by the sample (copies of a vector, each met by its cell's blocks).  Vectors without clusters get one cell, for
+    their copies would go everywhere."""
+    best, work, k = None, float("inf"), max(1, min(MOST_CELLS, total // CELL_ROWS))
+    while True:
+        c = spherical_kmeans(sample, k)
+        copies = nearby(sample[:2048], c, reach)[1].sum(axis=1).mean()
+        if (now := copies * (1 + total / (k * BLOCK))) < work:
+            best, work = c, now
+        if k == 1:
+            return best
+        k = max(1, k // 4)
+
+
 def unit(vectors: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(vectors), dtype=np.float64).reshape(len(vectors), -1)
     scale = np.abs(x).max(axis=1, keepdims=True)  # first, so that squares neither overflow nor vanish
@@ -66,10 +89,7 @@ def _cells(batches, centroids: dict[int, np.ndarray], reach: float):
         for dim in sorted(set(dims)):
             some = [i for i, d in enumerate(dims) if d == dim]
             c = centroids.get(dim, np.zeros((1, dim)))
-            dots = unit([vecs[i] for i in some]) @ c.T
-            gap = np.sqrt(np.maximum(0, ((c[:, None, :] - c[None, :, :]) ** 2).sum(-1)))
-            home = dots.argmax(axis=1)
-            near = dots[np.arange(len(some)), home][:, None] - dots <= reach * gap[home] + 1e-9
+            home, near = nearby(unit([vecs[i] for i in some]), c, reach)
             for r, cell in zip(*np.nonzero(near), strict=True):
                 i = some[r]
                 out.append((ids[i], labels[i], dim, int(cell), bool(home[r] == cell), vecs[i]))
@@ -117,14 +137,14 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     good = written(rows.mapInArrow(_packed, "id long, label string, dim int, vec binary"), "vectors")
     counts = {r["dim"]: r["n"] for r in good.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
+    reach = float(np.sqrt(2 - 2 * limit))
     mark = F.pmod(F.xxhash64(F.lit("kmeans"), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = good.where(mark < min(1.0, SAMPLE / max(1, total))).select("id", "dim", "vec").collect()
     centroids = {}
     for dim, n in counts.items():
         some = [r["vec"] for r in sorted(sample, key=lambda r: (r["id"], r["vec"])) if r["dim"] == dim]
         if some:
-            centroids[dim] = spherical_kmeans(unit(some), max(1, min(MOST_CELLS, n // CELL_ROWS)))
-    reach = float(np.sqrt(2 - 2 * limit))
+            centroids[dim] = fitted(unit(some), n, reach)
     placed = written(good.mapInArrow(lambda b: _cells(b, centroids, reach), "id long, label string, dim int, cell int, home boolean, vec binary"), "cells")
     node = ["label", "dim", "cell"]
     sizes = written(placed.groupBy(*node).agg(
