@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions.scalars import extension, top_directory
 from .operators import classify, disks, duplicates, usage
 from .operators.mounts import match_mounts
+from .plans.policy import light_planning
 
 AS_OF = "2026-02-11 00:00:00"
 SCAN = "adapter"
@@ -68,6 +69,7 @@ def enriched(spark, sf_dir: str) -> DataFrame:
 
 
 def tables(spark, sf_dir: str) -> dict[str, DataFrame]:
+    light_planning(spark)
     f = files(spark, sf_dir)
     # a row a root or disk each: kept, since every rule reads them
     p, e = paths(spark, sf_dir).persist(), enriched(spark, sf_dir).persist()

@@ -112,8 +112,15 @@ def enrich(recs: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
 SHARED = ("disks", "paths", "path_directories", "categories", "duplicate_groups")
 
 
+def light_planning(spark) -> None:
+    """Turns constraint inference off in this session: over the long CASE chains of disks and roles it takes the planner
+    minutes, and the tables that they stand on have a row a disk or root."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def settled(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """t with the shared tables kept once they are made: else each rule would work them out again."""
+    light_planning(t["disks"].sparkSession)
     return t | {k: t[k].persist() for k in SHARED if k in t}
 
 

@@ -53,6 +53,7 @@ def now_text() -> str:
 
 def scan_tables(spark: SparkSession, opts: ScanOptions, scan_id: str, as_of: datetime, probes: DataFrame | None = None, hints: DataFrame | None = None) -> dict[str, DataFrame]:
     """Lazy tables of one scan, from the walk to the categories."""
+    policy.light_planning(spark)
     probes = devices.probe_disks(spark, scan_id) if probes is None else probes
     # disks, roots, retained directories and suggestions are few rows that much is made from: each is worked out once
     enriched = disks.enrich(probes, devices.platform_hints(spark) if hints is None else hints).persist()
