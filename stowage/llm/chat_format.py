@@ -61,16 +61,24 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
             .select("_c", "msg_id", F.when(F.col("_real"), F.col("up")).alias("up"), F.col("_s").alias("sum"),
                     F.lit(1).cast("long").alias("hops")))
     n = max(1, m.count())
-    tables, step = [], written(step, "jump")
-    # after k joins a pointer is 2^k messages up, so paths of any length end within log2(n) + 1 joins
-    while not step.where(F.col("up").isNotNull()).isEmpty() and 2 ** len(tables) <= n:
-        tables.append(step.select("_c", "msg_id", "up"))
-        far = step.select("_c", F.col("msg_id").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"),
-                          F.col("hops").alias("_hops"))
-        step = written(step.join(far, ["_c", "up"], "left").select(
-            "_c", "msg_id", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"),
-            (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")), "jump")
-    done = step.where(F.col("up").isNull())
+    tables, parts, step = [], [], written(step, "jump")
+    # After k joins a pointer is 2^k messages up, so paths of any length end within log2(n) + 1 joins; a message whose
+    # pointer has passed the root takes no part in further ones.
+    while True:
+        parts.append(step.where(F.col("up").isNull()))
+        open_ = step.where(F.col("up").isNotNull())
+        if 2 ** len(tables) > n or open_.isEmpty():
+            break
+        tables.append(open_.select("_c", "msg_id", "up"))
+        far = open_
+        for p in parts:
+            far = far.unionByName(p)
+        far = far.select("_c", F.col("msg_id").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("hops").alias("_hops"))
+        step = written(open_.join(far, ["_c", "up"]).select(
+            "_c", "msg_id", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"), (F.col("hops") + F.col("_hops")).alias("hops")), "jump")
+    done = parts[0]
+    for p in parts[1:]:
+        done = done.unionByName(p)
     parents = m.where(F.col("parent_id").isNotNull()).select("_c", F.col("parent_id").alias("msg_id")).distinct()
     leaves = done.join(parents, ["_c", "msg_id"], "left_anti")
     best = F.struct(F.col("sum"), F.col("hops"), (-F.col("msg_id")).alias("_neg"))
@@ -82,7 +90,8 @@ def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         chosen = leaves.withColumn("path_rank", F.row_number().over(w)).where(F.col("path_rank") <= top).select(
             "_c", F.col("msg_id").alias("leaf_id"), F.col("sum").alias("path_score"), "path_rank")
     walk = chosen.withColumn("msg_id", F.col("leaf_id"))
-    for t in tables:  # the messages found so far, and what stands 2^k above each
+    # far jumps first: what stands 2^k above each message found so far; only the last, short jumps meet many rows
+    for t in reversed(tables):
         walk = (walk.join(t, ["_c", "msg_id"], "left")
                 .withColumn("msg_id", F.explode(F.array_compact(F.array("msg_id", "up")))).drop("up"))
     depth = done.select("_c", "msg_id", (F.col("hops") - 1).alias("depth"))
