@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions.scalars import extension, top_directory
 from .operators import classify, disks, duplicates, usage
 from .operators.mounts import match_mounts
-from .plans.policy import light_planning
+from .plans.policy import landed, light_planning
 
 AS_OF = "2026-02-11 00:00:00"
 SCAN = "adapter"
@@ -71,14 +71,14 @@ def enriched(spark, sf_dir: str) -> DataFrame:
 def tables(spark, sf_dir: str) -> dict[str, DataFrame]:
     light_planning(spark)
     f = files(spark, sf_dir)
-    # a row a root or disk each: kept, since every rule reads them
-    p, e = paths(spark, sf_dir).persist(), enriched(spark, sf_dir).persist()
+    # a row a root or disk each: worked out once, since every rule reads them
+    p, e = landed(paths(spark, sf_dir)), landed(enriched(spark, sf_dir))
     pos = p.select("root_path", F.col("pos").alias("path_pos"))
-    dirs = usage.top_directories(f).join(pos, "root_path").persist()
-    cats = classify.all_categories(p, dirs, usage.top_extensions(f), e).persist()
+    dirs = landed(usage.top_directories(f).join(pos, "root_path"))
+    cats = landed(classify.all_categories(p, dirs, landed(usage.top_extensions(f)), e))
     groups = duplicates.duplicate_groups(files(spark, sf_dir, content=True)).withColumn("pos", F.lit(0)).withColumn("first_file", F.col("files")[0])
     return {"scans": spark.createDataFrame([(SCAN,)], "scan_id string"), "files": f, "paths": p, "path_directories": dirs, "path_extensions": usage.top_extensions(f),
-            "disks": classify.infer_roles(e, cats), "categories": cats, "duplicate_groups": groups.withColumn("total_wasted_bytes", F.col("total_wasted_bytes") * 4096)}
+            "disks": landed(classify.infer_roles(e, cats)), "categories": cats, "duplicate_groups": groups.withColumn("total_wasted_bytes", F.col("total_wasted_bytes") * 4096)}
 
 
 def url_paths(spark, sf_dir: str) -> DataFrame:

@@ -118,10 +118,19 @@ def light_planning(spark) -> None:
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
 
+def landed(df: DataFrame) -> DataFrame:
+    """A small table (a row a disk, root, retained directory or suggestion of one scan) as a local one: what is built on it
+    is analysed and planned without its long history."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def settled(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """t with the shared tables kept once they are made: else each rule would work them out again."""
+    from .rules import scores
+
     light_planning(t["disks"].sparkSession)
-    return t | {k: t[k].persist() for k in SHARED if k in t}
+    t = t | {k: t[k].persist() for k in SHARED if k in t}
+    return t | {"scores": scores(t).persist()}
 
 
 def recommend(t: dict[str, DataFrame], rules=None) -> dict[str, DataFrame]:

@@ -52,27 +52,27 @@ def now_text() -> str:
 
 
 def scan_tables(spark: SparkSession, opts: ScanOptions, scan_id: str, as_of: datetime, probes: DataFrame | None = None, hints: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Lazy tables of one scan, from the walk to the categories."""
+    """The tables of one scan, from the walk to the categories; files stay lazy, what the report holds is worked out."""
     policy.light_planning(spark)
     probes = devices.probe_disks(spark, scan_id) if probes is None else probes
     # disks, roots, retained directories and suggestions are few rows that much is made from: each is worked out once
-    enriched = disks.enrich(probes, devices.platform_hints(spark) if hints is None else hints).persist()
+    enriched = policy.landed(disks.enrich(probes, devices.platform_hints(spark) if hints is None else hints))
     tree = filetree.read_tree(spark, opts.roots, opts.max_depth, opts.excludes, with_hash=opts.dedupe).persist()
     named = spark.createDataFrame([(i, os.path.abspath(r)) for i, r in enumerate(opts.roots)], "pos int, root_path string")
-    roots = mounts.match_mounts(named, enriched.select("pos", "mount_point")).persist()
+    roots = policy.landed(mounts.match_mounts(named, enriched.select("pos", "mount_point")))
     files = filetree.files_of(tree, scan_id).drop("disk_mount").join(F.broadcast(roots.select("root_path", "disk_mount")), "root_path")  # the roots named
     dirs = tree.where("kind = 'directory'").select(F.lit(scan_id).alias("scan_id"), "root_path", "path")
     total = usage.totals(files, F.lit(as_of.replace(tzinfo=None)).cast("timestamp"))
     zero = ("file_count", "total_size_bytes", "recent_files", "stale_files", "unknown_modified_files", "directory_count")
     paths = roots.withColumn("scan_id", F.lit(scan_id)).join(total.drop("disk_mount"), ["scan_id", "root_path"], "left").join(usage.directory_counts(dirs), ["scan_id", "root_path"], "left")
-    paths = paths.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in zero}).withColumn("type_total_bytes", F.col("total_size_bytes")).persist()
+    paths = policy.landed(paths.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in zero}).withColumn("type_total_bytes", F.col("total_size_bytes")))
     pos = paths.select("root_path", F.col("pos").alias("path_pos"))
-    directories = usage.top_directories(files).join(pos, "root_path").persist()
+    directories = policy.landed(usage.top_directories(files).join(pos, "root_path"))
     groups = duplicates.duplicate_groups(files, opts.dedupe_min_size) if opts.dedupe else duplicates.duplicate_groups(files.limit(0))
     order = F.row_number().over(W.partitionBy("scan_id").orderBy(F.desc("total_wasted_bytes"), F.desc("file_count"), F.desc("size_bytes"), "hash"))
-    groups = groups.withColumns({"pos": order - 1, "first_file": F.col("files")[0]}).persist()
-    cats = classify.all_categories(paths, directories, usage.top_extensions(files), enriched).persist()
-    roled = classify.infer_roles(enriched, cats).persist()
+    groups = policy.landed(groups.withColumns({"pos": order - 1, "first_file": F.col("files")[0]}))  # the report holds them all
+    cats = policy.landed(classify.all_categories(paths, directories, policy.landed(usage.top_extensions(files)), enriched))
+    roled = policy.landed(classify.infer_roles(enriched, cats))
     warn = tree.where("kind = 'warning'").select(F.lit(scan_id).alias("scan_id"), F.col("warning").alias("text"), F.monotonically_increasing_id().alias("pos"))
     return {"scans": spark.createDataFrame([(scan_id,)], "scan_id string"), "files": files, "paths": paths, "path_directories": directories, "path_extensions": usage.extension_summary(files),
             "path_largest_files": usage.largest_files(files), "disks": roled, "categories": cats, "duplicate_groups": groups, "warnings": warn}
