@@ -32,10 +32,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays."""
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    kept = written(found.where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept")
-    repeats = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return repeats.dropDuplicates(["doc_id"])
+    found = written(near_dedup.near_duplicates(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), "kept"), "near")
+    gone = found.where("not kept").select("_id").hint("merge")
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    repeats = found.where("kept").groupBy("_id").count().where("count > 1")
+    return left if repeats.isEmpty() else left.dropDuplicates(["doc_id"])  # only then are rows dealt by id again
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -252,8 +252,9 @@ def confirmed(clusters: DataFrame, texts: DataFrame, percent: int = 75) -> DataF
         return linked(shingle_sets(t["body"].combine_chunks() if t.num_rows else t["body"]), percent)
 
     clusters = written(clusters, "clusters")
-    # the texts of documents in clusters are all that is read from here on
-    texts = written(texts.join(clusters.select("id").distinct(), "id"), "texts")
+    # the texts of documents in clusters are all that is read from here on; merged, not broadcast, at every size, since
+    # nothing bounds the number of clusters
+    texts = written(texts.join(clusters.select("id").distinct().hint("merge"), "id"), "texts")
     sizes = written(_pivots(clusters), "sizes")
     tiny = clusters.join(sizes.where(F.col("n") <= GROUP).select("node"), "node").select(
         F.col("node").alias("key"), "node", "id", F.lit(False).alias("pivot"), F.lit(False).alias("big"))
