@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stowage.llm import language_id, line_dedup, mixing, near_dedup
 from stowage.llm import decontaminate as decontamination
-from stowage.llm.common import python_side, written
+from stowage.llm.common import NO_ID, python_side, written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +31,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
-    found = written(near_dedup.near_duplicates(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), "kept"), "near")
-    gone = found.where("not kept").select("_id").hint("merge")
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    repeats = found.where("kept").groupBy("_id").count().where("count > 1")
-    return left if repeats.isEmpty() else left.dropDuplicates(["doc_id"])  # only then are rows dealt by id again
+    """Of each group of near duplicates the row with the smallest doc_id stays (a null one is the smallest).  Rows are
+    the documents here: where an id is null or repeats, rows are grouped by a number of their own, so rows that share an
+    id but no text all stay."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    shared = docs.groupBy(key.alias("_id")).count().where((F.col("count") > 1) | (F.col("_id") == NO_ID))
+    if shared.isEmpty():
+        found = written(near_dedup.near_duplicates(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), "kept"), "near")
+        return docs.join(found.where("not kept").select("_id").hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti")
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so a row keeps its number
+    found = near_dedup.near_duplicates(rows.select("_row", "text"), "_row").select("_row", "component_id")
+    found = written(rows.select("_row", key.alias("_id")).join(found, "_row"), "near")
+    first = found.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_row"))
+    return rows.join(first.select("_row").hint("merge"), "_row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

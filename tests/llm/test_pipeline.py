@@ -62,3 +62,14 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, corpus):
         docs = stage(spark, docs, path)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept", "n_lines"] and docs.count() > 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), path).count() == 0
+
+
+def test_rows_with_a_null_or_shared_id_are_documents_of_their_own(spark, tmp_path):
+    r = random.Random(12)
+    a, b, c, d, e = (" ".join(f"{k}{r.randrange(500)}" for _ in range(60)) for k in "abcde")
+    rows = [(None, a), (None, b), (None, c), (5, a + " more"), (7, b + " more"), (9, d), (9, e), (9, d), (4, e + " more"), (2, ""), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = corpus_pipeline.dedup_documents(spark, df, str(tmp_path))
+    want = [(None, a), (None, b), (None, c), (9, d), (4, e + " more"), (2, ""), (2, "")]
+    assert got.columns == df.columns
+    assert sorted(((x["doc_id"], x["text"]) for x in got.collect()), key=str) == sorted(want, key=str)
