@@ -3,9 +3,10 @@
 Texts and items are sequences of word hashes (runs of ASCII letters, digits and all non-ASCII characters; A-Z
 lower-cased).  A CGK walk copies the word under its pointer at each step and moves the pointer on by a random bit that
 depends on the step and the word, so two sequences within a small edit distance soon walk in step and their embeddings
-are close in Hamming distance.  Each of ROUNDS walks samples BITS steps of the embedding as an LSH key.  An item-sized
-window of a text whose key meets the item's in any round is a candidate, and its edit distance to the item, over the
-window widened by the edits allowed, is then computed exactly.
+are close in Hamming distance.  Each of ROUNDS walks samples BITS steps of the embedding as an LSH key.  Item-sized
+windows of a text whose key meets the item's in any round come first; the others follow unless too few words of the item
+are left in them for a match, or for a better one than the text has.  The edit distance to the item, over the window
+widened by the edits allowed, is computed exactly, so the keys decide the order and not what is found.
 
 Windows are placed only where they can match: an item of n words with at most EDITS * n edits keeps SEED words in a row
 unedited (pigeonhole: 0.8 n / (0.2 n + 1) > 2 for n >= 7; shorter items allow no edit), so a window stands at each place
@@ -28,6 +29,8 @@ from .shingles import mix
 EDITS, SEED, ROUNDS, BITS = 0.2, 3, 24, 3
 #: Items that are held by a task at once; more items are done in further passes.
 ITEMS = 20_000
+#: Words of windows that are compared at once.
+CELLS = 200_000
 SCHEMA = "doc_id long, contaminated boolean, n_matches long, items array<long>, best double"
 
 _BREAK = np.zeros(256, dtype=bool)
@@ -139,6 +142,39 @@ def _gram(h: np.ndarray, k: int) -> np.ndarray:
     return mix(s)
 
 
+def _least_edits(items: Items, item: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each window h[lo : hi] a lower bound of its edit distance to the item: words of the item, less the words of
+    the window that occur in the item, since each word left unedited is one of them."""
+    out = items.size[item].copy()
+    order = np.argsort(item, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else []:
+        i = int(item[some[0]])
+        own = np.sort(items.words[items.first[i]:items.first[i] + items.size[i]])
+        width = int((hi[some] - lo[some]).max())
+        for part in np.array_split(some, -(-len(some) * width // CELLS)):
+            at = lo[part][:, None] + np.arange(width)
+            w = h[np.minimum(at, len(h) - 1)]
+            held = own[np.minimum(np.searchsorted(own, w), len(own) - 1)] == w
+            out[part] -= (held & (at < hi[part][:, None])).sum(axis=1)
+    return np.maximum(out, 0)
+
+
+def _confirm(out, base, row, h, items: Items, allowed, some, item, start, begin, stop) -> None:
+    """Enters the windows `some` that match, by exact edit distance, into the texts' dicts."""
+    order = some[np.argsort(item[some], kind="stable")]
+    for mine in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else []:
+        i = int(item[mine[0]])
+        n, e, a = int(items.size[i]), int(allowed[i]), items.first[i]
+        for part in np.array_split(mine, -(-len(mine) * (n + 2 * e) // CELLS)):
+            lo = np.maximum(start[part] - e, begin[part])
+            hi = np.minimum(start[part] + n + e, stop[part])
+            d = edit_distances(items.words[a:a + n], h, lo, hi)
+            for s, x in zip(start[part].tolist(), d.tolist(), strict=True):
+                if x <= e:
+                    doc = out[base + int(row[s])]
+                    doc[i] = min(x, doc.get(i, x))
+
+
 def find(texts: pa.Array, items: Items) -> list[dict[int, int]]:
     """For each text the items that it holds, with the least edit distance seen."""
     out: list[dict[int, int]] = [{} for _ in range(len(texts))]
@@ -174,6 +210,8 @@ def find(texts: pa.Array, items: Items) -> list[dict[int, int]]:
             item, start, begin_, stop_, size, size_here = (x[todo] for x in (item, start, begin_, stop_, size, size_here))
         if not len(at) or not len(item):
             continue
+        few = _least_edits(items, item, h, np.maximum(start - allowed[item], begin_), np.minimum(start + size + allowed[item], stop_))
+        item, start, begin_, stop_, size, size_here, few = (x[few <= allowed[item]] for x in (item, start, begin_, stop_, size, size_here, few))
         hit = np.zeros(len(item), dtype=bool)
         for r in range(ROUNDS):
             rest = np.flatnonzero(~hit)
@@ -181,20 +219,12 @@ def find(texts: pa.Array, items: Items) -> list[dict[int, int]]:
                 break
             keys = _walk(h, start[rest], size_here[rest], r, _sampled(size[rest], r))
             hit[rest[keys == items.keys[r][item[rest]]]] = True
-        item, start, begin_, stop_ = item[hit], start[hit], begin_[hit], stop_[hit]
-        order = np.argsort(item, kind="stable")
-        cuts = np.flatnonzero(np.diff(item[order])) + 1
-        for some in np.split(order, cuts) if len(order) else []:
-            i = int(item[some[0]])
-            e, a = int(allowed[i]), items.first[i]
-            for part in np.array_split(some, max(1, len(some) // 2000)):
-                lo = np.maximum(start[part] - e, begin_[part])
-                hi = np.minimum(start[part] + items.size[i] + e, stop_[part])
-                d = edit_distances(items.words[a:a + items.size[i]], h, lo, hi)
-                for s, x in zip(start[part].tolist(), d.tolist(), strict=True):
-                    if x <= e:
-                        doc = out[base + int(row[s])]
-                        doc[i] = min(x, doc.get(i, x))
+        for first in (True, False):
+            some = np.flatnonzero(hit == first)
+            if not first and len(some):  # a distance of 0, or one that no other window can go below, is settled
+                best = [out[base + int(row[s])].get(i, 1 << 30) for s, i in zip(start[some].tolist(), item[some].tolist(), strict=True)]
+                some = some[few[some] < np.array(best)]
+            _confirm(out, base, row, h, items, allowed, some, item, start, begin_, stop_)
     return out
 
 

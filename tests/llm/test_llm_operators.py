@@ -315,6 +315,23 @@ def test_edited_passages_are_found():
     assert sum(g for g, w in zip(got, want, strict=True) if w) >= 0.99 * sum(want)
 
 
+def test_matches_at_the_limit_are_all_found():
+    r = random.Random(16)
+    for n in (15, 50, 100, 200, 400):
+        items = [[f"i{k}x{j}" for j in range(n)] for k in range(10)]
+        table = decontaminate.Items.of(list(range(10)), [" ".join(i) for i in items])
+        e = int(0.2 * n)
+        for kind in ("delete", "insert", "replace", "spread"):
+            texts = []
+            for item in items:
+                body = list(item)
+                places = [5 * j + 2 for j in range(e)] if kind == "spread" else sorted(r.sample(range(1, n - 1), e))
+                for k in reversed(places):
+                    body[k:k + (kind != "insert")] = [] if kind == "delete" else [f"n{r.randrange(10**6)}"]
+                texts.append(" ".join(words(20, k) + body + words(20, k + 1)))
+            assert [g.get(k) for k, g in enumerate(decontaminate.find(pa.array(texts), table))] == [e] * 10, (n, kind)
+
+
 def test_decontamination_edge_cases(spark):
     item = " ".join(words(30, 1))
     bench = spark.createDataFrame([(1, item), (1, item), (2, None), (3, ""), (None, "a b c"), (4, "Two words"), (5, "!!")], "item_id bigint, text string")
