@@ -400,6 +400,19 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_borderline_copy_of_a_large_group_is_found(spark):
+    """With seed 42 the copy shares no node of the deepest level with the group in any of the first 12 trees."""
+    r = random.Random(42)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    copy = list(base)
+    for k in (20, 60, 100, 140, 180):
+        copy[k] = f"m{r.randrange(10**6)}"
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(100)] + [(1000, " ".join(copy))]
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == dict.fromkeys([i for i, _ in rows], 0)
+    assert (1 - 0.75**near_dedup.LEVELS) ** near_dedup.TREES < 1e-5
+
+
 def test_a_chain_in_blocks_is_followed(monkeypatch):
     """linked() is exact, on any sizes."""
     r = random.Random(9)
