@@ -41,19 +41,25 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def host_reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z) -> DataFrame:
-    """outcomes: host, bad (0 or 1; null rows are not labelled).  Returns for each host: host, domain, suffix, n, bad,
-    rate (posterior mean), bound, blocked.  The domain is the last two labels of a host, the suffix its last; the empty
-    host is a group like any other.  No labelled row gives no rows."""
-    level = (outcomes.where(F.col("bad").isNotNull()).groupBy("host")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")))
+def host_reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z, hosts: DataFrame | None = None) -> DataFrame:
+    """outcomes: host, bad (0 or 1; null rows are not labelled); hosts: host, further ones to score.  Returns for each
+    labelled or further host: host, domain, suffix, n, bad, rate (posterior mean), bound, blocked.  The domain is the last
+    two labels of a host, the suffix its last; the empty host is a group like any other.  A host without a labelled page
+    has n = 0 and stands on its domain, else its suffix, else the total.  No labelled row gives no rows."""
+    count = lambda c: F.sum(c).alias(c)
+    level = outcomes.where(F.col("bad").isNotNull()).select("host", F.lit(1).cast("long").alias("n"), F.col("bad").cast("long").alias("bad"))
+    if hosts is not None:
+        level = level.unionByName(hosts.select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bad")))
+    level = level.groupBy("host").agg(count("n"), count("bad"))
     hosts = written(level.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)}), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).select(((F.col("bad") + 0.5) / (F.col("n") + 1.0)).alias("up"))
+    total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where("n > 0").select(((F.col("bad") + 0.5) / (F.col("n") + 1.0)).alias("up"))
 
     def strength(groups: DataFrame) -> DataFrame:
-        """Prior strength by moments: p (1 - p) / var - 1, var the spread of rates beyond that of binomial draws."""
+        """Prior strength by moments: p (1 - p) / var - 1, var the spread of rates of labelled groups beyond that of
+        binomial draws."""
+        groups = groups.where("n > 0")
         p = F.sum("bad") / F.sum("n")
         spread = F.sum(F.col("bad") * F.col("bad") / F.col("n")) / F.sum("n") - p * p
         var = spread - p * (1 - p) * F.count(F.lit(1)) / F.sum("n")
@@ -78,10 +84,10 @@ def host_reputation(outcomes: DataFrame, limit: float = LIMIT, z: float = Z) ->
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, z: float = Z,
                id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Returns for each row: id, host, path, rule (null if none fits), verdict (the rule's, else block or allow by
-    host_reputation; hosts without a labelled page are allowed).  A null url has an empty host and path; repeated rows
+    host_reputation, which scores every host of pages; all are allowed if nothing is labelled).  A null url has an empty host and path; repeated rows
     are judged alike."""
     out = pages.select(id_col, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    hosts = written(host_reputation(outcomes, limit, z).select("host", "blocked"), "reputation")
+    hosts = written(host_reputation(outcomes, limit, z, out.select("host")).select("host", "blocked"), "reputation")
     out = join_hot(out, hosts, ["host"], hot_keys(out, ["host"]))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return out.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(

@@ -282,6 +282,18 @@ def test_urls(spark):
     assert rep["bad.net"]["rate"] < 1 and rep["good.net"]["rate"] > 0 and "ok.com" not in rep
 
 
+def test_hosts_without_labels_stand_on_their_domain(spark):
+    rows = [(1, "https://x.bad.net/x"), (2, "https://y.good.net/x"), (3, "https://bad.net/x"), (4, "https://new.xyz/x"), (5, "no scheme")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    outcomes = spark.createDataFrame([("bad.net", 1)] * 40 + [("good.net", 0)] * 200, "host string, bad int")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, outcomes).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+    new = spark.createDataFrame([("x.bad.net",)] * 2, "host string")
+    one, two = ({r["host"]: r for r in url_filter.host_reputation(outcomes, hosts=h).collect()} for h in (None, new))
+    assert set(two) == {*one, "x.bad.net"} and all(two[h] == r for h, r in one.items()) and two["x.bad.net"]["n"] == 0
+    assert url_filter.host_reputation(outcomes.limit(0), hosts=new).count() == 0
+
+
 # --- op8
 
 
