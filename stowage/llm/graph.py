@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratched, written
 
 
 #: Edges for each task of a step, at least.
 EDGES = 250_000
 
 
+@scratched
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long).  Returns id, component_id (the smallest id reachable) for every id on an edge that is no
     loop.  The two sides of each join are tables of their own, so Spark can split the rows of an id with very many

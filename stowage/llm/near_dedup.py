@@ -2,19 +2,23 @@
 
 1. Each text becomes the set of its 5-word shingles (64-bit hashes).  Texts with the same set (128-bit digest of all of
    it) are one representative from here on.
-2. TREES independent trees: a document takes, at each level of a tree, the token of its set that a hash of (tree, level)
-   puts first, and the path of tokens names its node.  A node with at most NODE documents is compared exhaustively; a
-   larger one branches by the next token.  Nodes still larger at level LEVELS are dealt in blocks that all hold the same
-   few pivots; documents that don't come near a pivot are then compared with every block, so nothing is capped.
-   Comparison is by bottom-k sketches against a threshold well below the wanted similarity; it emits, for each node, a
-   star a component, never all pairs.  The stars' components are the candidate clusters.
+2. TREES independent trees.  At the first level of a tree a document goes to the node of the token of its set that a hash
+   of the tree puts first.  A node with at most NODE documents is compared exhaustively.  A larger one is dealt in blocks
+   that all hold the same few pivots: if all its documents are connected to its first pivot, it is settled; otherwise its
+   documents branch on, each by the tokens that BRANCH further hashes put first.  Nodes still open at level LEVELS have
+   all their unconnected documents compared with every block, so nothing is capped.  Comparison is by bottom-k sketches
+   against a threshold well below the wanted similarity; it emits, for each node, a star a component, never all pairs.
+   The stars' components are the candidate clusters.
 3. Links are confirmed on the full sets of each cluster, recomputed from the whole texts: clusters of up to GROUP
-   documents in one go, larger ones in blocks with pivots, then every document outside the cluster's largest component
-   against every block.  Two documents of a cluster are either compared on full sets or already connected by links.
-
-A pair with similarity s shares a level-l node of a tree with probability s^l, and is missed if it parts in all trees
-before a node that is compared.  With s = 0.75 and 34 trees that is 3e-21 where nodes are small at level 1, 6e-13 at
-level 2, 1e-8 at level 3 and 2e-6 at level 4, the deepest: the case of a borderline copy of a large copy group.
+   documents and BYTES of text in one go, larger ones in blocks with pivots, then every document outside the cluster's
+   largest component against every block.  A cluster in which such documents would fill over PARTS blocks (much common
+   text, few links) is first taken apart by the same trees on longer sketches with a higher threshold.  Two documents of
+   a cluster are either compared on full sets or already connected by links.
+
+Two sets with similarity s part in one tree, before a node that is compared, with probability 1 - s where nodes are small
+at level 1, and 1 - s (1 - (1 - s)^BRANCH)^(l - 1) where all nodes are large down to level l.  With s = 0.75, 14 trees
+and two branches all trees miss with 4e-9 at level 1, 4e-8 at level 2, 3e-7 at level 3 and 1.4e-6 at level 4, the
+deepest: the case of a borderline copy in nodes that stay open.
 """
 
 from __future__ import annotations
@@ -24,18 +28,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hot_keys, join_hot, n_parts, python_side, written
+from .common import NO_ID, hot_keys, join_hot, n_parts, python_side, scratched, written
 from .graph import connected_components, stars
 from .shingles import mix, shingle_sets
 
-TREES, LEVELS, NODE, SKETCH, GROUP = 34, 4, 64, 64, 256
-#: Pairs whose sketches look less alike than this are no candidates: 5 standard errors below 0.75 at SKETCH values.
-LOOKS = 0.48
-_SEEDS = mix(np.arange(101, 101 + TREES * LEVELS, dtype=np.uint64)) | np.uint64(1)
-_DIGEST = np.uint64(0xD6E8FEB86659FD93)
+TREES, LEVELS, BRANCH, NODE = 14, 4, 2, 64
+#: Documents and bytes of text that are compared at once on full sets; blocks that one cluster's rest may fill.
+GROUP, BYTES, PARTS = 256, 16 << 20, 4
+#: Values of a sketch, and the likeness below which two are no candidates: 5 standard errors below 0.75.
+SKETCH, LOOKS = 64, 0.48
+LONG_SKETCH, LONG_LOOKS = 512, 0.65
+#: Hashes of a tree: one at its first level, BRANCH at each further one.
+_EACH = 1 + BRANCH * (LEVELS - 1)
+_SEEDS = mix(np.arange(101, 101 + TREES * _EACH, dtype=np.uint64)) | np.uint64(1)
+_DIGEST, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
-def _describe(batches, trees: int):
+def _describe(batches, width: int = SKETCH):
+    """id, number of shingles, two digests of the set, the first token of each hash, and the `width` smallest hashes."""
     for batch in batches:
         sets = shingle_sets(batch.column(1))
         n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -43,57 +53,72 @@ def _describe(batches, trees: int):
         full = np.flatnonzero(n)
         starts = (np.cumsum(n) - n)[full]
         d1, d2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-        tokens = np.zeros((len(n), trees * LEVELS), np.uint32)
+        tokens = np.zeros((len(n), len(_SEEDS)), np.uint32)
         if len(full):
             d1[full] = np.add.reduceat(flat, starts)
             d2[full] = np.add.reduceat(mix(flat ^ _DIGEST), starts)
-            for k in range(trees * LEVELS):
-                tokens[full, k] = (np.minimum.reduceat(flat * _SEEDS[k], starts) >> np.uint64(32)).astype(np.uint32)
-        sketch = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
+            for k, seed in enumerate(_SEEDS):
+                tokens[full, k] = (np.minimum.reduceat(flat * seed, starts) >> np.uint64(32)).astype(np.uint32)
+        sketch = [(s[:width] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
              pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array(sketch, pa.binary())],
             names=["id", "n", "d1", "d2", "tokens", "sketch"])
 
 
-def _nodes(batches, trees: int):
-    """The node of each document at each level of each tree."""
+DESCRIBED = "id long, n long, d1 long, d2 long, tokens binary, sketch binary"
+
+
+def _tokens(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, TREES, _EACH).astype(np.uint64)
+
+
+def _roots(batches):
+    """The node of each document at the first level of each tree: id, tree, node."""
+    for batch in batches:
+        t = _tokens(batch.column(1))
+        key = mix(mix(np.arange(1, TREES + 1, dtype=np.uint64)) ^ (t[:, :, 0] + np.uint64(1)) * _STEP)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(t))),
+             pa.array(key.ravel().view(np.int64))], names=["id", "tree", "node"])
+
+
+def _branches(batches, level: int):
+    """The nodes below those of (id, tree, node, tokens) at a further level."""
     for batch in batches:
-        raw = batch.column(1).to_pylist()
-        t = np.frombuffer(b"".join(raw), dtype=np.uint32).reshape(len(raw), trees, LEVELS).astype(np.uint64)
-        key = np.broadcast_to(mix(np.arange(1, trees + 1, dtype=np.uint64)), t.shape[:2]).copy()
-        cols = []
-        for level in range(LEVELS):
-            key = mix(key ^ (t[:, :, level] + np.uint64(level + 1)) * np.uint64(0x9E3779B97F4A7C15))
-            cols.append(key.ravel().view(np.int64).copy())
+        t = _tokens(batch.column(3))
+        tree, node = batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+        at = 1 + BRANCH * (level - 1) + np.arange(BRANCH)
+        mine = t[np.arange(len(t))[:, None], tree[:, None], at[None, :]] + np.uint64(level + 1) + (np.arange(BRANCH, dtype=np.uint64) << np.uint64(40))
+        key = mix(node[:, None] ^ mine * _STEP)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column(0).to_numpy(), trees)), *map(pa.array, cols)],
-            names=["id", *(f"k{i}" for i in range(LEVELS))])
+            [pa.array(np.repeat(batch.column(0).to_numpy(), BRANCH)), pa.array(np.repeat(tree, BRANCH)), pa.array(key.ravel().view(np.int64))],
+            names=["id", "tree", "node"])
 
 
-def _looks(rows: list[bytes]) -> np.ndarray:
-    """Whether the sketches of each two rows look alike: the share, of the SKETCH smallest values of both, that are in
-    both; sets of up to SKETCH shingles are whole in their sketches."""
+def _looks(rows: list[bytes], width: int = SKETCH, looks: float = LOOKS) -> np.ndarray:
+    """Whether the sketches of each two rows look alike: the share, of the `width` smallest values of both, that are in
+    both; sets of up to `width` shingles are whole in their sketches."""
     values = [np.frombuffer(r, dtype=np.uint32) for r in rows]
     n = len(values)
     if n == 2:
-        bound = min(v[-1] if len(v) == SKETCH else 0xFFFFFFFF for v in values)
+        bound = min(v[-1] if len(v) == width else 0xFFFFFFFF for v in values)
         x, y = (v[: np.searchsorted(v, bound, side="right")] for v in values)
         both = len(np.intersect1d(x, y))
-        return np.full((2, 2), both >= LOOKS * (len(x) + len(y) - both))
+        return np.full((2, 2), both >= looks * (len(x) + len(y) - both))
     every, where = np.unique(np.concatenate(values), return_inverse=True)
     owner = np.repeat(np.arange(n), [len(v) for v in values])
     has = np.zeros((n, len(every)), dtype=np.float32)
     has[owner, where] = 1
     same = np.zeros((n, n), dtype=bool)
-    last = np.array([v[-1] if len(v) == SKETCH else 0xFFFFFFFF for v in values], dtype=np.uint32)
+    last = np.array([v[-1] if len(v) == width else 0xFFFFFFFF for v in values], dtype=np.uint32)
     for i in range(n):
         bound = np.minimum(last[i], last[i:])  # values above are unknown in one of the two
         upto = np.searchsorted(every, bound, side="right")
         both, either = np.cumsum(has[i] * has[i:], axis=1), np.cumsum(np.maximum(has[i], has[i:]), axis=1)
         at = np.maximum(upto - 1, 0)
         k = np.arange(n - i)
-        same[i, i:] = both[k, at] >= LOOKS * either[k, at]
+        same[i, i:] = both[k, at] >= looks * either[k, at]
     return same | same.T
 
 
@@ -119,7 +144,7 @@ def groups(batches, key: str):
 
 def _compare(batches, near):
     """For each node or block the stars of near(table): a the smallest id of a component, b another one of it.  `far`
-    rows are documents of a block with pivots that are in no pivot's component."""
+    rows are documents of a block with pivots that are not in the component of the first pivot."""
     cols: tuple[list, ...] = ([], [], [], [], [])
     for t in groups(batches, "key"):
         if t.num_rows < 2:
@@ -132,7 +157,7 @@ def _compare(batches, near):
             for col, x in zip(cols, (ids[c], ids[i], False, node, big), strict=True):
                 col.append(x)
         if any(pivots):
-            first = {x for x, p in zip(ids, pivots, strict=True) if p}
+            first = {x for x, p in zip(ids, pivots, strict=True) if p == 1}
             home = {c for x, c in zip(ids, label, strict=True) if x in first}
             for x, c in zip(ids, label, strict=True):
                 if c not in home:
@@ -149,10 +174,6 @@ def _batch(cols):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["a", "b", "far", "node", "big"])
 
 
-def _sketch_near(t) -> np.ndarray:
-    return _looks(t["body"].to_pylist())
-
-
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Exact: whether 100 * intersection >= percent * union of each two sets."""
     n = len(sets)
@@ -164,7 +185,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     column = np.cumsum(new) - 1
     shared = np.bincount(column)[column] > 1  # a hash of one set is in no intersection
     owner, column = owner[shared], column[shared]
-    common = np.zeros((n, n), dtype=np.float32)
+    common = np.zeros((n, n), dtype=np.int64)
     if len(column):
         column = np.cumsum(np.concatenate(([True], column[1:] != column[:-1]))) - 1
         step = 4096
@@ -172,8 +193,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
             i, j = np.searchsorted(column, (lo, lo + step))
             has = np.zeros((n, step), dtype=np.float32)
             has[owner[i:j], column[i:j] - lo] = 1
-            common += has @ has.T
-    common = common.astype(np.int64)
+            common += (has @ has.T).astype(np.int64)  # at most `step` each, so exact
     either = sizes[:, None] + sizes[None, :] - common
     return (100 * common >= percent * either) & (sizes[:, None] > 0) & (sizes[None, :] > 0)
 
@@ -184,69 +204,80 @@ def _by_block(spark, rows: DataFrame, near) -> DataFrame:
     return dealt.mapInArrow(lambda batches: _compare(batches, near), schema)
 
 
-def _blocks(members: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
-    """members: node, id; sizes: node, n, and pivots (their ids).  Rows (key, node, id, pivot): each member in a block
-    of its node, and each pivot in every block."""
-    few = sizes.withColumn("blocks", F.ceil(F.col("n") / size).cast("long"))
-    own = members.join(few, "node").select("node", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(False).alias("pivot"))
-    every = few.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        "node", F.explode(F.array_distinct("pivots")).alias("id"), "block", F.lit(True).alias("pivot"))
-    return own.unionByName(every.select(*own.columns)).select(
+def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """members: node, id; sizes: node, blocks, and pivots (their ids).  Rows (key, node, id, pivot): each member in a
+    block of its node, and each pivot in every block, numbered from 1 (0: no pivot)."""
+    own = members.join(sizes, "node").select("node", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(0).alias("pivot"))
+    every = sizes.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
+        "node", F.posexplode(F.array_distinct("pivots")).alias("pivot", "id"), "block")
+    return own.unionByName(every.select("node", "id", "block", (F.col("pivot") + 1).alias("pivot"))).select(
         F.xxhash64("node", "block").alias("key"), "node", "id", "pivot")
 
 
-def _pivots(members: DataFrame) -> DataFrame:
-    """node, n, pivots: the members that each of four hashes puts first, by map-side minimums."""
-    return members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.array(*(
-        F.min_by("id", F.xxhash64(F.lit(k), "id")) for k in range(4))).alias("pivots"))
+def _pivots(members: DataFrame, size: int, weight=None) -> DataFrame:
+    """node, n, weight, blocks (of about `size` members and BYTES of weight), pivots: the members that each of four
+    hashes puts first, by map-side minimums."""
+    weight = F.lit(0).cast("long") if weight is None else weight
+    return members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("weight"), F.array(*(
+        F.min_by("id", F.xxhash64(F.lit(k), "id")) for k in range(4))).alias("pivots")).withColumn(
+        "blocks", F.greatest(F.ceil(F.col("n") / size), F.ceil(F.col("weight") / BYTES), F.lit(1)).cast("long"))
 
 
-def _again(far: DataFrame, members: DataFrame, sizes: DataFrame, size: int) -> DataFrame:
-    """Blocks that bring every `far` document (node, id) together with every member of its node."""
+def _again(far: DataFrame, members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Blocks that bring every `far` document (node, id) together with every member of its node, about as many of them
+    in a block as of members."""
     held = written(far.distinct(), "far")
     left = held.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
-    few = written(sizes.join(left, "node").select(
-        "node", F.ceil(F.col("n") / size).cast("long").alias("blocks"), F.ceil(F.col("m") / size).cast("long").alias("parts")), "few")
+    few = written(sizes.join(left, "node").select("node", "blocks", F.ceil(F.col("m") * F.col("blocks") / F.col("n")).cast("long").alias("parts")), "few")
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     own = members.join(few, "node").select("node", "id", deal("id", "blocks").alias("block"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
     more = held.join(few, "node").select("node", "id", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), deal("id", "parts").alias("part"))
-    return own.unionByName(more).select(F.xxhash64("node", "block", "part").alias("key"), "node", "id", F.lit(False).alias("pivot"))
+    return own.unionByName(more).select(F.xxhash64("node", "block", "part").alias("key"), "node", "id", F.lit(0).alias("pivot"))
 
 
-def candidate_clusters(reps: DataFrame, trees: int = TREES) -> DataFrame:
-    """reps: id, tokens, sketch.  Returns id, node: the candidate clusters with two documents or more."""
+def candidate_clusters(reps: DataFrame, width: int = SKETCH, looks: float = LOOKS) -> DataFrame:
+    """reps (written): id, tokens, sketch of `width` values.  Returns id, node: the candidate clusters with two documents
+    or more."""
     spark = reps.sparkSession
-    fields = ", ".join(f"k{i} long" for i in range(LEVELS))
-    rest = written(reps.select("id", "tokens").mapInArrow(lambda b: _nodes(b, trees), f"id long, {fields}"), "nodes")
-    small, large = None, None
-    for level in range(LEVELS):
-        key = f"k{level}"
-        counts = written(rest.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
-        here = rest.join(counts, key)
-        part = here.where(F.col("n") <= NODE).select(F.col(key).alias("node"), "id")
-        small = part if small is None else small.unionByName(part)
-        large = written(here.where(F.col("n") > NODE).drop("n"), "large")
-        if large.isEmpty():
-            break
-        rest = large
-    small = written(small, "small")
-    rows = small.select(F.col("node").alias("key"), "node", "id", F.lit(False).alias("pivot"))
-    members = written(large.select(F.col(f"k{LEVELS - 1}").alias("node"), "id"), "members")
-    sizes = written(_pivots(members), "pivots")
-    rows = rows.unionByName(_blocks(members, sizes, NODE))
     sketches = reps.select("id", F.col("sketch").alias("body"), F.lit(False).alias("big"))
-    found = written(_by_block(spark, rows.join(sketches, "id"), _sketch_near), "near")
-    far = found.where("far").select("node", F.col("a").alias("id"))
-    edges = found.where("not far").select("a", "b")
-    if not far.isEmpty():
-        again = _again(far, members, sizes, NODE).join(sketches, "id")
-        edges = edges.unionByName(_by_block(spark, again, _sketch_near).select("a", "b"))
-    return connected_components(written(edges.distinct(), "cand")).withColumnRenamed("component_id", "node")
 
-
-def confirmed(clusters: DataFrame, texts: DataFrame, percent: int = 75) -> DataFrame:
+    def compared(rows: DataFrame) -> DataFrame:
+        return written(_by_block(spark, rows.join(sketches, "id"), lambda t: _looks(t["body"].to_pylist(), width, looks)), "near")
+
+    nodes = reps.select("id", "tokens").mapInArrow(_roots, "id long, tree int, node long")
+    small, edges = [], []
+    for level in range(1, LEVELS + 1):
+        nodes = written(nodes, "nodes")
+        counts = written(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+        here = nodes.join(counts, "node")
+        small.append(here.where(F.col("n") <= NODE).select("node", "id"))
+        large = written(here.where(F.col("n") > NODE).select("node", "tree", "id"), "large")
+        if large.isEmpty():
+            break
+        sizes = written(_pivots(large, NODE), "pivots")
+        found = compared(_blocks(large.select("node", "id"), sizes))
+        edges.append(found.where("not far"))
+        far = found.where("far").select("node", F.col("a").alias("id"))
+        if far.isEmpty():
+            break
+        open_ = written(far.select("node").distinct(), "open")
+        if level == LEVELS:
+            edges.append(compared(_again(far, large.join(open_, "node").select("node", "id"), sizes)))
+        else:
+            nodes = large.join(open_, "node", "left_semi").join(reps.select("id", "tokens"), "id").select("id", "tree", "node", "tokens")
+            nodes = nodes.mapInArrow(lambda b, level=level: _branches(b, level), "id long, tree int, node long")
+    rows = small[0]
+    for s in small[1:]:
+        rows = rows.unionByName(s)
+    out = compared(rows.select(F.col("node").alias("key"), "node", "id", F.lit(0).alias("pivot")))
+    for e in edges:
+        out = out.unionByName(e)
+    return connected_components(out.select("a", "b")).withColumnRenamed("component_id", "node")
+
+
+def confirmed(clusters: DataFrame, texts: DataFrame, percent: int = 75, apart: bool = False) -> DataFrame:
     """clusters: node, id; texts: id, body.  Returns a, b: for each component of the links on full sets with two
-    documents or more, its smallest id and each other one."""
+    documents or more, its smallest id and each other one.  apart: the clusters have been taken apart already."""
     spark = clusters.sparkSession
 
     def near(t):
@@ -256,32 +287,43 @@ def confirmed(clusters: DataFrame, texts: DataFrame, percent: int = 75) -> DataF
     # the texts of documents in clusters are all that is read from here on; merged, not broadcast, at every size, since
     # nothing bounds the number of clusters
     texts = written(texts.join(clusters.select("id").distinct().hint("merge"), "id"), "texts")
-    sizes = written(_pivots(clusters), "sizes")
-    tiny = clusters.join(sizes.where(F.col("n") <= GROUP).select("node"), "node").select(
-        F.col("node").alias("key"), "node", "id", F.lit(False).alias("pivot"), F.lit(False).alias("big"))
-    big_sizes = sizes.where(F.col("n") > GROUP)
+    weight = texts.select("id", F.octet_length("body").cast("long").alias("w"))
+    sizes = written(_pivots(clusters.join(weight, "id"), GROUP, F.col("w")), "sizes")
+    tiny = clusters.join(sizes.where(F.col("blocks") == 1).select("node"), "node").select(
+        F.col("node").alias("key"), "node", "id", F.lit(0).alias("pivot"), F.lit(False).alias("big"))
+    big_sizes = sizes.where(F.col("blocks") > 1)
     big = written(clusters.join(big_sizes.select("node"), "node"), "big")
-    rows = tiny.unionByName(_blocks(big, big_sizes, GROUP).withColumn("big", F.lit(True)))
+    rows = tiny.unionByName(_blocks(big, big_sizes).withColumn("big", F.lit(True)))
     found = written(_by_block(spark, rows.join(texts, "id"), near).where(F.col("a") != F.col("b")), "links")
     out = found.where("not big").select("a", "b")  # compared in one go, so the star is the component
-    if not big.isEmpty():
-        # a document is settled if it is in the largest component of its cluster; all others meet every member
-        edges = found.where("big").select("a", "b")
-        own = written(connected_components(edges), "own")
-        label = written(big.join(own, "id", "left").withColumn("component_id", F.coalesce("component_id", "id")), "label")
-        most = label.groupBy("node", "component_id").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(
-            F.max_by("component_id", F.struct("n", "component_id")).alias("top"))
-        far = label.join(written(most, "most"), "node").where(F.col("component_id") != F.col("top")).select("node", "id")
-        if not far.isEmpty():
-            again = _again(far, big, big_sizes, GROUP).withColumn("big", F.lit(True)).join(texts, "id")
-            edges = edges.unionByName(_by_block(spark, again, near).where(F.col("a") != F.col("b")).select("a", "b"))
-            own = connected_components(written(edges.distinct(), "edges"))
-        out = out.unionByName(own.where(F.col("id") != F.col("component_id")).select(F.col("component_id").alias("a"), F.col("id").alias("b")))
-    return written(out.distinct(), "confirmed")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
-                    trees: int = TREES) -> DataFrame:
+    if big.isEmpty():
+        return written(out.distinct(), "confirmed")
+    # a document is settled if it is in the largest component of its cluster; all others meet every member
+    edges = found.where("big").select("a", "b")
+    label = big.join(connected_components(edges), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    label = written(label, "label")
+    most = label.groupBy("node", "component_id").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(
+        F.max_by("component_id", F.struct("n", "component_id")).alias("top"))
+    far = written(label.join(written(most, "most"), "node").where(F.col("component_id") != F.col("top")).select("node", "id"), "far")
+    rest = far.groupBy("node").agg(F.count(F.lit(1)).alias("m")).join(big_sizes, "node").withColumn(
+        "wide", F.lit(not apart) & (F.col("m") * F.col("blocks") > F.col("n") * PARTS))
+    rest = written(rest.select("node", "wide"), "rest")
+    meet = far.join(rest.where("not wide").select("node"), "node")
+    if not meet.isEmpty():
+        again = _again(meet, big, big_sizes).withColumn("big", F.lit(True)).join(texts, "id")
+        edges = edges.unionByName(_by_block(spark, again, near).where(F.col("a") != F.col("b")).select("a", "b"))
+    wide = big.join(rest.where("wide").select("node"), "node", "left_semi").select("id")
+    if not wide.isEmpty():
+        again = texts.join(wide, "id", "left_semi").select("id", "body").mapInArrow(lambda b: _describe(b, LONG_SKETCH), DESCRIBED)
+        parts = candidate_clusters(written(again, "again"), LONG_SKETCH, LONG_LOOKS)
+        edges = edges.unionByName(confirmed(parts, texts.select("id", "body"), percent, True))
+    if not rest.isEmpty():
+        edges = connected_components(edges).where(F.col("id") != F.col("component_id")).select(F.col("component_id").alias("a"), F.col("id").alias("b"))
+    return written(out.unionByName(edges).distinct(), "confirmed")
+
+
+@scratched
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id (smallest id reachable by links, itself included),
     kept (id = component_id).  Documents link if 100 * intersection >= percent * union of their shingle sets; texts of
     fewer than five words are one shingle; null, empty and blank texts have none and link with nothing.  A null id is
@@ -290,14 +332,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     python_side(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     two = docs.select(key.alias("id"), F.col(text_col).alias("body"))
-    rows = written(two.mapInArrow(lambda b: _describe(b, trees), "id long, n long, d1 long, d2 long, tokens binary, sketch binary"), "sets")
+    rows = written(two.mapInArrow(_describe, DESCRIBED), "sets")
     full, same = rows.where("n > 0"), ["n", "d1", "d2"]
     reps = written(full.groupBy(*same).agg(F.min("id").alias("rep")), "reps")
     # the first row of each set stands for it; hot sets are few and go by broadcast
     named = written(join_hot(rows.select("id", *same), reps, same, hot_keys(full, same)), "named")
     firsts = full.join(reps.select(F.col("rep").alias("id"), *same), ["id", *same]).dropDuplicates(["id", *same])
     firsts = written(firsts.select("id", "tokens", "sketch"), "firsts")
-    clusters = candidate_clusters(firsts, trees)
+    clusters = candidate_clusters(firsts)
     links = confirmed(clusters, two, percent)
     parts = written(connected_components(written(links.unionByName(_bridges(named)), "graph")), "parts")
     out = named.withColumn("rep", F.coalesce("rep", "id"))
