@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratched, written
 
 TAGS = {"user": "INST", "assistant": "ASST", "system": "SYS"}
 
@@ -45,6 +45,7 @@ def _role(tag: Column) -> Column:
     return out.otherwise(F.decode(F.unhex(F.substring(tag, 6, 1 << 30)), "UTF-8"))
 
 
+@scratched
 def reply_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """messages: conv_id, msg_id (unique in its conversation), parent_id (null at a root), score.  Returns a row for
     each message of each chosen path: conv_id, leaf_id, msg_id, depth (0 at the root), path_score, path_rank (1 is best).

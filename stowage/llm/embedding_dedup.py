@@ -131,7 +131,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     empty or zero vector, one with null or non-finite components, and one with a null label link with nothing.  A null
     id is -2^63 in component_id; rows that share an id are one vertex and no link to each other.  No rows give no rows."""
     spark = vectors.sparkSession
-    python_side(spark, 2000)
+    python_side(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = vectors.select(key.alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     good = written(rows.mapInArrow(_packed, "id long, label string, dim int, vec binary"), "vectors")

@@ -2,8 +2,9 @@
 
 Line keys are hashed to 128 bits, range-partitioned by hash and sorted by document and position; a window streams over
 each run of equal hashes, marks all but the first document, and what leaves the operator is a bitmap a document (64
-lines a word, words without a dropped line left out), not text.  Keys that hold over 1/1000 of all lines (so fewer than
-1000 keys) do not go through the range partitioning: they are counted with map-side sums and broadcast.
+lines a word, words without a dropped line left out), not text.  Keys of more than common.HOT_ROWS lines, or of over
+1/1000 of all lines, do not go through the range partitioning: they are counted with map-side sums, and their lines meet
+that one row a key by broadcast while those keys are few, by a merge join beyond.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NO_ID, SPACE, ascii_lower, hot_keys, n_parts, written
+from .common import NO_ID, SPACE, ascii_lower, hot_keys, is_few, n_parts, scratched, sided, written
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -24,6 +25,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     })
 
 
+@scratched
 def shared_line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20,
                         min_docs: int = 3) -> DataFrame:
     """One row for each document that loses a line: _id, _tv, keep (map from word number to the 64 keep bits of lines
@@ -44,7 +46,9 @@ def shared_line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     lines = written(lines, "lines")
     keys = ["_h1", "_h2"]
-    few = F.broadcast(hot_keys(lines, keys))
+    hot_ones = hot_keys(lines, keys)
+    small = is_few(hot_ones)
+    few = sided(hot_ones, small)
 
     run = W.partitionBy(*keys).orderBy(F.col("_id").desc())
     cold = (
@@ -61,7 +65,7 @@ def shared_line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .agg(F.count(F.lit(1)).alias("_docs"), F.max("_id").alias("_first"))
         .where(F.col("_docs") >= min_docs).select(*keys, "_first")
     )
-    hot = hot.join(F.broadcast(most), keys).where(F.col("_id") < F.col("_first")).select("_id", "_tv", "_pos")
+    hot = hot.join(sided(most, small), keys).where(F.col("_id") < F.col("_first")).select("_id", "_tv", "_pos")
 
     word = F.col("_pos").cast("long") / 64
     return (
@@ -73,7 +77,8 @@ def shared_line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def apply_line_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text; null text gives one line, kept, and the empty kept_text."""
+    """docs with n_lines, n_dropped and kept_text; null text gives one line, kept, and the empty kept_text.  The bitmaps
+    are broadcast where the planner knows that they are small; beyond, whole texts are shuffled to them."""
     held = "shiftrightunsigned(coalesce(element_at(_keep, cast(floor(i / 64) as bigint)), -1L), i % 64) & 1L = 1L"
     kept = F.when(F.col("_keep").isNull(), F.col("_lines")).otherwise(F.expr(f"filter(_lines, (x, i) -> {held})"))
     joined = _keyed(docs, id_col, text_col).join(bitmaps, ["_id", "_tv"], "left").withColumn("_kept", kept)
