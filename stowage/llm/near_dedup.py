@@ -4,9 +4,9 @@
    it) are one representative from here on.
 2. TREES independent trees.  At the first level of a tree a document goes to the node of the token of its set that a hash
    of the tree puts first.  A node with at most NODE documents is compared exhaustively.  A larger one is dealt in blocks
-   that all hold the same few pivots: if all its documents are connected to its first pivot, it is settled; otherwise its
-   documents branch on, each by the tokens that BRANCH further hashes put first.  Nodes still open at level LEVELS have
-   all their unconnected documents compared with every block, so nothing is capped.  Comparison is by bottom-k sketches
+   that all hold the same few pivots.  Documents that are not connected to its first pivot are compared with every block
+   if there are at most NODE of them; if there are more, all documents of the node branch on, each by the tokens that
+   BRANCH further hashes put first.  At level LEVELS they are compared however many there are: nothing is capped.  Comparison is by bottom-k sketches
    against a threshold well below the wanted similarity; it emits, for each node, a star a component, never all pairs.
    The stars' components are the candidate clusters.
 3. Links are confirmed on the full sets of each cluster, recomputed from the whole texts: clusters of up to GROUP
@@ -96,30 +96,33 @@ def _branches(batches, level: int):
             names=["id", "tree", "node"])
 
 
-def _looks(rows: list[bytes], width: int = SKETCH, looks: float = LOOKS) -> np.ndarray:
-    """Whether the sketches of each two rows look alike: the share, of the `width` smallest values of both, that are in
-    both; sets of up to `width` shingles are whole in their sketches."""
+def _alike(rows: list[bytes], width: int = SKETCH, looks: float = LOOKS) -> list[tuple[int, int]]:
+    """Stars (position, smallest position of its component) of rows whose sketches look alike: by the share, of the
+    `width` smallest values of two rows, that are in both; sets of up to `width` shingles are whole in their sketches.
+    Rows that are connected already are not compared again."""
     values = [np.frombuffer(r, dtype=np.uint32) for r in rows]
-    n = len(values)
-    if n == 2:
-        bound = min(v[-1] if len(v) == width else 0xFFFFFFFF for v in values)
-        x, y = (v[: np.searchsorted(v, bound, side="right")] for v in values)
-        both = len(np.intersect1d(x, y))
-        return np.full((2, 2), both >= looks * (len(x) + len(y) - both))
+    n, sizes = len(values), np.array([len(r) // 4 for r in rows])
     every, where = np.unique(np.concatenate(values), return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(v) for v in values])
+    owner = np.repeat(np.arange(n), sizes)
     has = np.zeros((n, len(every)), dtype=np.float32)
     has[owner, where] = 1
-    same = np.zeros((n, n), dtype=bool)
-    last = np.array([v[-1] if len(v) == width else 0xFFFFFFFF for v in values], dtype=np.uint32)
-    for i in range(n):
-        bound = np.minimum(last[i], last[i:])  # values above are unknown in one of the two
-        upto = np.searchsorted(every, bound, side="right")
-        both, either = np.cumsum(has[i] * has[i:], axis=1), np.cumsum(np.maximum(has[i], has[i:]), axis=1)
-        at = np.maximum(upto - 1, 0)
-        k = np.arange(n - i)
-        same[i, i:] = both[k, at] >= looks * either[k, at]
-    return same | same.T
+    # the values up to the smaller of two last ones hold one of the sketches, so fewer common ones are too few
+    maybe = has @ has.T >= looks * np.minimum(sizes[:, None], sizes[None, :])
+    upto = np.array([np.searchsorted(every, v[-1], side="right") if len(v) == width else len(every) for v in values])
+    label = np.arange(n)
+    for i in range(n - 1):
+        js = i + 1 + np.flatnonzero(maybe[i, i + 1:] & (label[i + 1:] != label[i]))
+        if not len(js):
+            continue
+        end = int(upto[i])  # values above are unknown in one of the two
+        inside = np.arange(end) < np.minimum(upto[js], end)[:, None]
+        x, y = has[i, :end] > 0, has[js, :end] > 0
+        both, either = (x & y & inside).sum(axis=1), ((x | y) & inside).sum(axis=1)
+        joined = js[both >= looks * either]
+        if len(joined):
+            names = np.unique(np.append(label[joined], label[i]))
+            label[np.isin(label, names)] = names[0]
+    return [(int(i), int(c)) for i, c in enumerate(label) if i != c]
 
 
 def groups(batches, key: str):
@@ -143,7 +146,7 @@ def groups(batches, key: str):
 
 
 def _compare(batches, near):
-    """For each node or block the stars of near(table): a the smallest id of a component, b another one of it.  `far`
+    """For each node or block the stars that near(table) finds: a the smallest id of a component, b another one of it.  `far`
     rows are documents of a block with pivots that are not in the component of the first pivot."""
     cols: tuple[list, ...] = ([], [], [], [], [])
     for t in groups(batches, "key"):
@@ -152,7 +155,7 @@ def _compare(batches, near):
         t = t.sort_by("id")  # so the smallest position is the smallest id
         ids, pivots, node, big = t["id"].to_pylist(), t["pivot"].to_pylist(), t["node"][0].as_py(), t["big"][0].as_py()
         label = list(range(len(ids)))
-        for i, c in stars(near(t)):
+        for i, c in near(t):
             label[i] = c
             for col, x in zip(cols, (ids[c], ids[i], False, node, big), strict=True):
                 col.append(x)
@@ -226,7 +229,7 @@ def _pivots(members: DataFrame, size: int, weight=None) -> DataFrame:
 def _again(far: DataFrame, members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Blocks that bring every `far` document (node, id) together with every member of its node, about as many of them
     in a block as of members."""
-    held = written(far.distinct(), "far")
+    held = written(far, "held")
     left = held.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
     few = written(sizes.join(left, "node").select("node", "blocks", F.ceil(F.col("m") * F.col("blocks") / F.col("n")).cast("long").alias("parts")), "few")
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
@@ -242,7 +245,7 @@ def candidate_clusters(reps: DataFrame, width: int = SKETCH, looks: float = LOOK
     sketches = reps.select("id", F.col("sketch").alias("body"), F.lit(False).alias("big"))
 
     def compared(rows: DataFrame) -> DataFrame:
-        return written(_by_block(spark, rows.join(sketches, "id"), lambda t: _looks(t["body"].to_pylist(), width, looks)), "near")
+        return written(_by_block(spark, rows.join(sketches, "id"), lambda t: _alike(t["body"].to_pylist(), width, looks)), "near")
 
     nodes = reps.select("id", "tokens").mapInArrow(_roots, "id long, tree int, node long")
     small, edges = [], []
@@ -257,15 +260,18 @@ def candidate_clusters(reps: DataFrame, width: int = SKETCH, looks: float = LOOK
         sizes = written(_pivots(large, NODE), "pivots")
         found = compared(_blocks(large.select("node", "id"), sizes))
         edges.append(found.where("not far"))
-        far = found.where("far").select("node", F.col("a").alias("id"))
-        if far.isEmpty():
+        far = written(found.where("far").select("node", F.col("a").alias("id")).distinct(), "far")
+        # the rest of a node meets all of it where the rest is few (or the tree ends); other nodes branch on
+        ends = F.lit(level == LEVELS) | (F.col("m") <= NODE)
+        rest = written(far.groupBy("node").agg(F.count(F.lit(1)).alias("m")).select("node", ends.alias("ends")), "rest")
+        meet = far.join(rest.where("ends").select("node"), "node")
+        if not meet.isEmpty():
+            edges.append(compared(_again(meet, large.select("node", "id"), sizes)))
+        open_ = rest.where("not ends").select("node")
+        if open_.isEmpty():
             break
-        open_ = written(far.select("node").distinct(), "open")
-        if level == LEVELS:
-            edges.append(compared(_again(far, large.join(open_, "node").select("node", "id"), sizes)))
-        else:
-            nodes = large.join(open_, "node", "left_semi").join(reps.select("id", "tokens"), "id").select("id", "tree", "node", "tokens")
-            nodes = nodes.mapInArrow(lambda b, level=level: _branches(b, level), "id long, tree int, node long")
+        nodes = large.join(open_, "node", "left_semi").join(reps.select("id", "tokens"), "id").select("id", "tree", "node", "tokens")
+        nodes = nodes.mapInArrow(lambda b, level=level: _branches(b, level), "id long, tree int, node long")
     rows = small[0]
     for s in small[1:]:
         rows = rows.unionByName(s)
@@ -281,7 +287,7 @@ def confirmed(clusters: DataFrame, texts: DataFrame, percent: int = 75, apart: b
     spark = clusters.sparkSession
 
     def near(t):
-        return linked(shingle_sets(t["body"].combine_chunks() if t.num_rows else t["body"]), percent)
+        return stars(linked(shingle_sets(t["body"].combine_chunks()), percent))
 
     clusters = written(clusters, "clusters")
     # the texts of documents in clusters are all that is read from here on; merged, not broadcast, at every size, since
