@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hot_keys, join_hot, n_parts, python_side, scratched, written
+from .common import NO_ID, hot_keys, is_few, join_hot, n_parts, python_side, scratched, sided, written
 from .graph import connected_components, stars
 from .shingles import mix, shingle_sets
 
 TREES, LEVELS, BRANCH, NODE = 14, 4, 2, 64
 #: Documents and bytes of text that are compared at once on full sets; blocks that one cluster's rest may fill.
-GROUP, BYTES, PARTS = 256, 16 << 20, 4
+GROUP, BYTES, PARTS = 256, 16 << 20, 8
 #: Values of a sketch, and the likeness below which two are no candidates: 5 standard errors below 0.75.
 SKETCH, LOOKS = 64, 0.48
 LONG_SKETCH, LONG_LOOKS = 512, 0.65
@@ -62,38 +62,26 @@ def _describe(batches, width: int = SKETCH):
         sketch = [(s[:width] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-             pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array(sketch, pa.binary())],
-            names=["id", "n", "d1", "d2", "tokens", "sketch"])
+             pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(_SEEDS)), pa.array(tokens.ravel().view(np.int32))),
+             pa.array(sketch, pa.binary())], names=["id", "n", "d1", "d2", "tokens", "sketch"])
 
 
-DESCRIBED = "id long, n long, d1 long, d2 long, tokens binary, sketch binary"
+DESCRIBED = "id long, n long, d1 long, d2 long, tokens array<int>, sketch binary"
 
 
-def _tokens(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, TREES, _EACH).astype(np.uint64)
+def _roots(reps: DataFrame) -> DataFrame:
+    """The node of each document at the first level of each tree: id, tokens, tree, node."""
+    firsts = F.array(*(F.col("tokens")[k * _EACH] for k in range(TREES)))
+    return reps.select("id", "tokens", F.posexplode(firsts).alias("tree", "_t")).select(
+        "id", "tokens", "tree", F.xxhash64("tree", "_t").alias("node"))
 
 
-def _roots(batches):
-    """The node of each document at the first level of each tree: id, tree, node."""
-    for batch in batches:
-        t = _tokens(batch.column(1))
-        key = mix(mix(np.arange(1, TREES + 1, dtype=np.uint64)) ^ (t[:, :, 0] + np.uint64(1)) * _STEP)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column(0).to_numpy(), TREES)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(t))),
-             pa.array(key.ravel().view(np.int64))], names=["id", "tree", "node"])
-
-
-def _branches(batches, level: int):
-    """The nodes below those of (id, tree, node, tokens) at a further level."""
-    for batch in batches:
-        t = _tokens(batch.column(3))
-        tree, node = batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
-        at = 1 + BRANCH * (level - 1) + np.arange(BRANCH)
-        mine = t[np.arange(len(t))[:, None], tree[:, None], at[None, :]] + np.uint64(level + 1) + (np.arange(BRANCH, dtype=np.uint64) << np.uint64(40))
-        key = mix(node[:, None] ^ mine * _STEP)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column(0).to_numpy(), BRANCH)), pa.array(np.repeat(tree, BRANCH)), pa.array(key.ravel().view(np.int64))],
-            names=["id", "tree", "node"])
+def _branches(nodes: DataFrame, level: int) -> DataFrame:
+    """The nodes below those given, at a further level."""
+    at = F.col("tree") * _EACH + 1 + BRANCH * (level - 1)
+    next_ = F.array(*(F.get(F.col("tokens"), at + k) for k in range(BRANCH)))
+    return nodes.select("id", "tokens", "tree", "node", F.posexplode(next_).alias("_b", "_t")).select(
+        "id", "tokens", "tree", F.xxhash64("node", "_b", "_t").alias("node"))
 
 
 def _alike(rows: list[bytes], width: int = SKETCH, looks: float = LOOKS) -> list[tuple[int, int]]:
@@ -226,15 +214,18 @@ def _pivots(members: DataFrame, size: int, weight=None) -> DataFrame:
         "blocks", F.greatest(F.ceil(F.col("n") / size), F.ceil(F.col("weight") / BYTES), F.lit(1)).cast("long"))
 
 
-def _again(far: DataFrame, members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Blocks that bring every `far` document (node, id) together with every member of its node, about as many of them
-    in a block as of members."""
-    held = written(far, "held")
-    left = held.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
-    few = written(sizes.join(left, "node").select("node", "blocks", F.ceil(F.col("m") * F.col("blocks") / F.col("n")).cast("long").alias("parts")), "few")
+def _rest(far: DataFrame, sizes: DataFrame) -> DataFrame:
+    """node, n, m (documents of the node in `far`: node, id), blocks, and the parts in which those meet the blocks, about
+    as many of them in a part as members in a block."""
+    left = far.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+    return written(sizes.join(left, "node").select("node", "n", "m", "blocks", F.ceil(F.col("m") * F.col("blocks") / F.col("n")).cast("long").alias("parts")), "rest")
+
+
+def _again(far: DataFrame, members: DataFrame, few: DataFrame) -> DataFrame:
+    """Blocks that bring every `far` document of the nodes in `few` (see _rest) together with every member of its node."""
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     own = members.join(few, "node").select("node", "id", deal("id", "blocks").alias("block"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
-    more = held.join(few, "node").select("node", "id", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), deal("id", "parts").alias("part"))
+    more = far.join(few, "node").select("node", "id", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), deal("id", "parts").alias("part"))
     return own.unionByName(more).select(F.xxhash64("node", "block", "part").alias("key"), "node", "id", F.lit(0).alias("pivot"))
 
 
@@ -244,46 +235,42 @@ def candidate_clusters(reps: DataFrame, width: int = SKETCH, looks: float = LOOK
     spark = reps.sparkSession
     sketches = reps.select("id", F.col("sketch").alias("body"), F.lit(False).alias("big"))
 
-    def compared(rows: DataFrame) -> DataFrame:
-        return written(_by_block(spark, rows.join(sketches, "id"), lambda t: _alike(t["body"].to_pylist(), width, looks)), "near")
+    def compared(rows: DataFrame, held: DataFrame) -> DataFrame:
+        return _by_block(spark, rows.join(held, "id"), lambda t: _alike(t["body"].to_pylist(), width, looks))
 
-    nodes = reps.select("id", "tokens").mapInArrow(_roots, "id long, tree int, node long")
-    small, edges = [], []
+    nodes, small, edges, held = _roots(reps), [], [], None
     for level in range(1, LEVELS + 1):
-        nodes = written(nodes, "nodes")
-        counts = written(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
-        here = nodes.join(counts, "node")
+        counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        here = written(nodes.drop("tokens", "tree").join(counts, "node"), "nodes")
         small.append(here.where(F.col("n") <= NODE).select("node", "id"))
-        large = written(here.where(F.col("n") > NODE).select("node", "tree", "id"), "large")
-        if large.isEmpty():
-            break
+        large = here.where(F.col("n") > NODE).select("node", "id")
         sizes = written(_pivots(large, NODE), "pivots")
-        found = compared(_blocks(large.select("node", "id"), sizes))
+        if sizes.isEmpty():
+            break
+        if held is None:  # later levels meet no other documents
+            held = written(sketches.join(large.select("id").distinct(), "id"), "held")
+        found = written(compared(_blocks(large, sizes), held), "near")
         edges.append(found.where("not far"))
-        far = written(found.where("far").select("node", F.col("a").alias("id")).distinct(), "far")
+        far = found.where("far").select("node", F.col("a").alias("id")).distinct()
         # the rest of a node meets all of it where the rest is few (or the tree ends); other nodes branch on
-        ends = F.lit(level == LEVELS) | (F.col("m") <= NODE)
-        rest = written(far.groupBy("node").agg(F.count(F.lit(1)).alias("m")).select("node", ends.alias("ends")), "rest")
-        meet = far.join(rest.where("ends").select("node"), "node")
-        if not meet.isEmpty():
-            edges.append(compared(_again(meet, large.select("node", "id"), sizes)))
-        open_ = rest.where("not ends").select("node")
+        rest, ends = _rest(far, sizes), F.lit(level == LEVELS) | (F.col("m") <= NODE)
+        edges.append(written(compared(_again(far, large, rest.where(ends)), held), "near"))
+        open_ = rest.where(~ends).select("node")
         if open_.isEmpty():
             break
-        nodes = large.join(open_, "node", "left_semi").join(reps.select("id", "tokens"), "id").select("id", "tree", "node", "tokens")
-        nodes = nodes.mapInArrow(lambda b, level=level: _branches(b, level), "id long, tree int, node long")
+        nodes = _branches(nodes.join(sided(open_, is_few(open_)), "node", "left_semi"), level)
     rows = small[0]
     for s in small[1:]:
         rows = rows.unionByName(s)
-    out = compared(rows.select(F.col("node").alias("key"), "node", "id", F.lit(0).alias("pivot")))
+    out = compared(rows.select(F.col("node").alias("key"), "node", "id", F.lit(0).alias("pivot")), sketches)
     for e in edges:
         out = out.unionByName(e)
     return connected_components(out.select("a", "b")).withColumnRenamed("component_id", "node")
 
 
 def confirmed(clusters: DataFrame, texts: DataFrame, percent: int = 75, apart: bool = False) -> DataFrame:
-    """clusters: node, id; texts: id, body.  Returns a, b: for each component of the links on full sets with two
-    documents or more, its smallest id and each other one.  apart: the clusters have been taken apart already."""
+    """clusters: node, id; texts: id, body.  Returns a, b: links on full sets, or stars of such, that connect what is
+    connected.  apart: the clusters have been taken apart already."""
     spark = clusters.sparkSession
 
     def near(t):
@@ -311,20 +298,15 @@ def confirmed(clusters: DataFrame, texts: DataFrame, percent: int = 75, apart: b
     most = label.groupBy("node", "component_id").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(
         F.max_by("component_id", F.struct("n", "component_id")).alias("top"))
     far = written(label.join(written(most, "most"), "node").where(F.col("component_id") != F.col("top")).select("node", "id"), "far")
-    rest = far.groupBy("node").agg(F.count(F.lit(1)).alias("m")).join(big_sizes, "node").withColumn(
-        "wide", F.lit(not apart) & (F.col("m") * F.col("blocks") > F.col("n") * PARTS))
-    rest = written(rest.select("node", "wide"), "rest")
-    meet = far.join(rest.where("not wide").select("node"), "node")
-    if not meet.isEmpty():
-        again = _again(meet, big, big_sizes).withColumn("big", F.lit(True)).join(texts, "id")
-        edges = edges.unionByName(_by_block(spark, again, near).where(F.col("a") != F.col("b")).select("a", "b"))
-    wide = big.join(rest.where("wide").select("node"), "node", "left_semi").select("id")
-    if not wide.isEmpty():
-        again = texts.join(wide, "id", "left_semi").select("id", "body").mapInArrow(lambda b: _describe(b, LONG_SKETCH), DESCRIBED)
+    rest = _rest(far, big_sizes)
+    wide = F.lit(not apart) & (F.col("parts") > PARTS)
+    again = _again(far, big, rest.where(~wide)).withColumn("big", F.lit(True)).join(texts, "id")
+    edges = edges.unionByName(_by_block(spark, again, near).where(F.col("a") != F.col("b")).select("a", "b"))
+    unlike = big.join(rest.where(wide).select("node"), "node", "left_semi").select("id")
+    if not unlike.isEmpty():
+        again = texts.join(unlike, "id", "left_semi").select("id", "body").mapInArrow(lambda b: _describe(b, LONG_SKETCH), DESCRIBED)
         parts = candidate_clusters(written(again, "again"), LONG_SKETCH, LONG_LOOKS)
         edges = edges.unionByName(confirmed(parts, texts.select("id", "body"), percent, True))
-    if not rest.isEmpty():
-        edges = connected_components(edges).where(F.col("id") != F.col("component_id")).select(F.col("component_id").alias("a"), F.col("id").alias("b"))
     return written(out.unionByName(edges).distinct(), "confirmed")
 
 
