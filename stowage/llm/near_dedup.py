@@ -32,7 +32,7 @@ from .common import NO_ID, hot_keys, is_few, join_hot, n_parts, python_side, scr
 from .graph import connected_components, stars
 from .shingles import mix, shingle_sets
 
-TREES, LEVELS, BRANCH, NODE = 14, 4, 2, 64
+TREES, LEVELS, BRANCH, NODE = 14, 4, 2, 256
 #: Documents and bytes of text that are compared at once on full sets; blocks that one cluster's rest may fill.
 GROUP, BYTES, PARTS = 256, 16 << 20, 8
 #: Values of a sketch, and the likeness below which two are no candidates: 5 standard errors below 0.75.
@@ -89,23 +89,26 @@ def _alike(rows: list[bytes], width: int = SKETCH, looks: float = LOOKS) -> list
     `width` smallest values of two rows, that are in both; sets of up to `width` shingles are whole in their sketches.
     Rows that are connected already are not compared again."""
     values = [np.frombuffer(r, dtype=np.uint32) for r in rows]
-    n, sizes = len(values), np.array([len(r) // 4 for r in rows])
-    every, where = np.unique(np.concatenate(values), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    has = np.zeros((n, len(every)), dtype=np.float32)
-    has[owner, where] = 1
+    n, sizes = len(values), np.array([len(v) for v in values])
+    every, where, held_by = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    shared = held_by > 1  # other values are common to no two rows
+    has = np.zeros((n, int(shared.sum())), dtype=np.float32)
+    mine = shared[where]
+    has[np.repeat(np.arange(n), sizes)[mine], (np.cumsum(shared) - 1)[where[mine]]] = 1
+    every = every[shared]
     # the values up to the smaller of two last ones hold one of the sketches, so fewer common ones are too few
     maybe = has @ has.T >= looks * np.minimum(sizes[:, None], sizes[None, :])
-    upto = np.array([np.searchsorted(every, v[-1], side="right") if len(v) == width else len(every) for v in values])
+    last = np.array([v[-1] if len(v) == width else 0xFFFFFFFF for v in values], dtype=np.uint32)
     label = np.arange(n)
     for i in range(n - 1):
         js = i + 1 + np.flatnonzero(maybe[i, i + 1:] & (label[i + 1:] != label[i]))
         if not len(js):
             continue
-        end = int(upto[i])  # values above are unknown in one of the two
-        inside = np.arange(end) < np.minimum(upto[js], end)[:, None]
-        x, y = has[i, :end] > 0, has[js, :end] > 0
-        both, either = (x & y & inside).sum(axis=1), ((x | y) & inside).sum(axis=1)
+        upto = np.minimum(last[i], last[js])  # values above are unknown in one of the two
+        inside = np.arange(len(every)) < np.searchsorted(every, upto, side="right")[:, None]
+        both = (has[js] * has[i] * inside).sum(axis=1)
+        either = np.searchsorted(values[i], upto, side="right") - both
+        either += np.array([np.searchsorted(values[j], u, side="right") for j, u in zip(js.tolist(), upto, strict=True)])
         joined = js[both >= looks * either]
         if len(joined):
             names = np.unique(np.append(label[joined], label[i]))
