@@ -148,13 +148,16 @@ def _compare(batches, near):
         label = list(range(len(ids)))
         for i, c in near(t):
             label[i] = c
-            for col, x in zip(cols, (ids[c], ids[i], False, node, big), strict=True):
-                col.append(x)
-        if any(pivots):
-            first = {x for x, p in zip(ids, pivots, strict=True) if p == 1}
-            home = {c for x, c in zip(ids, label, strict=True) if x in first}
-            for x, c in zip(ids, label, strict=True):
-                if c not in home:
+        # where the rest of a node meets it, what is connected without that rest was found before
+        told = {c for p, c in zip(pivots, label, strict=True) if p < 0} if min(pivots) < 0 else set(label)
+        for i, c in enumerate(label):
+            if ids[i] != ids[c] and c in told:
+                for col, x in zip(cols, (ids[c], ids[i], False, node, big), strict=True):
+                    col.append(x)
+        if max(pivots) > 0:
+            home = {c for p, c in zip(pivots, label, strict=True) if p == 1}
+            for i, (x, c) in enumerate(zip(ids, label, strict=True)):
+                if c not in home and (i == 0 or ids[i - 1] != x):
                     for col, v in zip(cols, (x, x, True, node, big), strict=True):
                         col.append(v)
         if len(cols[0]) > 5000:
@@ -200,7 +203,7 @@ def _by_block(spark, rows: DataFrame, near) -> DataFrame:
 
 def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """members: node, id; sizes: node, blocks, and pivots (their ids).  Rows (key, node, id, pivot): each member in a
-    block of its node, and each pivot in every block, numbered from 1 (0: no pivot)."""
+    block of its node, and each pivot in every block, numbered from 1 (0: no pivot; -1, in _again: one of the rest)."""
     own = members.join(sizes, "node").select("node", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(0).alias("pivot"))
     every = sizes.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
         "node", F.posexplode(F.array_distinct("pivots")).alias("pivot", "id"), "block")
@@ -229,7 +232,8 @@ def _again(far: DataFrame, members: DataFrame, few: DataFrame) -> DataFrame:
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     own = members.join(few, "node").select("node", "id", deal("id", "blocks").alias("block"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
     more = far.join(few, "node").select("node", "id", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), deal("id", "parts").alias("part"))
-    return own.unionByName(more).select(F.xxhash64("node", "block", "part").alias("key"), "node", "id", F.lit(0).alias("pivot"))
+    both = own.withColumn("pivot", F.lit(0)).unionByName(more.withColumn("pivot", F.lit(-1)))
+    return both.select(F.xxhash64("node", "block", "part").alias("key"), "node", "id", "pivot")
 
 
 def candidate_clusters(reps: DataFrame, width: int = SKETCH, looks: float = LOOKS) -> DataFrame:
