@@ -2,9 +2,14 @@
 
 For each language a suffix automaton holds every substring of a sample of its labelled text.  A text is parsed greedily
 into phrases, each the longest one that occurs in the sample (a character that never occurs is a phrase of its own).
-The language that needs the fewest phrases for a character wins.  The automata are flattened to total transition tables,
-so numpy walks thousands of blocks of text at once: a text is cut into blocks of BLOCK characters, every block starts
-at the root, and all blocks count.
+Phrases a character are normalised by what the language's own text needs: each of FOLDS parts of its sample is parsed by
+an automaton of the others, so a language with little labelled text, whose phrases are short, is measured by that.  The
+language with the fewest normalised phrases wins.
+
+The automata are flattened to total transition tables, so numpy walks thousands of blocks of text at once: a text is cut
+into blocks of up to BLOCK symbols, after a character that is no letter where there is one, every block starts at
+the root, and all blocks count.  Letters beyond the commonest are spelled in DIGITS symbols of their code point, so that
+scripts of many letters keep them apart.
 """
 
 from __future__ import annotations
@@ -19,9 +24,16 @@ from pyspark.sql import functions as F
 
 from .common import python_side
 
-#: Bounds of the labelled sample, for each language: rows collected, and characters that its automaton is built from.
-SAMPLE_ROWS, TRAIN_CHARS = 64, 16_000
-CLASSES, PAD, OTHER, BLOCK = 64, 63, 61, 256
+#: Bounds of the labelled sample, for each language: rows collected, and characters that its automaton is built from;
+#: and for all languages together, so that the tables stay under 250 MB however many languages there are.
+SAMPLE_ROWS, TRAIN_CHARS, ALL_CHARS = 64, 16_000, 500_000
+#: Symbols: 0 what is no letter, 1 to COMMON letters of their own, then 16 digits of code points, a letter that no sample
+#: has, and a block's end.
+CLASSES, PAD, UNSEEN, COMMON, DIGITS, BLOCK, FOLDS = 64, 63, 62, 45, 5, 256, 4
+#: Phrases of a text over those that the winner's own text would need, beyond which a text is in no known language; it
+#: must have LEAST symbols, for a shorter one says too little.
+FOREIGN, LEAST = 3.0, 40
+SPELLED = 255
 #: Characters that are parsed at once by a task.
 CHUNK = 2_000_000
 
@@ -68,49 +80,73 @@ def automaton(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
-    classes: np.ndarray  # of each code point
+    classes: np.ndarray  # of each code point; SPELLED for letters without a class
     letter: np.ndarray
+    lower: np.ndarray  # code point of the small letter
     languages: list[str]
     tables: list[np.ndarray]
+    own: np.ndarray  # phrases a symbol that each language's own text needs
 
     @classmethod
     def fit(cls, texts: dict[str, str]) -> LanguageModel:
-        """texts: by language.  The OTHER - 1 commonest letters get a class of their own, other letters share one, all
-        that is no letter is class 0."""
+        """texts: by language.  The COMMON commonest letters get a class of their own, others that occur are spelled,
+        those that don't are UNSEEN, all that is no letter is class 0."""
         common = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-        own = {c: i + 1 for i, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[: OTHER - 1])}
+        own = {c: i + 1 for i, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[:COMMON])}
         letter = np.array([chr(i).isalpha() for i in range(0x110000)])
         classes = np.zeros(0x110000, dtype=np.uint8)
         for i in np.flatnonzero(letter):
-            classes[i] = own.get(chr(i).lower()[0], OTHER)
-        model = cls(classes, letter, sorted(texts), [])
+            c = chr(i).lower()[0]
+            classes[i] = own.get(c, SPELLED if c in common else UNSEEN)
+        lower = np.array([ord(chr(i).lower()[0]) if letter[i] else i for i in range(0x110000)], dtype=np.uint32)
+        model = cls(classes, letter, lower, sorted(texts), [], np.ones(len(texts)))
+        rates = []
         for lang in model.languages:
-            model.tables.append(automaton(model.codes(texts[lang])[0]))
+            c = model.codes(texts[lang])[0]
+            model.tables.append(automaton(c))
+            cuts = [len(c) * k // FOLDS for k in range(FOLDS + 1)]
+            n = 0.0
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                rest = automaton(np.concatenate((c[:a], c[b:])))
+                n += model.parsed(c[a:b], np.zeros(b - a, dtype=np.int64), 1, [rest])[0][0, 0] if b > a else 0
+            rates.append(n / len(c) if len(c) else 1.0)
+        model.own = np.array(rates)
         return model
 
     def codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The classes of the characters, runs of class 0 kept as one; where each of them stood."""
+        """The symbols of the text, runs of class 0 kept as one; the character that each belongs to."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         c = self.classes[points]
         at = np.flatnonzero((c != 0) | np.concatenate(([True], c[:-1] != 0))) if len(c) else np.zeros(0, np.int64)
-        return c[at], at
-
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases by text and language, and letters-or-runs by text.  One parse for all texts together."""
-        lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        c, at = self.codes("\n".join(texts))
-        ends = np.cumsum(lengths + 1)
-        doc = np.searchsorted(ends, at, side="right")
-        n = np.bincount(doc, minlength=len(texts)).astype(np.int64)
-        blocks = -(-n // BLOCK)
-        first = np.concatenate(([0], np.cumsum(blocks)))
-        starts = np.concatenate(([0], np.cumsum(n)))[:-1]
-        grid = np.full(int(first[-1]) * BLOCK, PAD, dtype=np.uint8)
-        grid[np.arange(len(c)) + np.repeat(first[:-1] * BLOCK - starts, n)] = c
+        c = c[at]
+        far = c == SPELLED
+        if far.any():
+            n = np.where(far, DIGITS, 1)
+            which = np.repeat(np.arange(len(c)), n)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            digit = (self.lower[points[at][which]] >> (4 * place).astype(np.uint32)) & np.uint32(15)
+            c, at = np.where(far[which], COMMON + 1 + digit, c[which]).astype(np.uint8), at[which]
+        return c, at
+
+    def parsed(self, c: np.ndarray, doc: np.ndarray, texts: int, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases by text and table, and symbols by text: c symbols, doc the text of each."""
+        n = np.bincount(doc, minlength=texts).astype(np.int64)
+        ends = np.cumsum(n)
+        # cut each half BLOCK, and then after the next class 0, if one stands in the half BLOCK that follows
+        gaps = np.flatnonzero(c == 0)
+        count = np.where(n <= BLOCK, np.minimum(n, 1), -(-n // (BLOCK // 2)))
+        own = np.repeat(np.arange(texts), count)
+        cut = (np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)) * (BLOCK // 2) + np.repeat(ends - n, count)
+        k = np.searchsorted(gaps, cut, side="left")
+        after = np.where(k < len(gaps), gaps[np.minimum(k, max(0, len(gaps) - 1))] + 1 if len(gaps) else 0, 1 << 62)
+        later = cut > (ends - n)[own]
+        start = np.where(later & (after < np.minimum(cut + BLOCK // 2, ends[own])), after, cut)
+        size = np.diff(np.append(start, len(c)))  # under BLOCK each, and they follow one another
+        grid = np.full(len(start) * BLOCK, PAD, dtype=np.uint8)
+        grid[np.arange(len(c)) - np.repeat(start, size) + np.repeat(np.arange(len(start)) * BLOCK, size)] = c
         steps = np.ascontiguousarray(grid.reshape(-1, BLOCK).T).astype(np.int32)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        out = np.zeros((len(texts), len(self.tables)))
-        for k, table in enumerate(self.tables):
+        out = np.zeros((texts, len(tables)))
+        for j, table in enumerate(tables):
             state = np.zeros(steps.shape[1], dtype=np.int32)
             count = np.zeros(steps.shape[1], dtype=np.int32)
             at_, flag = np.empty_like(state), np.empty_like(state)
@@ -120,13 +156,21 @@ class LanguageModel:
                 np.take(table, at_, out=state, mode="clip")
                 np.bitwise_and(state, 1, out=flag)
                 count += flag
-            out[:, k] = np.bincount(owner, weights=count, minlength=len(texts))
-        return out + blocks[:, None], n
+            out[:, j] = np.bincount(own, weights=count + 1, minlength=texts)
+        return out, n
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """The language of each text and a score from 0 to 1: 1 - phrases of the winner / phrases of the runner-up.
-        und, 0 if the text is null or has no letter, or nothing was learned.  Ties go to the first language by name."""
-        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases by text and language, and symbols by text.  One parse for all texts together."""
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        c, at = self.codes("\n".join(texts))
+        return self.parsed(c, np.searchsorted(np.cumsum(lengths + 1), at, side="right"), len(texts), self.tables)
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language of each text; a score from 0 to 1: 1 - normalised phrases of the winner / those of the runner-up;
+        and the winner's normalised phrases, about 1 for a text in that language (0 where fewer than LEAST symbols say
+        too little).  und, 0, 0 if the text is null or has no letter, or nothing was learned.  Ties go to the first
+        language by name."""
+        langs, scores, ratios = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         todo = [i for i, t in enumerate(texts) if t]
         at = 0
         while at < len(todo) and self.languages:
@@ -135,7 +179,8 @@ class LanguageModel:
                 size += len(texts[todo[end]]) + 1
                 end += 1
             some = todo[at:end]
-            f, _ = self.phrases([texts[i] for i in some])
+            f, n = self.phrases([texts[i] for i in some])
+            f = f / (np.maximum(n, 1)[:, None] * self.own[None, :])
             has = np.array([self._has_letter(texts[i]) for i in some])
             order = np.argsort(f, axis=1, kind="stable")
             best = np.take_along_axis(f, order[:, :1], 1)[:, 0]
@@ -144,8 +189,9 @@ class LanguageModel:
                 if has[j]:
                     langs[i] = self.languages[order[j, 0]]
                     scores[i] = 1.0 - best[j] / second[j] if np.isfinite(second[j]) else 1.0
+                    ratios[i] = best[j] if n[j] >= LEAST else 0.0
             at = end
-        return langs, scores
+        return langs, scores, ratios
 
     def _has_letter(self, text: str) -> bool:
         if any(c.isalpha() for c in text[:8]):
@@ -155,43 +201,51 @@ class LanguageModel:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           rows: int = SAMPLE_ROWS, chars: int = TRAIN_CHARS) -> LanguageModel:
-    """docs: labelled rows only.  For each language the rows are tried in the order of a hash of their id: at most
-    `rows` of them are collected, and their texts give at most `chars` characters (both bounds are parameters)."""
+    """docs: labelled rows only; rows without a language or text are left out.  For each language the rows are tried in
+    the order of a hash of id and text, so null and repeated ids are no matter and reruns agree: at most `rows` of them
+    are collected, and their texts give at most `chars` characters, fewer if ALL_CHARS shared by all languages is less
+    (the bounds are parameters).  No such row gives a model that says und."""
     known = docs.where(F.col(lang_col).isNotNull() & (F.length(F.trim(text_col)) > 0))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    h = F.xxhash64(F.lit("lang"), F.col(id_col).cast("string"), F.col(text_col))
+    counts = {r[0]: (r["n"], r["low"]) for r in known.select(lang_col, h.alias("h")).groupBy(lang_col).agg(
+        F.count(F.lit(1)).alias("n"), F.min("h").alias("low")).collect()}
     if not counts:
         return LanguageModel.fit({})
-    # the hash threshold of a language lets through about 2 * rows of its rows; a rare language keeps all
-    share = F.lit(0.0)
-    for lang, n in counts.items():
+    chars = min(chars, max(1, ALL_CHARS // len(counts)))
+    # the hash threshold of a language lets through about 2 * rows of its rows, its first one always; rows with the same
+    # hash have the same text, and count once
+    share, low = F.lit(0.0), F.lit(None).cast("long")
+    for lang, (n, first) in counts.items():
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, 2.0 * rows / n))).otherwise(share)
-    h = F.xxhash64(F.lit("lang"), F.col(id_col).cast("string"))
+        low = F.when(F.col(lang_col) == lang, F.lit(first)).otherwise(low)
     mark = F.pmod(h, F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = known.where(mark < share).select(lang_col, h.alias("h"), F.substring(text_col, 1, chars).alias("t"))
+    sample = known.where((mark < share) | (h == low)).select(lang_col, h.alias("h"), F.substring(text_col, 1, chars).alias("t"))
     texts: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in sorted(sample.collect(), key=lambda r: (r[0], r[1], r[2])):
+    for r in sorted(sample.dropDuplicates([lang_col, "h"]).collect(), key=lambda r: (r[0], r[1], r[2])):
         if len(texts[r[0]]) < rows:
             texts[r[0]].append(r[2])
-    for lang in [x for x, t in texts.items() if not t]:  # no row of a language was below its threshold
-        texts[lang] = [r[0] for r in known.where(F.col(lang_col) == lang).select(F.substring(text_col, 1, chars)).limit(1).collect()]
     return LanguageModel.fit({lang: "\n".join(_spread(t, chars)) for lang, t in texts.items()})
 
 
 def _spread(texts: list[str], chars: int) -> list[str]:
-    """Pieces of all texts, of equal share, with chars characters together at most."""
-    each = max(1, chars // max(1, len(texts)))
-    return [t[:each] for t in texts]
+    """The beginnings of the texts, chars characters together at most, in equal shares; what short texts leave over goes
+    to the longer ones."""
+    out, left = {}, chars
+    for k, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        out[i] = texts[i][: left // (len(texts) - k)]
+        left -= len(out[i])
+    return [out[i] for i in range(len(texts))]
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """docs and the columns lang_pred, score (which replace columns of that name).  See LanguageModel.predict for null,
     empty and letterless texts; whole texts are read, whatever their length; repeated rows get the same answer."""
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by TRAIN_CHARS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by ALL_CHARS
 
     def run(batches):
         for batch in batches:
-            langs, scores = shared.value.predict(batch.column(text_col).to_pylist())
+            langs, scores, _ = shared.value.predict(batch.column(text_col).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 names=[*batch.schema.names, "lang_pred", "score"])
@@ -200,17 +254,30 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text has a language (not und)."""
+def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang",
+               languages: list[str] | None = None, foreign: float = FOREIGN) -> DataFrame:
+    """The rows of docs whose text is in a language of the model (of `languages`, if given), with the prediction in
+    lang_col where docs has that column; other columns as they are.  A row goes if its text is null or has no letter, or
+    needs over `foreign` times the phrases that text of the predicted language needs (texts of under LEAST symbols say
+    too little, and stay).  A model that learned nothing rejects only rows without a letter and predicts nothing."""
+    docs_schema, at = docs.schema, docs.columns.index(text_col)
+    to = docs.columns.index(lang_col) if lang_col in docs.columns else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
 
     def run(batches):
+        m = shared.value
         for batch in batches:
-            langs, _ = shared.value.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != "und" for x in langs], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            langs, _, ratios = m.predict(texts)
+            if m.languages:
+                keep = [x != "und" and r <= foreign and (languages is None or x in languages) for x, r in zip(langs, ratios, strict=True)]
+                if to is not None:
+                    batch = batch.set_column(to, batch.schema.field(to), pa.array(langs, batch.schema.field(to).type))
+            else:
+                keep = [bool(t) and m._has_letter(t) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs_schema)
 
 
 def held_out() -> Column:
