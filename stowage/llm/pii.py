@@ -73,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def shape(token: str) -> str:
     """X for capitals, x for small letters, 0 for digits, others as they are; runs of over two are cut to two."""
     s = re.sub(r"[0-9]", "0", re.sub(r"[a-z]", "x", re.sub(r"[A-Z]", "X", token)))
-    return re.sub(r"(.)\1{2,}", r"\1\1", s)[:16]
+    return re.sub(r"(.)\1{2,}", r"\1\1", s)
 
 
 def features(token: str) -> tuple[str, ...]:
@@ -191,7 +191,7 @@ class Crf:
     def scores(self, token: str) -> np.ndarray:
         got = self.known.get(token)
         if got is None:
-            got = self.emit[[self.ids[f] for f in features(token[:256]) if f in self.ids]].sum(0)
+            got = self.emit[[self.ids[f] for f in features(token) if f in self.ids]].sum(0)
             if len(self.known) < 100_000:  # a cache, nothing else
                 self.known[token] = got
         return got
@@ -293,8 +293,8 @@ def _said(spans) -> str:
 
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, spans by kind as counts of pattern spans, the digest of the pattern spans, and
-    all spans as text (kind:start:end, code points).  Null and empty texts have none; whole texts are read; repeated
-    rows repeat; other columns are not looked at; no rows give no rows."""
+    all spans as text (kind:start:end, code points).  Null and empty texts have none; whole texts and whole tokens are
+    read, however long; repeated rows repeat; a null id stays null; other columns are not looked at; no rows give no rows."""
 
     model = docs.sparkSession.sparkContext.broadcast(trained())
 
