@@ -25,7 +25,9 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 #: Elements by how they are read (fixed by HTML).
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template select button svg".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements that are left out where they are closed: before the next block begins, the last two wherever that is.
+LEFT_OUT = frozenset("select button svg noscript template".split())
 CLOSES_P = BLOCKS - {"html", "body", "dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary"}
 #: An open element of the first kind ends where one of the second begins, unless a boundary stands between.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -115,11 +117,15 @@ class Page:
                 continue
             if name == "body":
                 in_head = False
-            if name in RAW and not m[3].rstrip().endswith("/"):
+            if name in RAW:  # a slash before the > does not close these
                 end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
                 at = source.find(">", end.end()) + 1 if end else len(source)
                 at = at or len(source)
                 continue
+            if name in LEFT_OUT:
+                if not m[3].rstrip().endswith("/"):
+                    at = self._closed(source, name, at)
+                continue
             if in_head and name not in BLOCKS:
                 continue
             in_head = False
@@ -154,6 +160,14 @@ class Page:
                     anchors += name == "a"
         flush()
 
+    @staticmethod
+    def _closed(source: str, name: str, at: int) -> int:
+        """Where to read on after the start tag of an element that is left out: behind its end tag, or right here if it is
+        never closed, so that a missing end tag costs no text."""
+        stops = "" if name in ("noscript", "template") else "|" + "|".join(sorted(BLOCKS))
+        end = re.compile(rf"<(?:(/{name}){stops})(?=[\s/>])", re.I).search(source, at)
+        return (source.find(">", end.end()) + 1 or len(source)) if end and end[1] else at
+
     @staticmethod
     def _end(stack, kinds, edge):
         for k in range(len(stack) - 1, 0, -1):
