@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from stowage.llm import language_id, line_dedup, mixing, near_dedup
 from stowage.llm import decontaminate as decontamination
-from stowage.llm.common import NO_ID, python_side, written
+from stowage.llm.common import NO_ID, python_side, scratched, written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text, no letter) go; all others stay as they are."""
+    """Documents go whose text is null, has no letter, or is far from every language that the labelled ones teach; all
+    others stay, with the predicted language as lang."""
     python_side(spark)
     model = language_id.train(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"))
     return language_id.keep_known(docs, model)
@@ -68,7 +69,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@scratched
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; the tables between the stages are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
