@@ -77,11 +77,11 @@ def shared_line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def apply_line_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text; null text gives one line, kept, and the empty kept_text.  The bitmaps
-    are broadcast where the planner knows that they are small; beyond, whole texts are shuffled to them."""
+    """docs with n_lines, n_dropped and kept_text; null text gives one line, kept, and the empty kept_text.  Nothing
+    bounds the number of bitmaps, so texts are shuffled to them, by one plan at every size."""
     held = "shiftrightunsigned(coalesce(element_at(_keep, cast(floor(i / 64) as bigint)), -1L), i % 64) & 1L = 1L"
     kept = F.when(F.col("_keep").isNull(), F.col("_lines")).otherwise(F.expr(f"filter(_lines, (x, i) -> {held})"))
-    joined = _keyed(docs, id_col, text_col).join(bitmaps, ["_id", "_tv"], "left").withColumn("_kept", kept)
+    joined = _keyed(docs, id_col, text_col).join(bitmaps.hint("merge"), ["_id", "_tv"], "left").withColumn("_kept", kept)
     return joined.withColumns({
         "n_lines": F.size("_lines").cast("long"),
         "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"),
