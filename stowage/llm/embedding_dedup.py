@@ -3,8 +3,9 @@
 Centroids are fitted on a bounded sample.  Every vector goes home to the cell of its nearest centroid and is also copied
 to each cell that could hold a vector close enough to link with it: if x lives in cell c and y in cell h, then
 y . (c_h - c_c) <= |x - y| |c_h - c_c|, and linked unit vectors are at most sqrt(2 - 2 * limit) apart.  So the search is
-exact, whatever the centroids.  A cell is compared in blocks of BLOCK home rows by BLOCK rows, however large it is; a
-block gives the number of links of each home row and a star for each component, never its pairs.
+exact, whatever the centroids.  A cell is compared in blocks of BLOCK home rows by BLOCK rows, however large it is, and a
+task works through a block in tiles; a tile gives the number of links of each home row and a star for each component,
+never its pairs.  A vector is sent once for each block that its own meets, which is rows of a cell / BLOCK.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, n_parts, python_side, written
+from .common import NO_ID, n_parts, python_side, scratched, written
 from .graph import connected_components, stars
 from .near_dedup import groups
 
-LIMIT, BLOCK = 0.93, 1024
+LIMIT, BLOCK, TILE = 0.93, 8192, 1024
 #: The sample that centroids are fitted on, rows for each cell aimed at, and the most cells.
 SAMPLE, CELL_ROWS, MOST_CELLS = 8192, 2000, 1024
 
@@ -36,12 +37,18 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     return c
 
 
-def nearby(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """The home cell of each vector, and whether each cell may hold a vector within reach of it."""
+def gaps(c: np.ndarray) -> np.ndarray:
+    """The distance of each two centroids."""
+    n = (c * c).sum(axis=1)
+    return np.sqrt(np.maximum(0, n[:, None] + n[None, :] - 2 * (c @ c.T)))
+
+
+def nearby(x: np.ndarray, c: np.ndarray, reach: float, gap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell of each vector, and whether each cell may hold a vector within reach of it.  gap: gaps(c)."""
     dots = x @ c.T
-    gap = np.sqrt(np.maximum(0, ((c[:, None, :] - c[None, :, :]) ** 2).sum(-1)))
+    gap = gaps(c) if gap is None else gap
     home = dots.argmax(axis=1)
-    return home, dots[np.arange(len(x)), home][:, None] - dots <= reach * gap[home] + 1e-9
+    return home, dots[np.arange(len(x)), home][:, None] - dots <= reach * gap[home] + 1e-6
 
 
 def fitted(sample: np.ndarray, total: int, reach: float) -> np.ndarray:
@@ -67,74 +74,81 @@ def unit(vectors: list[bytes]) -> np.ndarray:
 
 
 def _packed(batches):
-    """id, label, dim, vec (doubles as bytes) of the vectors that can link."""
+    """id, mark, label, dim, vec (doubles as bytes) of the vectors that can link."""
     for batch in batches:
-        ids, labels, vecs = (c.to_pylist() for c in batch.columns)
+        ids, marks, labels, vecs = (c.to_pylist() for c in batch.columns)
         keep = []
         for i, v in enumerate(vecs):
             if v and labels[i] is not None and None not in v:
                 a = np.array(v, dtype=np.float64)
                 if np.isfinite(a).all() and a.any():
-                    keep.append((ids[i], labels[i], len(v), a.tobytes()))
+                    keep.append((ids[i], marks[i], labels[i], len(v), a.tobytes()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[j] for r in keep], t) for j, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.binary()))],
-            names=["id", "label", "dim", "vec"])
+            [pa.array([r[j] for r in keep], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary()))],
+            names=["id", "mark", "label", "dim", "vec"])
 
 
-def _cells(batches, centroids: dict[int, np.ndarray], reach: float):
-    """A row for each vector and cell that it goes to: id, label, dim, cell, home, vec."""
+def _cells(batches, cells: dict[int, tuple[np.ndarray, np.ndarray]], reach: float):
+    """A row for each vector and cell that it goes to: id, mark, label, dim, cell, home, vec."""
     for batch in batches:
-        ids, labels, dims, vecs = (c.to_pylist() for c in batch.columns)
+        ids, marks, labels, dims, vecs = (c.to_pylist() for c in batch.columns)
         out: list[tuple] = []
         for dim in sorted(set(dims)):
             some = [i for i, d in enumerate(dims) if d == dim]
-            c = centroids.get(dim, np.zeros((1, dim)))
-            home, near = nearby(unit([vecs[i] for i in some]), c, reach)
+            c, gap = cells.get(dim, (np.zeros((1, dim)), None))
+            home, near = nearby(unit([vecs[i] for i in some]), c, reach, gap)
             for r, cell in zip(*np.nonzero(near), strict=True):
                 i = some[r]
-                out.append((ids[i], labels[i], dim, int(cell), bool(home[r] == cell), vecs[i]))
-        types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                out.append((ids[i], marks[i], labels[i], dim, int(cell), bool(home[r] == cell), vecs[i]))
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)],
-                                         names=["id", "label", "dim", "cell", "home", "vec"])
+                                         names=["id", "mark", "label", "dim", "cell", "home", "vec"])
 
 
 def _products(batches, limit: float):
-    """a, b, n: stars (n null), and links of a home row in one block (b null)."""
+    """a, b, mark, n, key: stars (n null), and the links of a home row in one block (b null)."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
     for t in groups(batches, "key"):
-        ids, side = np.array(t["id"].to_pylist()), np.array(t["side"].to_pylist())
-        if not (side.any() and not side.all()):
+        ids, marks, side = (t[c].to_numpy() for c in ("id", "mark", "side"))
+        if side.all() or not side.any():
             continue
+        key = t["key"][0].as_py()
         x = unit(t["vec"].to_pylist())
-        own, all_ = np.flatnonzero(side), np.flatnonzero(~side)
-        link = (x[own] @ x[all_].T >= limit) & (ids[own][:, None] != ids[all_][None, :])
-        n = link.sum(axis=1)
-        some = np.flatnonzero(n)
-        a, b, c = [ids[own[i]] for i in some], [None] * len(some), n[some].tolist()
-        if len(some):
-            cols = np.flatnonzero(link.any(axis=0))
-            m = len(some) + len(cols)
-            both = np.zeros((m, m), dtype=bool)
-            both[: len(some), len(some):] = link[some][:, cols]
-            both |= both.T
-            who = np.concatenate((ids[own[some]], ids[all_[cols]]))
-            for i, j in stars(both):
-                a.append(who[j])
-                b.append(who[i])
-                c.append(None)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["a", "b", "n"])
-
-
+        own, every = np.flatnonzero(side), np.flatnonzero(~side)
+        rows: set[tuple] = set()
+        for lo in range(0, len(own), TILE):
+            mine = own[lo:lo + TILE]
+            total = np.zeros(len(mine), dtype=np.int64)
+            for at in range(0, len(every), TILE):
+                other = every[at:at + TILE]
+                link = (x[mine] @ x[other].T >= limit) & (ids[mine][:, None] != ids[other][None, :])
+                n = link.sum(axis=1)
+                total += n
+                some, cols = np.flatnonzero(n), np.flatnonzero(link.any(axis=0))
+                if len(some):
+                    both = np.zeros((len(some) + len(cols),) * 2, dtype=bool)
+                    both[: len(some), len(some):] = link[some][:, cols]
+                    who = np.concatenate((ids[mine[some]], ids[other[cols]]))
+                    rows.update((int(who[j]), int(who[i]), None, None, None) for i, j in stars(both | both.T) if who[i] != who[j])
+            rows.update((int(ids[i]), None, int(marks[i]), int(n), key) for i, n in zip(mine, total, strict=True) if n)
+        out = list(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], ty) for j, ty in enumerate(types)], names=["a", "b", "mark", "n", "key"])
+
+
+@scratched
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
                     limit: float = LIMIT) -> DataFrame:
     """One row for each row of vectors: id, n_links, component_id (smallest id reachable by links), kept (id =
     component_id).  Only rows of one label and one length link, at cosine >= limit in double precision.  A null or
     empty or zero vector, one with null or non-finite components, and one with a null label link with nothing.  A null
-    id is -2^63 in component_id; rows that share an id are one vertex and no link to each other.  No rows give no rows."""
+    id is -2^63 in component_id.  Rows that share an id are one vertex and no link to each other; n_links of a row counts
+    the rows of other ids that it links with itself, copies each.  No rows give no rows."""
     spark = vectors.sparkSession
     python_side(spark)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     rows = vectors.select(key.alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
-    good = written(rows.mapInArrow(_packed, "id long, label string, dim int, vec binary"), "vectors")
+    rows = rows.select("id", F.xxhash64("label", "vec").alias("mark"), "label", "vec")
+    good = written(rows.mapInArrow(_packed, "id long, mark long, label string, dim int, vec binary"), "vectors")
     counts = {r["dim"]: r["n"] for r in good.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     reach = float(np.sqrt(2 - 2 * limit))
@@ -145,21 +159,23 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         some = [r["vec"] for r in sorted(sample, key=lambda r: (r["id"], r["vec"])) if r["dim"] == dim]
         if some:
             centroids[dim] = fitted(unit(some), n, reach)
-    placed = written(good.mapInArrow(lambda b: _cells(b, centroids, reach), "id long, label string, dim int, cell int, home boolean, vec binary"), "cells")
+    cells = spark.sparkContext.broadcast({dim: (c, gaps(c)) for dim, c in centroids.items()})  # MOST_CELLS a length at most
+    placed = written(good.mapInArrow(lambda b: _cells(b, cells.value, reach), "id long, mark long, label string, dim int, cell int, home boolean, vec binary"), "cells")
     node = ["label", "dim", "cell"]
     sizes = written(placed.groupBy(*node).agg(
         F.ceil(F.sum(F.col("home").cast("long")) / BLOCK).alias("own"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("all")).where("own > 0"), "sizes")
     both = placed.join(sizes, node)
     h = F.xxhash64("id")
     span = lambda n: F.explode(F.expr(f"sequence(0L, `{n}` - 1)"))
-    left = both.where("home").select(*node, F.pmod(h, F.col("own")).alias("i"), span("all").alias("j"), F.lit(True).alias("side"), "id", "vec")
-    right = both.select(*node, span("own").alias("i"), F.pmod(h, F.col("all")).alias("j"), F.lit(False).alias("side"), "id", "vec")
-    dealt = left.unionByName(right).select(F.xxhash64(*node, "i", "j").alias("key"), "side", "id", "vec")
+    left = both.where("home").select(*node, F.pmod(h, F.col("own")).alias("i"), span("all").alias("j"), F.lit(True).alias("side"), "id", "mark", "vec")
+    right = both.select(*node, span("own").alias("i"), F.pmod(h, F.col("all")).alias("j"), F.lit(False).alias("side"), "id", "mark", "vec")
+    dealt = left.unionByName(right).select(F.xxhash64(*node, "i", "j").alias("key"), "side", "id", "mark", "vec")
     dealt = dealt.repartition(n_parts(spark), "key").sortWithinPartitions("key")
-    found = written(dealt.mapInArrow(lambda b: _products(b, limit), "a long, b long, n long"), "links")
-    links = written(found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links")), "counts")
+    found = written(dealt.mapInArrow(lambda b: _products(b, limit), "a long, b long, mark long, n long, key long"), "links")
+    links = written(found.where("n is not null").groupBy(F.col("a").alias("id"), "mark", "key").agg(F.max("n").alias("n")).groupBy("id", "mark").agg(
+        F.sum("n").alias("n_links")), "counts")
     parts = written(connected_components(found.where("n is null").select("a", "b")), "parts")
-    out = rows.select("id").join(links, "id", "left").join(parts, "id", "left")
+    out = rows.select("id", "mark").join(links, ["id", "mark"], "left").join(parts, "id", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id"), (F.col("id") == component).alias("kept"))

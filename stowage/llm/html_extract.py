@@ -437,7 +437,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     whole pages are read; broken markup is read as far as it goes; repeated rows repeat; other columns are not looked
     at; no rows give no rows."""
     spark = pages.sparkSession
-    python_side(spark, 200)
+    python_side(spark)
     model = spark.sparkContext.broadcast(trained())
 
     def run(batches):

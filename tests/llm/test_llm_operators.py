@@ -245,15 +245,39 @@ def test_embedding_links_against_all_pairs(spark, monkeypatch):
                 seen.add(j)
                 todo.append(j)
         want[i] = min(seen)
-    for rows_, block in ((2000, 1024), (20, 16)):
+    cosine = lambda v, u: np.dot(v, u) / np.linalg.norm(v) / np.linalg.norm(u)
+    able = [(i, v, l) for i, v, l in rows if l is not None and v and None not in v and len(v) == 8 and np.isfinite(v).all() and max(map(abs, v)) > 1e-200]
+    of_rows = sorted((i, sum(i != j and l == k and cosine(v, u) >= 0.93 for j, u, k in able)) for i, v, l in able)
+    for rows_, block in ((2000, 8192), (20, 16)):
         monkeypatch.setattr(embedding_dedup, "CELL_ROWS", rows_)
         monkeypatch.setattr(embedding_dedup, "BLOCK", block)
-        got = {x["vec_id"]: x for x in embedding_dedup.embedding_dedup(df).collect()}
+        monkeypatch.setattr(embedding_dedup, "TILE", max(5, block // 8))
+        all_rows = embedding_dedup.embedding_dedup(df).collect()
+        assert sorted((x["vec_id"], x["n_links"]) for x in all_rows if x["vec_id"] < 1000) == of_rows  # two rows are vector 3
+        got = {x["vec_id"]: x for x in all_rows}
         assert {i: x["component_id"] for i, x in got.items()} == want
         assert all(x["n_links"] == len(adj[i]) for i, x in got.items() if i != 3 and 3 not in adj[i])
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_wide_vectors_need_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    c = embedding_dedup.spherical_kmeans(embedding_dedup.unit([v.tobytes() for v in r.normal(size=(1024, 768))]), 1024, rounds=1)
+    x = embedding_dedup.unit([v.tobytes() for v in r.normal(size=(1000, 768))])
+    tracemalloc.start()
+    embedding_dedup.nearby(x, c, 0.374, embedding_dedup.gaps(c))
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_a_repeated_id_is_one_vertex_with_rows_of_its_own(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (2, [1.0, 0.01], 0), (2, [0.0, 1.0], 0), (3, [0.01, 1.0], 0)]
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 1, True), (2, 1, 1, False), (2, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def test_many_cells_lose_no_link():
     r = np.random.default_rng(5)
     x = embedding_dedup.unit([v.tobytes() for v in r.normal(size=(400, 6))])
