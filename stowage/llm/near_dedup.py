@@ -354,3 +354,25 @@ def _bridges(named: DataFrame) -> DataFrame:
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: md5_number(array_to_string(w[i:i + 4], ' ')))
+                                      WHEN len(w) > 0 THEN [md5_number(array_to_string(w, ' '))] ELSE [] END) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * common >= 75 * (p.n + q.n - common)),
+e AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+reach(id, c) AS (
+  SELECT DISTINCT a, a FROM e
+  UNION SELECT e.b, r.c FROM reach r JOIN e ON e.a = r.id WHERE r.c < e.b),
+parts AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(parts.c, d.doc_id) AS component_id, coalesce(parts.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN parts ON parts.id = d.doc_id
+"""

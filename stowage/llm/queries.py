@@ -28,7 +28,9 @@ QUERIES = {
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_chat_format": chat_format.OP2_SQL,
+    "op3_html_extract": html_extract.OP3_SQL,
     "op5_mix_sources": mixing.OP5_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
 }
