@@ -47,7 +47,7 @@ def test_phrases_of_long_texts_are_cut_at_gaps():
     m = language_id.LanguageModel.fit({"a": a(2000)})
     t = a(3000)
     f, n = m.phrases([t, "", "x" * 5000, t[:100]])
-    assert n.tolist() == [len(t), 0, 5000, 100] and f[2, 0] == 5000 + -(-5000 // 128) - 1 + 1 - 0 or f[2, 0] >= 5000
+    assert n.tolist() == [len(t), 0, 5000, 100] and f[2, 0] >= 5000  # a letter of no sample is a phrase
     assert abs(f[0, 0] / n[0] / m.own[0] - 1) < 0.35  # its own text needs about what the folds of its sample need
 
 
@@ -62,7 +62,7 @@ def test_samples_with_null_and_repeated_ids(spark):
 
 def test_the_language_stage_uses_its_prediction(spark, tmp_path):
     a, b, q = speaker("abcdefgh", 7), speaker("efghijkl", 8), speaker("wxyz", 9)
-    rows = [(i, (a if i % 2 else b)(60), "a" if i % 2 else "b") for i in range(60)] + [(100, q(60), None), (101, a(60), None), (102, "αβγδ εζηθ " * 30, "b"), (103, None, "a"), (104, "a", "a")]
+    rows = [(i, (a if i % 2 else b)(60), "a" if i % 2 else "b") for i in range(60)] + [(100, q(60), None), (101, a(60), None), (102, "αβγδ εζηθ " * 30, None), (103, None, "a"), (104, "a", "a")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_languages(spark, df, str(tmp_path)).collect()}
     assert set(got) == {*range(60), 101, 104} and got[101] == "a" and all(got[i] == ("a" if i % 2 else "b") for i in range(60))
@@ -149,8 +149,8 @@ def test_decontamination_as_registered(spark):
     rows = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{DIR}/benchmark.parquet").collect()
     short = [r for r in rows if r["text"] and len(r["text"]) < 3000]
-    want = {r["doc_id"]: sorted(w) for r, w in zip(short, brute([r["text"] for r in short], [(i["item_id"], i["text"]) for i in items[:40]]), strict=True)}
-    assert len(got) == len(rows) and {i: [x for x in got[i] if x < items[40]["item_id"]] for i in want} == want
+    want = {r["doc_id"]: sorted(w) for r, w in zip(short, brute([r["text"] for r in short], [(i["item_id"], i["text"]) for i in items]), strict=True)}
+    assert len(got) == len(rows) and {i: got[i] for i in want} == want
 
 
 # --- near duplicates
