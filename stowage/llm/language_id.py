@@ -113,11 +113,15 @@ class LanguageModel:
         model.own = np.array(rates)
         return model
 
-    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols of the text, runs of class 0 kept as one; the character that each belongs to."""
+    def codes(self, text: str, begins: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of the text, runs of class 0 kept as one; the character that each belongs to.  begins: where texts
+        begin, if there are several; a run ends there."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         c = self.classes[points]
-        at = np.flatnonzero((c != 0) | np.concatenate(([True], c[:-1] != 0))) if len(c) else np.zeros(0, np.int64)
+        new = np.concatenate(([True], c[:-1] != 0)) if len(c) else np.zeros(0, bool)
+        if begins is not None:
+            new[begins[begins < len(c)]] = True
+        at = np.flatnonzero((c != 0) | new)
         c = c[at]
         far = c == SPELLED
         if far.any():
@@ -162,8 +166,9 @@ class LanguageModel:
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases by text and language, and symbols by text.  One parse for all texts together."""
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
-        c, at = self.codes("\n".join(texts))
-        return self.parsed(c, np.searchsorted(np.cumsum(lengths + 1), at, side="right"), len(texts), self.tables)
+        ends = np.cumsum(lengths)
+        c, at = self.codes("".join(texts), ends - lengths)
+        return self.parsed(c, np.searchsorted(ends, at, side="right"), len(texts), self.tables)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The language of each text; a score from 0 to 1: 1 - normalised phrases of the winner / those of the runner-up;

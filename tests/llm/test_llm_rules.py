@@ -47,7 +47,9 @@ def test_phrases_of_long_texts_are_cut_at_gaps():
     m = language_id.LanguageModel.fit({"a": a(2000)})
     t = a(3000)
     f, n = m.phrases([t, "", "x" * 5000, t[:100]])
-    assert n.tolist() == [len(t), 0, 5000, 100] and f[2, 0] >= 5000  # a letter of no sample is a phrase
+    assert n.tolist() == [len(t), 0, 5000, 100] and f[2, 0] == 5000  # a letter of no sample is a phrase
+    alone = [m.phrases([x])[0][0, 0] for x in (t, "x" * 5000, t[:100])]
+    assert alone == f[[0, 2, 3], 0].tolist()
     assert abs(f[0, 0] / n[0] / m.own[0] - 1) < 0.35  # its own text needs about what the folds of its sample need
 
 
