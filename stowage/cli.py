@@ -9,17 +9,11 @@ import os
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from . import service, sinks
+from . import service, sinks, workbench
 from .plans import evaluate
 from .sources import documents
 
 
-def output_path(report_path: str, ending: str) -> str:
-    """Beside the report: its name with another ending."""
-    base = report_path[:-5] if report_path.lower().endswith(".json") else report_path
-    return base + ending
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stowage")
     sub = p.add_subparsers(dest="command", required=True)
@@ -41,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
         v.add_argument("--dedupe-min-size", type=int, default=1 << 20)
         v.add_argument("--iterations", type=int, default=3)
         v.add_argument("--cache", action="store_true")
+        v.add_argument("--backend", choices=("native", "pdu_library", "pdu"), default="native")
     for name in ("recommend", "plan", "diagnostics"):
         v = verb(name, "report")
         v.add_argument("--output")
@@ -52,7 +47,7 @@ def parser() -> argparse.ArgumentParser:
         v = r.add_parser(name)
         for a in args:
             v.add_argument(a)
-        v.add_argument("--store", required=True)
+        v.add_argument("--store")
     return p
 
 
@@ -73,7 +68,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command in ("scan", "benchmark", "parity"):
-        opts = service.ScanOptions(roots=a.roots, max_depth=a.max_depth, excludes=a.exclude, dedupe=not a.no_dedupe, dedupe_min_size=a.dedupe_min_size, cache=a.cache)
+        opts = service.ScanOptions(roots=a.roots, max_depth=a.max_depth, excludes=a.exclude, dedupe=not a.no_dedupe, dedupe_min_size=a.dedupe_min_size, cache=a.cache, backend=a.backend)
         if a.command == "scan":
             _put(service.scan(spark, opts, a.store), a.output)
         else:
@@ -89,7 +84,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                     service.export_markdown(spark, json.load(f), a.markdown)
     elif a.command == "diagnostics":
         with open(a.report) as f:
-            _put(service.diagnostics(spark, json.load(f)), a.output or output_path(a.report, "-diagnostics.json"))
+            _put(service.diagnostics(spark, json.load(f)), a.output or workbench.diagnostics_path(a.report))
     elif a.command == "eval":
         suite = documents.read_suite(spark, a.suite)
         docs = []
@@ -101,7 +96,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "doctor":
         _put(service.doctor(spark), None)
     else:
-        svc = service.Service(spark, a.store)
+        svc = service.Service(spark, workbench.store_folder(a.store))
         if a.action == "list":
             _put(svc.list_reports(), None)
         elif a.action == "import":

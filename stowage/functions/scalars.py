@@ -102,6 +102,12 @@ def unix_mount(c: Column) -> Column:
     return F.when(s == "/", s).otherwise(F.rtrim(s, F.lit("/")))
 
 
+def mount_key(c: Column) -> Column:
+    """The form in which mounts of either kind are compared."""
+    windows = F.trim(c).rlike(r"^[A-Za-z]:([\\/]|$)") | F.startswith(F.trim(c), F.lit("\\\\"))
+    return F.when(windows, windows_mount(c)).otherwise(unix_mount(c))
+
+
 def optional(c: Column) -> Column:
     """Trimmed; null if nothing is left."""
     return F.nullif(F.trim(c), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import contains_any, interface, optional, unix_mount
+from ..functions.scalars import contains_any, interface, mount_key, optional
 
 # Fixed values.
 CLOUD_WORDS = ("google drive", "googledrive", "drivefs", "onedrive", "dropbox", "icloud", "box", "pcloud", "sync.com", "mega", "webdav")
@@ -56,13 +56,14 @@ def performance_rank(klass: Column, kind: Column, confidence: Column) -> Column:
 
 def enrich(probes: DataFrame, hints: DataFrame | None = None, os_mount: str = "/") -> DataFrame:
     """probes: scan_id, pos, name, mount_point, total_space_bytes, free_space_bytes, disk_kind, file_system, is_removable.
-    hints: mount_point, vendor, model, interface, rotational, confidence, source (one row a mount).  Returns the disks
-    table, by mount point within each scan."""
-    d = probes.withColumn("_m", unix_mount(F.translate("mount_point", "\\", "/")))
+    hints: pos, mount_point, vendor, model, interface, rotational, confidence, source (rows of one mount are merged).
+    Returns the disks table, by mount point within each scan; as many rows as there are probes."""
+    d = probes.withColumn("_m", mount_key(F.col("mount_point")))
     if hints is None:
         d = d.withColumns({c: F.lit(None).cast(t) for c, t in (("_v", "string"), ("_mo", "string"), ("_i", "string"), ("_r", "boolean"), ("_s", "string"))})
     else:
-        h = hints.select(unix_mount(F.translate("mount_point", "\\", "/")).alias("_m"), optional(F.col("vendor")).alias("_v"), optional(F.col("model")).alias("_mo"),
+        one = merge_hints(hints.withColumn("mount_point", mount_key(F.col("mount_point"))))
+        h = one.select(F.col("mount_point").alias("_m"), optional(F.col("vendor")).alias("_v"), optional(F.col("model")).alias("_mo"),
                          interface(F.col("interface")).alias("_i"), F.col("rotational").alias("_r"), F.col("source").alias("_s"))
         d = d.join(h, "_m", "left")
     name, fs = low(F.col("name")), low(F.col("file_system"))
@@ -87,7 +88,7 @@ def enrich(probes: DataFrame, hints: DataFrame | None = None, os_mount: str = "/
         "locality_confidence": lookup(F.col("locality_class"), LOCALITY),
         "performance_class": F.when(physical, "balanced").otherwise(lookup(F.col("storage_type"), {k: v[0] for k, v in PERFORMANCE.items()}, "unknown")),
         "performance_confidence": F.when(physical, 0.4).otherwise(lookup(F.col("storage_type"), {k: v[1] for k, v in PERFORMANCE.items()}, 0.35)),
-        "is_os_drive": F.col("_m") == os_mount,
+        "is_os_drive": F.col("_m") == mount_key(F.lit(os_mount)),
     })
     reasons = F.array_compact(F.array(
         F.when(F.col("is_os_drive"), "holds the operating system"),
@@ -104,7 +105,9 @@ def enrich(probes: DataFrame, hints: DataFrame | None = None, os_mount: str = "/
 def merge_hints(hints: DataFrame) -> DataFrame:
     """One row a mount from several hint rows (mount_point, pos, vendor, model, interface, rotational, confidence,
     source): the most confident row counts, gaps are filled from the next ones."""
+    if "pos" not in hints.columns:
+        hints = hints.withColumn("pos", F.lit(0))
     order = F.struct((-F.col("confidence")).alias("c"), F.col("pos"))
     rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), "vendor", "model", "interface", "rotational", "confidence", "source")))
-    first = lambda f: F.filter(F.col("_r"), lambda r: r[f].isNotNull())[0][f].alias(f)
+    first = lambda f: F.get(F.filter(F.col("_r"), lambda r: r[f].isNotNull()), F.lit(0))[f].alias(f)
     return hints.groupBy("mount_point").agg(rows.alias("_r")).select("mount_point", *(first(f) for f in ("vendor", "model", "interface", "rotational", "confidence", "source")))

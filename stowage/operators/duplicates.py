@@ -22,9 +22,10 @@ def candidates(files: DataFrame, min_size: int = 0) -> DataFrame:
 
 def duplicate_groups(files: DataFrame, min_size: int = 0, once_per_path: bool = True) -> DataFrame:
     """files: scan_id, path, size_bytes, disk_mount, modified_ts, content_hash.  One row for each size and hash that two
-    files or more have, with its files by path, and whether the copies look intentional.  With once_per_path a file that
-    overlapping roots list twice counts once."""
+    files or more have, with its files by path, and whether the copies look intentional.  Files without a hash are in no
+    group.  With once_per_path a file that overlapping roots list twice counts once."""
     rows = candidates(files.dropDuplicates(["scan_id", "path"]) if once_per_path else files, min_size)
+    rows = rows.where(F.col("content_hash").isNotNull())
     file = F.struct("path", "disk_mount", F.col("modified_ts").alias("modified"))
     out = rows.groupBy("scan_id", "size_bytes", F.col("content_hash").alias("hash")).agg(
         F.count(F.lit(1)).alias("file_count"), F.array_sort(F.collect_list(file)).alias("files"),

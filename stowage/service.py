@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import markdown, schemas
+from .functions.scalars import top_directory
 from .operators import classify, disks, duplicates, filters, mounts, usage
 from .plans import diff, evaluate, policy, scenario, trend
 from .sinks import History, ReportStore, ScanCache
@@ -52,34 +53,58 @@ def now_text() -> str:
 
 
 def scan_tables(spark: SparkSession, opts: ScanOptions, scan_id: str, as_of: datetime, probes: DataFrame | None = None, hints: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of one scan, from the walk to the categories; files stay lazy, what the report holds is worked out."""
+    """The tables of one scan, from the walk to the categories; files and duplicate groups stay lazy, what has a row a
+    root, disk or retained directory is worked out.  With a backend other than native, and no excludes, the sizes of roots
+    and directories come from the rollup of the whole tree; all else is the same."""
     policy.light_planning(spark)
     probes = devices.probe_disks(spark, scan_id) if probes is None else probes
     # disks, roots, retained directories and suggestions are few rows that much is made from: each is worked out once
     enriched = policy.landed(disks.enrich(probes, devices.platform_hints(spark) if hints is None else hints))
-    tree = filetree.read_tree(spark, opts.roots, opts.max_depth, opts.excludes, with_hash=opts.dedupe).persist()
+    tree = filetree.read_tree(spark, opts.roots, opts.max_depth, opts.excludes).persist()
     named = spark.createDataFrame([(i, os.path.abspath(r)) for i, r in enumerate(opts.roots)], "pos int, root_path string")
     roots = policy.landed(mounts.match_mounts(named, enriched.select("pos", "mount_point")))
     files = filetree.files_of(tree, scan_id).drop("disk_mount").join(F.broadcast(roots.select("root_path", "disk_mount")), "root_path")  # the roots named
     dirs = tree.where("kind = 'directory'").select(F.lit(scan_id).alias("scan_id"), "root_path", "path")
     total = usage.totals(files, F.lit(as_of.replace(tzinfo=None)).cast("timestamp"))
+    directories = usage.top_directories(files)
+    if opts.backend != "native" and not opts.excludes:
+        rolled = usage.tree_rollup(files)
+        root = rolled.where(F.col("path") == F.col("root_path")).select("scan_id", "root_path", F.col("size_bytes").alias("_size"))
+        total = total.join(root, ["scan_id", "root_path"], "left").withColumn("total_size_bytes", F.coalesce("_size", F.lit(0))).drop("_size")
+        first = F.col("path") == top_directory(F.concat("path", F.lit("/.")), F.col("root_path"))
+        directories = usage.top(rolled.where(first).select("scan_id", "root_path", "path", "size_bytes"), usage.TOP_DIRECTORIES, F.desc("size_bytes"), "path")
     zero = ("file_count", "total_size_bytes", "recent_files", "stale_files", "unknown_modified_files", "directory_count")
     paths = roots.withColumn("scan_id", F.lit(scan_id)).join(total.drop("disk_mount"), ["scan_id", "root_path"], "left").join(usage.directory_counts(dirs), ["scan_id", "root_path"], "left")
     paths = policy.landed(paths.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in zero}).withColumn("type_total_bytes", F.col("total_size_bytes")))
     pos = paths.select("root_path", F.col("pos").alias("path_pos"))
-    directories = policy.landed(usage.top_directories(files).join(pos, "root_path"))
-    groups = duplicates.duplicate_groups(files, opts.dedupe_min_size) if opts.dedupe else duplicates.duplicate_groups(files.limit(0))
+    directories = policy.landed(directories.join(pos, "root_path"))
+    # only files whose size is not theirs alone are read for their hash, each path once
+    own = filetree.hashed(duplicates.candidates(files.dropDuplicates(["scan_id", "path"]), opts.dedupe_min_size)).persist() if opts.dedupe else None
+    named = files.drop("content_hash").join(own.select("path", "content_hash"), "path") if opts.dedupe else files.limit(0)
+    groups = duplicates.duplicate_groups(named, opts.dedupe_min_size)
     order = F.row_number().over(W.partitionBy("scan_id").orderBy(F.desc("total_wasted_bytes"), F.desc("file_count"), F.desc("size_bytes"), "hash"))
-    groups = policy.landed(groups.withColumns({"pos": order - 1, "first_file": F.col("files")[0]}))  # the report holds them all
+    groups = groups.withColumns({"pos": order - 1, "first_file": F.col("files")[0]}).persist()
     cats = policy.landed(classify.all_categories(paths, directories, policy.landed(usage.top_extensions(files)), enriched))
     roled = policy.landed(classify.infer_roles(enriched, cats))
-    warn = tree.where("kind = 'warning'").select(F.lit(scan_id).alias("scan_id"), F.col("warning").alias("text"), F.monotonically_increasing_id().alias("pos"))
+    warn = tree.where("kind = 'warning'").select("path", "warning")
+    if own is not None:
+        warn = warn.unionByName(own.where("warning is not null").select("path", "warning"))
+    warn = warn.select(F.lit(scan_id).alias("scan_id"), F.col("warning").alias("text"), F.monotonically_increasing_id().alias("pos"))
     return {"scans": spark.createDataFrame([(scan_id,)], "scan_id string"), "files": files, "paths": paths, "path_directories": directories, "path_extensions": usage.extension_summary(files),
-            "path_largest_files": usage.largest_files(files), "disks": roled, "categories": cats, "duplicate_groups": groups, "warnings": warn}
+            "path_largest_files": usage.largest_files(files), "disks": roled, "categories": cats, "duplicate_groups": groups, "warnings": warn, "_held": [x for x in (tree, own, groups) if x is not None]}
 
 
-def scan(spark: SparkSession, opts: ScanOptions, store: str | None = None, on_event=None, probes: DataFrame | None = None, hints: DataFrame | None = None, scan_id: str | None = None) -> dict:
-    """Runs a scan; returns the report document, which also goes to the store, the cache and the history."""
+def auto_roots(spark: SparkSession, probes: DataFrame) -> list[str]:
+    """Every mount that is no pseudo file system, once whatever its case: the roots of a scan that names none."""
+    none = spark.createDataFrame([], "pos int, path string")
+    return [r["path"] for r in mounts.resolve_roots(none, probes).orderBy("pos").collect()]
+
+
+def scan(spark: SparkSession, opts: ScanOptions, store: str | None = None, on_event=None, probes: DataFrame | None = None, hints: DataFrame | None = None, scan_id: str | None = None,
+         cancelled=lambda: False) -> dict:
+    """Runs a scan; returns the report document, which also goes to the store, the cache and the history.  Without roots
+    all mounts are scanned.  A scan that is cancelled returns what it has, with a warning, and is neither cached nor
+    part of the history."""
     opts.check()
     scan_id, began, events = scan_id or uuid.uuid4().hex, time.time(), []
 
@@ -89,6 +114,9 @@ def scan(spark: SparkSession, opts: ScanOptions, store: str | None = None, on_ev
             on_event({"phase": phase, "current_path": path, "scanned_files": files, "scanned_bytes": bytes_, "errors": errors, "timestamp": now_text()})
 
     emit("enumerating_disks")
+    if not opts.roots:
+        probes = devices.probe_disks(spark, scan_id) if probes is None else probes
+        opts = ScanOptions(**{**asdict(opts), "roots": auto_roots(spark, probes)})
     key = {k: v for k, v in asdict(opts).items() if k not in ("cache", "cache_ttl_seconds")}
     cache = ScanCache(f"{store}/cache" if store else ".", opts.cache_ttl_seconds, opts.cache and store is not None)
     kept, _ = cache.get(key, opts.roots)
@@ -100,38 +128,77 @@ def scan(spark: SparkSession, opts: ScanOptions, store: str | None = None, on_ev
     if not here:
         raise ValueError("no scan root exists")
     opts = ScanOptions(**{**asdict(opts), "roots": here})
-    as_of = datetime.now(UTC)
-    t = scan_tables(spark, opts, scan_id, as_of, probes, hints)
-    emit("walking_files")
-    path_rows = [r.asDict(recursive=True) for r in t["paths"].orderBy("pos").collect()]
+    t: dict = {}
+    path_rows: list[dict] = []
     files = bytes_ = 0
-    for r in path_rows:
-        files, bytes_ = files + r["file_count"], bytes_ + r["total_size_bytes"]
-        emit("walking_files", r["root_path"], files, bytes_)
-    emit("categorizing")
-    emit("dedupe")
-    emit("analyzing")
-    history = History(store) if store else None
-    if history is not None and os.path.exists(history.path):
-        t["disk_snapshots"], t["path_snapshots"] = trend.history_tables(documents.read_history(spark, history.path))
-    bundle = policy.recommend(t)
+    try:
+        t |= scan_tables(spark, opts, scan_id, datetime.now(UTC), probes, hints)
+        emit("walking_files")
+        for r in [r.asDict(recursive=True) for r in t["paths"].orderBy("pos").collect()]:
+            path_rows.append(r)
+            files, bytes_ = files + r["file_count"], bytes_ + r["total_size_bytes"]
+            emit("walking_files", r["root_path"], files, bytes_)
+        emit("categorizing")
+        emit("dedupe")
+        emit("analyzing")
+        history = History(store) if store else None
+        if history is not None and os.path.exists(history.path):
+            t["disk_snapshots"], t["path_snapshots"] = trend.history_tables(documents.read_history(spark, history.path))
+        return _finished(spark, opts, store, scan_id, t, path_rows, missing, events, emit, began, cache, key, here, history)
+    except Exception:
+        if not cancelled():
+            raise
+        at = path_rows[-1]["root_path"] if path_rows else here[0]
+        return _partial(opts, scan_id, path_rows, [*_missing(missing), f"scan canceled while walking {at}; report contains partial data"], events, began)
+    finally:
+        for df in t.get("_held", []):
+            df.unpersist()
+
+
+def _missing(roots: list[str]) -> list[str]:
+    return [f"root does not exist: {m}" for m in roots]
+
+
+def _path(p: dict, **more) -> dict:
+    return {"root_path": p["root_path"], "disk_mount": p["disk_mount"], "total_size_bytes": p["total_size_bytes"], "file_count": p["file_count"], "directory_count": p["directory_count"],
+            **more, "activity": {k: p[k] for k in ("recent_files", "stale_files", "unknown_modified_files")}}
+
+
+def _head(opts: ScanOptions, scan_id: str) -> dict:
+    return {"report_version": schemas.REPORT_VERSION, "generated_at": now_text(), "scan_id": scan_id,
+            "scan": {k: getattr(opts, k) for k in ("roots", "max_depth", "excludes", "dedupe", "dedupe_min_size", "dry_run", "backend", "progress", "min_ratio", "emit_progress_events", "progress_interval_ms")}}
+
+
+def _metrics(opts: ScanOptions, path_rows: list[dict], warnings: list[str], contradictions: int, events: list[str], began: float, completed: bool) -> dict:
+    return {"scan_metrics": {"backend": opts.backend, "elapsed_ms": int((time.time() - began) * 1000), "scanned_roots": len(path_rows), "scanned_files": sum(p["file_count"] for p in path_rows),
+                             "scanned_directories": sum(p["directory_count"] for p in path_rows), "scanned_bytes": sum(p["total_size_bytes"] for p in path_rows),
+                             "permission_denied_warnings": sum("permission" in w.lower() for w in warnings), "contradiction_count": contradictions},
+            "scan_progress_summary": {"total_events": len(events), "phase_counts": [{"phase": p, "events": events.count(p)} for p in schemas.PHASES if p in events], "completed": completed}}
+
+
+def _partial(opts: ScanOptions, scan_id: str, path_rows: list[dict], warnings: list[str], events: list[str], began: float) -> dict:
+    nothing = {"largest_files": {"entries": []}, "largest_directories": [], "file_type_summary": {"top_extensions": [], "other_files": 0, "other_bytes": 0, "total_files": 0, "total_bytes": 0}}
+    out = _head(opts, scan_id) | {"disks": [], "paths": [_path(p, **nothing) for p in path_rows], "categories": [], "duplicates": [], "recommendations": [], "policy_decisions": [], "rule_traces": [], "warnings": warnings}
+    return out | _metrics(opts, path_rows, warnings, 0, events, began, False)
+
+
+def _finished(spark, opts: ScanOptions, store, scan_id: str, t: dict, path_rows: list[dict], missing, events, emit, began, cache, key, here, history) -> dict:
+    bundle = policy.recommend({k: v for k, v in t.items() if k != "_held"})
     emit("recommending")
     rows = lambda df, *order: [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
     text = lambda d: d.isoformat(timespec="seconds") + "Z" if d else None
     ext = {r["root_path"]: r for r in rows(t["path_extensions"], "root_path")}
     top_dirs, top_files = rows(t["path_directories"], "root_path", "pos"), rows(t["path_largest_files"], "root_path", "pos")
-    warnings = [f"root does not exist: {m}" for m in missing] + [w["text"] for w in rows(t["warnings"], "pos")] + filters.Excludes(opts.excludes).warnings
+    warnings = list(dict.fromkeys([*_missing(missing), *(w["text"] for w in rows(t["warnings"], "pos")), *filters.Excludes(opts.excludes).warnings]))  # each once
     contradictions = sum(r["contradiction_count"] for r in bundle["contradictions"].collect())
     report = {
-        "report_version": schemas.REPORT_VERSION, "generated_at": now_text(), "scan_id": scan_id,
-        "scan": {k: getattr(opts, k) for k in ("roots", "max_depth", "excludes", "dedupe", "dedupe_min_size", "dry_run", "backend", "progress", "min_ratio", "emit_progress_events", "progress_interval_ms")},
+        **_head(opts, scan_id),
         "disks": [{**{k: v for k, v in d.items() if k not in ("scan_id", "pos", "role", "role_confidence", "role_evidence", "performance_rank", "used_bytes", *schemas.CATEGORIES)},
                    "role_hint": {"role": d["role"], "confidence": d["role_confidence"], "evidence": d["role_evidence"]}} for d in rows(t["disks"], "mount_point")],
-        "paths": [{"root_path": p["root_path"], "disk_mount": p["disk_mount"], "total_size_bytes": p["total_size_bytes"], "file_count": p["file_count"], "directory_count": p["directory_count"],
-                   "largest_files": {"entries": [{"path": f["path"], "size_bytes": f["size_bytes"], "modified": text(f["modified_ts"])} for f in top_files if f["root_path"] == p["root_path"]]},
-                   "largest_directories": [{"path": x["path"], "size_bytes": x["size_bytes"]} for x in top_dirs if x["root_path"] == p["root_path"]],
-                   "file_type_summary": {k: v for k, v in ext.get(p["root_path"], {"top_extensions": [], "other_files": 0, "other_bytes": 0, "total_files": 0, "total_bytes": 0}).items() if k not in ("scan_id", "root_path")},
-                   "activity": {k: p[k] for k in ("recent_files", "stale_files", "unknown_modified_files")}} for p in path_rows],
+        "paths": [_path(p, largest_files={"entries": [{"path": f["path"], "size_bytes": f["size_bytes"], "modified": text(f["modified_ts"])} for f in top_files if f["root_path"] == p["root_path"]]},
+                        largest_directories=[{"path": x["path"], "size_bytes": x["size_bytes"]} for x in top_dirs if x["root_path"] == p["root_path"]],
+                        file_type_summary={k: v for k, v in ext.get(p["root_path"], {"top_extensions": [], "other_files": 0, "other_bytes": 0, "total_files": 0, "total_bytes": 0}).items() if k not in ("scan_id", "root_path")})
+                  for p in path_rows],
         "categories": [{**{k: c[k] for k in ("target", "disk_mount", "category", "confidence", "evidence")}, "rationale": "; ".join(c["evidence"])} for c in rows(t["categories"], "pos")],
         "duplicates": [{"size_bytes": g["size_bytes"], "hash": g["hash"], "files": [{**f, "modified": text(f["modified"])} for f in g["files"]], "total_wasted_bytes": g["total_wasted_bytes"],
                         "intent": {"label": g["intent"], "rationale": ""}} for g in rows(t["duplicate_groups"], "pos")],
@@ -141,10 +208,7 @@ def scan(spark: SparkSession, opts: ScanOptions, store: str | None = None, on_ev
         "warnings": warnings,
     }
     emit("done")
-    report["scan_metrics"] = {"backend": opts.backend, "elapsed_ms": int((time.time() - began) * 1000), "scanned_roots": len(path_rows), "scanned_files": files,
-                              "scanned_directories": sum(p["directory_count"] for p in path_rows), "scanned_bytes": bytes_,
-                              "permission_denied_warnings": sum("permission" in w.lower() for w in warnings), "contradiction_count": contradictions}
-    report["scan_progress_summary"] = {"total_events": len(events), "phase_counts": [{"phase": p, "events": events.count(p)} for p in schemas.PHASES if p in events], "completed": True}
+    report |= _metrics(opts, path_rows, warnings, contradictions, events, began, True)
     if store:
         if (w := cache.put(key, here, report)) is not None:
             report["warnings"].append(w)
@@ -240,7 +304,7 @@ class Service:
         self.folder = store
 
     def start_scan(self, opts: ScanOptions, **kw) -> str:
-        return self.sessions.start(lambda scan_id, emit, cancelled: scan(self.spark, opts, self.folder, emit, scan_id=scan_id, **kw))
+        return self.sessions.start(lambda scan_id, emit, cancelled: scan(self.spark, opts, self.folder, emit, scan_id=scan_id, cancelled=cancelled, **kw))
 
     def poll_scan_events(self, scan_id: str, from_seq: int = 0) -> list[dict]:
         return self.sessions.events(scan_id, from_seq)
@@ -251,6 +315,18 @@ class Service:
     def get_scan_session(self, scan_id: str) -> dict:
         return self.sessions.get(scan_id)
 
+    def follow(self, scan_id: str, from_seq: int = 0, every: float = 0.5, seconds: float = 3600):
+        """The events of a scan as they come, polled every half second from the last one seen, until the scan is over."""
+        until = time.time() + seconds
+        while time.time() < until:
+            over = self.sessions.get(scan_id)["status"] != "running"
+            for e in self.sessions.events(scan_id, from_seq):
+                from_seq = e["seq"]
+                yield e
+            if over:
+                return
+            time.sleep(every)
+
     def load_report(self, path: str) -> dict:
         with open(path) as f:
             return json.load(f)

@@ -1,8 +1,10 @@
 """The file-tree source: spark.read.format("filetree").
 
-A Python Data Source.  Each root is split at its first-level directories, one partition each, so the walk runs on the
-executors; directories, empty files and dot files are rows too, symbolic links are not followed, and excluded subtrees
-are not entered.  Options: roots (JSON array), max_depth, excludes (JSON array), hash (true to read contents).
+A Python Data Source.  The driver opens directories, breadth first, until SPLIT of them are at hand, and each becomes a
+partition that an executor walks; directories, empty files and dot files are rows too, symbolic links are not followed,
+and excluded subtrees are not entered.  A file that cannot be read still is a file: it has a row without a hash, and one
+with the warning.  Options: roots (JSON array), max_depth, excludes (JSON array), hash (true to read all contents; a scan
+hashes afterwards, by hashed(), the files whose size is not theirs alone).
 """
 
 from __future__ import annotations
@@ -22,11 +24,15 @@ from ..operators.filters import Excludes
 
 SCHEMA = "root_path string, path string, kind string, size_bytes bigint, modified_ts timestamp, content_hash string, warning string"
 BLOCK = 64 * 1024
+#: Directories that are walked on their own, about; bytes of contents that a task hashes, about.
+SPLIT, HASH_BYTES = 256, 1 << 30
 
 
 class Part(InputPartition):
-    def __init__(self, root: str, start: str, depth: int, deep: bool):
-        self.root, self.start, self.depth, self.deep = root, start, depth, deep
+    """Directories with their depths; if not deep, only what stands directly in them."""
+
+    def __init__(self, root: str, starts: list[tuple[str, int]], deep: bool):
+        self.root, self.starts, self.deep = root, starts, deep
 
 
 def digest(path: str) -> str:
@@ -37,6 +43,14 @@ def digest(path: str) -> str:
     return h.hexdigest()
 
 
+def readable_digest(path: str) -> tuple[str | None, str | None]:
+    """The digest, or null and why there is none."""
+    try:
+        return digest(path), None
+    except OSError as e:
+        return None, str(e)
+
+
 class FileTreeReader(DataSourceReader):
     def __init__(self, options):
         self.roots = [os.path.abspath(r) for r in json.loads(options.get("roots") or "[]")]
@@ -45,23 +59,27 @@ class FileTreeReader(DataSourceReader):
         self.hash = str(options.get("hash", "false")).lower() == "true"
 
     def partitions(self):
-        """The entries of each root itself, and each of its first-level directories."""
         out, skip = [], Excludes(self.excludes)
+        each = max(1, SPLIT // max(1, len(self.roots)))
         for root in self.roots:
-            out.append(Part(root, root, 0, False))
-            try:
-                names = sorted(os.listdir(root))
-            except OSError:
-                continue
-            for name in names:
-                path = os.path.join(root, name)
-                if not skip.matches(path) and os.path.isdir(path) and not os.path.islink(path):
-                    out.append(Part(root, path, 1, True))
+            opened, ahead = [], [(root, 0)]
+            while ahead and len(ahead) < each:
+                folder, depth = ahead.pop(0)
+                opened.append((folder, depth))
+                if self.depth is not None and depth >= self.depth:
+                    continue
+                try:
+                    with os.scandir(folder) as entries:
+                        ahead += sorted((e.path, depth + 1) for e in entries if e.is_dir(follow_symlinks=False) and not skip.matches(e.path))
+                except OSError:
+                    continue  # the walk tells
+            out.append(Part(root, opened, False))
+            out += [Part(root, [at], True) for at in ahead]
         return out
 
     def read(self, part: Part):
         skip = Excludes(self.excludes)
-        stack = [(part.start, part.depth)]
+        stack = list(reversed(part.starts))
         while stack:
             folder, depth = stack.pop()
             if self.depth is not None and depth >= self.depth:
@@ -76,15 +94,18 @@ class FileTreeReader(DataSourceReader):
                     continue
                 try:
                     s = e.stat(follow_symlinks=False)
-                    if stat.S_ISDIR(s.st_mode):
-                        yield part.root, e.path, "directory", None, None, None, None
-                        if part.deep:
-                            stack.append((e.path, depth + 1))
-                    elif stat.S_ISREG(s.st_mode):
-                        when = datetime.fromtimestamp(int(s.st_mtime), UTC)
-                        yield part.root, e.path, "file", s.st_size, when, digest(e.path) if self.hash else None, None
                 except OSError as error:
                     yield part.root, e.path, "warning", None, None, None, str(error)
+                    continue
+                if stat.S_ISDIR(s.st_mode):
+                    yield part.root, e.path, "directory", None, None, None, None
+                    if part.deep:
+                        stack.append((e.path, depth + 1))
+                elif stat.S_ISREG(s.st_mode):
+                    own, warning = readable_digest(e.path) if self.hash else (None, None)
+                    yield part.root, e.path, "file", s.st_size, datetime.fromtimestamp(int(s.st_mtime), UTC), own, None
+                    if warning:
+                        yield part.root, e.path, "warning", None, None, None, warning
 
 
 class FileTree(DataSource):
@@ -115,3 +136,28 @@ def files_of(tree: DataFrame, scan_id: str, mounts: DataFrame | None = None) ->
 
     roots = match_mounts(f.select("root_path").distinct(), mounts)
     return f.join(F.broadcast(roots), "root_path")  # the roots of a scan: as many as its caller named
+
+
+def file_record(path: str, mount: str | None = None, modified: datetime | None = None) -> dict:
+    """The record of one file from its metadata."""
+    s = os.stat(path)
+    return {"path": os.path.abspath(path), "size_bytes": s.st_size, "disk_mount": mount, "modified": modified or datetime.fromtimestamp(int(s.st_mtime), UTC)}
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """files: path, size_bytes.  path, content_hash and warning (null where the other is not) of each distinct path, read
+    on the executors, about HASH_BYTES a task."""
+    rows = files.select("path", "size_bytes").dropDuplicates(["path"])
+    total = rows.agg(F.sum("size_bytes")).first()[0] or 0
+    parts = max(-(-total // HASH_BYTES), min(files.sparkSession.sparkContext.defaultParallelism, rows.limit(1000).count()), 1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            got = [readable_digest(p) for p in paths]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())],
+                                             names=["path", "content_hash", "warning"])
+
+    return rows.repartition(int(parts), "path").mapInArrow(run, "path string, content_hash string, warning string")

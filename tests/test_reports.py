@@ -8,7 +8,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from stowage import cli, markdown, schemas, service
+from stowage import cli, markdown, schemas, service, workbench
 from stowage.plans import evaluate
 from stowage.sinks import History, ReportStore, ScanCache, file_stem
 from stowage.sources import devices, documents, filetree
@@ -240,4 +240,86 @@ def test_commands(spark, tmp_path, capsys):
     suite = tmp_path / "suite.json"
     suite.write_text(json.dumps({"cases": [{"name": "r", "report": "r.json", "expected_top_ids": ["risky-disk-F--"], "forbidden_ids": []}]}))
     assert cli.main(["eval", str(suite)], spark) == 0 and json.loads(capsys.readouterr().out)["summary"][0]["passed_gate"]
-    assert cli.output_path("/x/r.json", ".md") == "/x/r.md"
+    assert workbench.markdown_path("/x/r.JSON") == "/x/r.md" and workbench.diagnostics_path() == "report.diagnostics.json" and workbench.diff_path(" a ", "") == "a-to-right.diff.json"
+
+
+def test_only_sizes_that_occur_twice_are_hashed(spark, tree, monkeypatch):
+    files = filetree.files_of(filetree.read_tree(spark, [tree]), "s")
+    assert files.where("content_hash is not null").count() == 0
+    from stowage.operators import duplicates
+
+    want = duplicates.candidates(files, 1)
+    got = filetree.hashed(want).collect()
+    assert sorted(os.path.relpath(r["path"], tree) for r in got) == sorted(os.path.relpath(r["path"], tree) for r in want.collect())
+    assert len(got) == 6 and len({r["content_hash"] for r in got}) == 5  # four files of one byte and two of four; the empty one is alone
+
+
+def test_a_file_that_cannot_be_read_stays_in_the_inventory(spark, tmp_path, monkeypatch):
+    root = tmp_path / "r"
+    root.mkdir()
+    for n in ("a", "b", "c"):
+        (root / n).write_text("same")
+    gone = spark.createDataFrame([(str(root / "a"), 4), (str(root / "none"), 4)], "path string, size_bytes bigint")
+    got = {os.path.basename(r["path"]): (r["content_hash"] is None, r["warning"] is None) for r in filetree.hashed(gone).collect()}
+    assert got == {"a": (False, True), "none": (True, False)}
+    reader = filetree.FileTreeReader({"roots": json.dumps([str(root)]), "hash": "true"})
+    monkeypatch.setattr(filetree, "digest", lambda p: (_ for _ in ()).throw(PermissionError("Permission denied")) if p.endswith("b") else "h")
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert sorted((os.path.basename(r[1]), r[2], r[5]) for r in rows) == [("a", "file", "h"), ("b", "file", None), ("b", "warning", None), ("c", "file", "h")]
+
+
+def test_one_big_directory_is_split(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / "big" / f"d{i}" / "e").mkdir(parents=True)
+        (tmp_path / "big" / f"d{i}" / "e" / "f").write_text("x" * i)
+    parts = filetree.FileTreeReader({"roots": json.dumps([str(tmp_path)])}).partitions()
+    assert len(parts) >= 1 and sum(p.deep for p in parts) in (0, 12)
+    t = filetree.read_tree(spark, [str(tmp_path)])
+    assert t.where("kind = 'file'").count() == 12 and t.where("kind = 'directory'").count() == 25
+    assert filetree.read_tree(spark, [str(tmp_path)], max_depth=2).where("kind = 'directory'").count() == 13
+
+
+def test_two_backends_agree(spark, tree):
+    probes = spark.createDataFrame([("s", 0, "disk", "/", 100 * GIB, 50 * GIB, "ssd", "ext4", False)], devices.PROBE.replace("pos int", "scan_id string, pos int"))
+    one, two = (service.scan(spark, service.ScanOptions(roots=[tree], dedupe=False, backend=b), probes=probes, hints=spark.createDataFrame([], devices.HINT)) for b in ("native", "pdu"))
+    assert one["paths"] == two["paths"] and one["paths"][0]["largest_directories"] and (one["scan"]["backend"], two["scan_metrics"]["backend"]) == ("native", "pdu")
+
+
+def test_roots_of_a_scan_that_names_none(spark, tree):
+    mounts = [("s", i, "d", m, 100 * GIB, 50 * GIB, "ssd", "ext4", False) for i, m in enumerate(("/proc", "/dev/shm", tree, tree.upper(), "/run/x"))]
+    probes = spark.createDataFrame(mounts, devices.PROBE.replace("pos int", "scan_id string, pos int"))
+    assert service.auto_roots(spark, probes) == [tree]
+    r = service.scan(spark, service.ScanOptions(dedupe=False), probes=probes, hints=spark.createDataFrame([], devices.HINT))
+    assert [p["root_path"] for p in r["paths"]] == [tree]
+
+
+def test_a_cancelled_scan_keeps_what_it_has(spark, tree, tmp_path):
+    from stowage.streaming.sessions import Cancelled
+
+    stop, probes = [], spark.createDataFrame([("s", 0, "disk", "/", 100 * GIB, 50 * GIB, "ssd", "ext4", False)], devices.PROBE.replace("pos int", "scan_id string, pos int"))
+
+    def on_event(e):
+        if e["current_path"]:
+            stop.append(e)
+            raise Cancelled
+
+    r = service.scan(spark, service.ScanOptions(roots=[tree], dedupe=False, cache=True), str(tmp_path / "s"), on_event, probes, spark.createDataFrame([], devices.HINT), cancelled=lambda: bool(stop))
+    assert r["paths"][0]["file_count"] == 7 and r["recommendations"] == [] and not r["scan_progress_summary"]["completed"]
+    assert any("scan canceled" in w for w in r["warnings"]) and not os.path.exists(tmp_path / "s" / "history.json") and documents.reports_from(spark, [r]).count() == 1
+
+
+def test_hints_of_one_mount_make_one_disk(spark):
+    from stowage.operators import disks
+
+    probes = spark.createDataFrame([("s", 0, "raid", "/r", 10, 5, "unknown", "ext4", False), ("s", 1, "win", "d:", 10, 5, "unknown", "ntfs", False)], devices.PROBE.replace("pos int", "scan_id string, pos int"))
+    hints = spark.createDataFrame([(0, "/r", "A", None, None, True, 0.7, "x"), (1, "/r/", "B", "M", None, None, 0.9, "y"), (2, "D:/", "W", None, "USB", None, 0.8, "cim")], devices.HINT)
+    got = {r["mount_point"]: (r["vendor"], r["model"], r["storage_type"], r["interface"]) for r in disks.enrich(probes, hints, "D:\\").collect()}
+    assert got == {"/r": ("B", "M", "hdd", None), "d:": ("W", "win", "usb", "usb")}
+
+
+def test_workbench(spark, bundle):
+    assert workbench.appended(["a"], " b ") == ["a", "b"] and workbench.appended(["a"], "a ") == ["a"] and workbench.appended([], " ") == []
+    assert workbench.default_store({"HOME": "/h"}, "posix") == "/h/.local/state/stowage/reports" and workbench.store_folder("/x") == "/x"
+    disks_ = service.with_scans(documents.reports_from(spark, list(SHAPES.values())))["disks"]
+    got = workbench.of_recommendation({k: v.where("scan_id = 'active'") for k, v in bundle.items()}, disks_, "active-workload-placement")
+    assert {k: v.count() for k, v in got.items()} == {"recommendation": 1, "policy_decisions": 2, "rule_traces": 1, "disk": 1} and got["disk"].first()["mount_point"] == "E:\\"
