@@ -7,6 +7,7 @@ them; a byte of text stands for a MiB on the paths and disks, so the rules' thre
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.scalars import extension, top_directory
@@ -69,7 +70,15 @@ def enriched(spark, sf_dir: str) -> DataFrame:
 
 
 def tables(spark, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of the one scan that a folder is, worked out once a session: a dozen small jobs that every rule needs."""
     light_planning(spark)
+    made = spark.__dict__.setdefault("_adapter_tables", {})
+    if sf_dir not in made:
+        made[sf_dir] = _tables(spark, sf_dir)
+    return dict(made[sf_dir])
+
+
+def _tables(spark, sf_dir: str) -> dict[str, DataFrame]:
     f = files(spark, sf_dir)
     # a row a root or disk each: worked out once, since every rule reads them
     p, e = landed(paths(spark, sf_dir)), landed(enriched(spark, sf_dir))
@@ -78,7 +87,7 @@ def tables(spark, sf_dir: str) -> dict[str, DataFrame]:
     cats = landed(classify.all_categories(p, dirs, landed(usage.top_extensions(f)), e))
     groups = duplicates.duplicate_groups(files(spark, sf_dir, content=True)).withColumn("pos", F.lit(0)).withColumn("first_file", F.col("files")[0])
     return {"scans": spark.createDataFrame([(SCAN,)], "scan_id string"), "files": f, "paths": p, "path_directories": dirs, "path_extensions": usage.top_extensions(f),
-            "disks": landed(classify.infer_roles(e, cats)), "categories": cats, "duplicate_groups": groups.withColumn("total_wasted_bytes", F.col("total_wasted_bytes") * 4096)}
+            "disks": landed(classify.infer_roles(e, cats)), "categories": cats, "duplicate_groups": groups.withColumn("total_wasted_bytes", F.col("total_wasted_bytes") * MIB)}
 
 
 def url_paths(spark, sf_dir: str) -> DataFrame:
@@ -95,12 +104,16 @@ def url_mounts(spark, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark, sf_dir: str) -> DataFrame:
-    """A snapshot a day of events: free space of a disk for each event type falls by its values of the day."""
-    day = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("n"))
-    pos = F.datediff("day", F.to_date(F.lit("2024-01-01")))
-    grown = (F.round(F.col("v")) * 2**24).cast("bigint")
-    return day.select(pos.alias("snap_pos"), F.concat(F.col("day").cast("string"), F.lit("T00:00:00Z")).alias("generated_at"), F.concat(F.lit("/"), "event_type").alias("mount_point"),
-                      F.concat(F.lit("/"), "event_type").alias("root_path"), F.lit(64 * 2**30).alias("total_space_bytes"), (F.lit(64 * 2**30) - grown).alias("free_space_bytes"), grown.alias("total_size_bytes"))
+    """A snapshot for each ten days of events: a root and disk for each event type, which grows by its values; disks of
+    types with long names are large."""
+    pos = F.floor(F.datediff("day", F.to_date(F.lit("2024-01-01"))) / 10).cast("int")
+    day = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", "value").groupBy(pos.alias("snap_pos"), F.concat(F.lit("/"), "event_type").alias("mount_point")).agg(
+        (F.round(F.sum("value")) * 2**24).cast("bigint").alias("more"))
+    grown = F.sum("more").over(W.partitionBy("mount_point").orderBy("snap_pos"))
+    when = F.date_add(F.to_date(F.lit("2024-01-01")), F.col("snap_pos") * 10 + 9)
+    total = F.expr("shiftleft(1L, 35 + length(mount_point))")
+    out = day.select("snap_pos", F.concat(when.cast("string"), F.lit("T00:00:00Z")).alias("generated_at"), "mount_point", F.col("mount_point").alias("root_path"), total.alias("total_space_bytes"), grown.alias("total_size_bytes"))
+    return out.withColumn("free_space_bytes", F.col("total_space_bytes") - F.col("total_size_bytes"))
 
 
 def order_slices(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -243,8 +256,8 @@ DUPS = FILES + """, dups AS (
               THEN 'likely_intentional' ELSE 'likely_redundant' END AS intent
   FROM files GROUP BY size_bytes, hash HAVING count(*) > 1)"""
 SNAPS = """snaps AS (
-  SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS snap_pos, ts::DATE AS day, '/' || event_type AS mount_point, (round(sum(value)) * 16777216)::BIGINT AS grown, count(*)::BIGINT AS n
-  FROM events GROUP BY ALL)"""
+  SELECT snap_pos, DATE '2024-01-01' + (snap_pos * 10 + 9) AS day, mount_point, (1::BIGINT << (35 + length(mount_point))) AS total, (sum(more) OVER (PARTITION BY mount_point ORDER BY snap_pos))::BIGINT AS grown
+  FROM (SELECT (date_diff('day', DATE '2024-01-01', ts::DATE) // 10)::INT AS snap_pos, '/' || event_type AS mount_point, (round(sum(value)) * 16777216)::BIGINT AS more FROM events GROUP BY ALL))"""
 SLICES = """slices AS (
   SELECT o_orderdate >= TIMESTAMP '1998-07-01' AS late, '/c' || o_custkey AS root_path, round(sum(o_totalprice))::BIGINT AS size, count(*)::BIGINT AS n FROM orders GROUP BY ALL),
 l AS (SELECT * FROM slices WHERE NOT late), r AS (SELECT * FROM slices WHERE late)"""

@@ -92,12 +92,23 @@ def tree_rollup(spark, d) -> DataFrame:
     return usage.tree_rollup(a.files(spark, d)).drop("scan_id", "root_path")
 
 
-@query(f"""WITH {a.FILES} SELECT 0::BIGINT AS scanned_files_delta, 0::BIGINT AS scanned_bytes_delta, true AS within_tolerance, count(*) > 0 AS ran FROM files""")
+@query(f"""WITH {a.FILES}, n AS (SELECT count(*) AS f, sum(size_bytes) AS b FROM files),
+o AS (SELECT sum(f) AS f, sum(b) AS b FROM (SELECT top_dir, count(*) AS f, sum(size_bytes) AS b FROM files WHERE NOT contains(path, '/de/') GROUP BY top_dir))
+SELECT (o.f - n.f)::BIGINT AS scanned_files_delta, (o.b - n.b)::BIGINT AS scanned_bytes_delta, abs(o.b - n.b) / greatest(n.b, 1) <= 0.05 AS within_tolerance FROM n, o""")
 def parity_check(spark, d) -> DataFrame:
+    """The direct sums of all files, and the tree rollup of those outside the German directories, which differ."""
     f = a.files(spark, d)
     sums = lambda df, n: df.groupBy("scan_id").agg(F.sum(n).cast("bigint").alias("scanned_files"), F.sum("size_bytes").alias("scanned_bytes"), F.lit(0).alias("elapsed_ms"))
-    rolled = usage.tree_rollup(f).where(F.col("path") == F.col("root_path"))
-    return usage.parity(sums(f.withColumn("files", F.lit(1)), "files"), sums(rolled, "files")).select("scanned_files_delta", "scanned_bytes_delta", "within_tolerance", F.lit(True).alias("ran"))
+    rolled = usage.tree_rollup(f.where(~F.col("path").contains("/de/"))).where(F.col("path") == F.col("root_path"))
+    return usage.parity(sums(f.withColumn("files", F.lit(1)), "files"), sums(rolled, "files")).select("scanned_files_delta", "scanned_bytes_delta", "within_tolerance")
+
+
+@query(f"""WITH {a.FILES}{a.EXTS} SELECT root_path, path, size_bytes, (k - 1)::INT AS pos FROM dirs""")
+def backend_directories(spark, d) -> DataFrame:
+    """The second backend's directories: ranked from the rollup of the whole tree."""
+    rolled = usage.tree_rollup(a.files(spark, d))
+    first = F.col("path") == s.top_directory(F.concat("path", F.lit("/.")), F.col("root_path"))
+    return usage.top(rolled.where(first).select("scan_id", "root_path", "path", "size_bytes"), usage.TOP_DIRECTORIES, F.desc("size_bytes"), "path").drop("scan_id")
 
 
 @query("""SELECT event_type AS backend, count(*)::BIGINT AS iterations, round(avg(value), 6) AS avg_elapsed_ms, round(avg(user_id * 1000), 6) AS avg_bytes,
@@ -241,13 +252,17 @@ def risky_disks(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {a.SCORES} SELECT 'backup-gap' AS id, 0.8::DOUBLE AS confidence, {_NONE}, 'high' AS risk_level FROM (
-SELECT bool_or(round(s.work, 6) >= 0.5) AS w, bool_or(round(s.backup, 6) >= 0.5) AS b FROM scores s JOIN enriched e ON e.mount_point = s.mount_point WHERE eligible_for_local_target OR is_os_drive) WHERE w AND NOT b""")
+SELECT bool_or(round(s.work, 6) >= 0.5) AS w, bool_or(round(s.backup, 6) >= 0.5) AS b FROM scores s JOIN enriched e ON e.mount_point = s.mount_point
+WHERE (eligible_for_local_target OR is_os_drive) AND pos % 6 <> 2 AND pos % 8 <> 2) WHERE w AND NOT b""")
 def backup_gap(spark, d) -> DataFrame:
-    return _rule(rules.backup_gap, a.tables(spark, d))
+    """Of a scan without the disks that are named for backups."""
+    t = a.tables(spark, d)
+    kept = t["disks"].where("pos % 6 <> 2 AND pos % 8 <> 2")
+    return _rule(rules.backup_gap, t | {"disks": kept, "categories": t["categories"].join(kept.select(F.col("mount_point").alias("disk_mount")), "disk_mount", "left_semi")})
 
 
 @query(f"""WITH {a.DUPS} SELECT 'duplicate-cleanup-candidate' AS id, 0.7::DOUBLE AS confidence, NULL::VARCHAR AS target_mount, w::BIGINT AS space_saving_bytes, 'medium' AS risk_level FROM (
-SELECT sum(total_wasted_bytes * 4096) AS w FROM dups WHERE intent = 'likely_redundant' AND total_wasted_bytes * 4096 >= 67108864) WHERE w >= 268435456""")
+SELECT sum(total_wasted_bytes * 1048576) AS w FROM dups WHERE intent = 'likely_redundant' AND total_wasted_bytes * 1048576 >= 67108864) WHERE w >= 268435456""")
 def duplicate_cleanup(spark, d) -> DataFrame:
     return _rule(rules.duplicate_cleanup, a.tables(spark, d))
 
@@ -363,6 +378,129 @@ def report_index_latest(spark, d) -> DataFrame:
     return o.orderBy(F.desc("generated_at")).limit(10)
 
 
+# --- scalar functions and hints
+
+
+_SIZE = """CASE WHEN {0} >= 1099511627776 THEN printf('{1}', {0} / 1099511627776) || ' TB' WHEN {0} >= 1073741824 THEN printf('{1}', {0} / 1073741824) || ' GB'
+WHEN {0} >= 1048576 THEN printf('{1}', {0} / 1048576) || ' MB' WHEN {0} >= 1024 THEN printf('{1}', {0} / 1024) || ' KB' ELSE {2} END"""
+_ROUND = """CASE WHEN {0} >= 1099511627776 THEN printf('{1} TB', round({0} / 1099511627776, {2})) WHEN {0} >= 1073741824 THEN printf('{1} GB', round({0} / 1073741824, {2}))
+WHEN {0} >= 1048576 THEN printf('{1} MB', round({0} / 1048576, {2})) WHEN {0} >= 1024 THEN printf('{1} KB', round({0} / 1024, {2})) END"""
+_SHOWN = f"""CASE WHEN x IS NULL OR x <= 0 THEN 'n/a' WHEN x < 1024 THEN printf('%.0f B', x::DOUBLE)
+WHEN x / (CASE WHEN x >= 1099511627776 THEN 1099511627776 WHEN x >= 1073741824 THEN 1073741824 WHEN x >= 1048576 THEN 1048576 ELSE 1024 END) >= 100
+THEN {_ROUND.format('x', '%.0f', 0)} ELSE {_ROUND.format('x', '%.1f', 1)} END"""
+_NUMBERS = "SELECT o_orderkey AS k, ((round(o_totalprice)::BIGINT << (o_orderkey % 25)::INT) - (CASE WHEN o_orderkey % 11 = 0 THEN round(o_totalprice)::BIGINT << (o_orderkey % 25)::INT ELSE 0 END))::BIGINT AS n FROM orders"
+
+
+def _numbers(spark, d) -> DataFrame:
+    """Sizes from nothing to terabytes."""
+    n = F.expr("shiftleft(cast(round(o_totalprice) as bigint), cast(o_orderkey % 25 as int))")
+    return a.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 11 == 0, F.lit(0).cast("bigint")).otherwise(n).alias("n"))
+
+
+@query(f"""WITH t AS ({_NUMBERS}), u AS (SELECT k, n, CASE WHEN k % 13 = 0 THEN NULL ELSE n END AS x, n AS y FROM t)
+SELECT k, CASE WHEN n = 0 THEN '0 B' ELSE {_SIZE.format('n', '%.1f', "printf('%.1f B', n::DOUBLE)")} END AS human, {_SHOWN} AS shown FROM u""")
+def size_texts(spark, d) -> DataFrame:
+    t = _numbers(spark, d)
+    return t.select("k", s.human_bytes(F.col("n")).alias("human"), s.display_bytes(F.when(F.col("k") % 13 != 0, F.col("n"))).alias("shown"))
+
+
+@query("""SELECT o_orderkey AS k, printf('%.1f%%', (0.5 + (o_orderkey % 5) / 10)::DOUBLE * 100) AS confidence, CASE WHEN o_orderkey % 40 <= 1 THEN 'day' ELSE (o_orderkey % 40) || ' days' END AS days,
+CASE WHEN d = 0 THEN '0 B' ELSE (CASE WHEN d > 0 THEN '+' ELSE '-' END) || (CASE WHEN abs(d) >= 1024 THEN (CASE WHEN abs(d) / 1024 >= 100 THEN printf('%.0f KB', round(abs(d) / 1024)) ELSE printf('%.1f KB', round(abs(d) / 1024, 1)) END)
+ELSE printf('%.0f B', abs(d)::DOUBLE) END) END AS delta, greatest(o_custkey - o_orderkey, 0)::BIGINT AS used FROM (SELECT *, ((o_custkey % 997) * 1000 - (o_orderkey % 31) * 20000)::BIGINT AS d FROM orders)""")
+def signed_and_percent_texts(spark, d) -> DataFrame:
+    k, delta = F.col("o_orderkey"), (F.col("o_custkey") % 997) * 1000 - (F.col("o_orderkey") % 31) * 20000
+    return a.table(spark, d, "orders").select(k.alias("k"), s.display_confidence(F.lit(0.5) + (k % 5) / 10).alias("confidence"), s.human_days((k % 40).cast("bigint")).alias("days"),
+                                              s.display_signed_bytes(s.signed_delta((F.col("o_orderkey") % 31) * 20000, (F.col("o_custkey") % 997) * 1000)).alias("delta"), s.used_space(F.col("o_custkey"), k).cast("bigint").alias("used"))
+
+
+_MOUNTS = "['c:', ' D:\\', 'e:/data', '/', '/home/', ' /mnt/x ', 'f:\\Games', '//nas/share/']"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS k, ({_MOUNTS})[(o_orderkey % 8 + 1)::INT] AS m FROM orders), u AS (SELECT k, m, translate(trim(m), '/', '\\') AS w FROM t),
+v AS (SELECT k, m, CASE WHEN regexp_full_match(w, '.:') THEN w || '\\' ELSE w END AS w FROM u)
+SELECT k, CASE WHEN regexp_matches(w, '^.:') THEN upper(w[1]) || w[2:] ELSE w END AS windows, CASE WHEN trim(m) = '/' THEN '/' ELSE rtrim(trim(m), '/') END AS unix,
+CASE WHEN regexp_matches(trim(m), '^[A-Za-z]:([\\/]|$)') THEN upper(w[1]) || w[2:] ELSE CASE WHEN trim(m) = '/' THEN '/' ELSE rtrim(trim(m), '/') END END AS same FROM v""".replace("\\\\", "\\").replace("([\\/]", "([\\\\/]"))
+def mount_forms(spark, d) -> DataFrame:
+    m = F.element_at(F.array(*map(F.lit, ("c:", " D:\\", "e:/data", "/", "/home/", " /mnt/x ", "f:\\Games", "//nas/share/"))), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    t = a.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), m.alias("m"))
+    return t.select("k", s.windows_mount(F.col("m")).alias("windows"), s.unix_mount(F.col("m")).alias("unix"), s.mount_key(F.col("m")).alias("same"))
+
+
+@query("""SELECT p_partkey AS k, nullif(trim(CASE WHEN p_partkey % 5 = 0 THEN '  ' ELSE ' ' || p_brand END), '') AS own,
+CASE p_partkey % 8 WHEN 0 THEN 'nvme' WHEN 1 THEN 'usb' WHEN 2 THEN 'sata' WHEN 3 THEN 'sata' WHEN 4 THEN 'virtio' WHEN 5 THEN 'network' WHEN 6 THEN 'sata' END AS bus,
+CASE p_partkey % 7 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true END AS spins, CASE p_partkey % 4 WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN false END AS media_spins FROM part""")
+def hint_words(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k % len(v) + 1).cast("int"))
+    bus = pick("PCIe NVMe", " USB 3 ", "SATA", "iSCSI", "virtio-blk", "NFS", "SAS", "?")
+    return a.table(spark, d, "part").select(k.alias("k"), s.optional(F.when(k % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_brand"))).alias("own"), s.interface(bus).alias("bus"),
+                                            s.rotational(pick("true", "0", "YES", " no ", "2", "maybe", None)).alias("spins"), s.media_rotational(pick("SSD", "hdd", "Solid State", "tape")).alias("media_spins"))
+
+
+@query("""WITH h AS (SELECT ps_key AS pos, m, CASE WHEN ps_key % 3 = 0 THEN NULL ELSE 'v' || (ps_key % 5) END AS vendor, CASE WHEN ps_key % 4 = 0 THEN NULL ELSE 'm' || (ps_key % 7) END AS model, ps_key % 2 = 0 AS rotational, (ps_key % 3)::DOUBLE AS c
+FROM (SELECT l_orderkey * 10 + l_linenumber AS ps_key, '/d' || l_orderkey AS m FROM lineitem))
+SELECT m AS mount_point, first(vendor ORDER BY c DESC, pos) FILTER (WHERE vendor IS NOT NULL) AS vendor, first(model ORDER BY c DESC, pos) FILTER (WHERE model IS NOT NULL) AS model, first(rotational ORDER BY c DESC, pos) AS rotational, max(c) AS confidence
+FROM h GROUP BY m""")
+def hint_upsert(spark, d) -> DataFrame:
+    from .operators import disks
+
+    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    h = a.table(spark, d, "lineitem").select(k.alias("pos"), F.concat(F.lit("/d"), F.col("l_orderkey").cast("string")).alias("mount_point"), F.when(k % 3 != 0, F.concat(F.lit("v"), (k % 5).cast("string"))).alias("vendor"),
+                                             F.when(k % 4 != 0, F.concat(F.lit("m"), (k % 7).cast("string"))).alias("model"), F.lit(None).cast("string").alias("interface"), (k % 2 == 0).alias("rotational"), (k % 3).cast("double").alias("confidence"), F.lit("t").alias("source"))
+    return disks.merge_hints(h).select("mount_point", "vendor", "model", "rotational", "confidence")
+
+
+@query(f"""WITH {a.ENRICHED}, h AS (SELECT pos, mount_point, pos % 2 = 0 AS rota, 'Maker ' || pos AS maker FROM probes WHERE pos % 3 = 0)
+SELECT e.mount_point, coalesce(h.maker, e.vendor) AS vendor, CASE WHEN e.storage_type = 'unknown' AND h.rota IS NOT NULL THEN (CASE WHEN h.rota THEN 'hdd' ELSE 'ssd' END) ELSE e.storage_type END AS storage_type,
+coalesce(h.rota, CASE e.disk_kind WHEN 'hdd' THEN true WHEN 'ssd' THEN false END) AS rotational, h.pos IS NOT NULL AS noted FROM enriched e LEFT JOIN h ON h.mount_point = e.mount_point""")
+def disks_with_hints(spark, d) -> DataFrame:
+    """Each mount has two hint rows, of which the second says less; a disk stays one row."""
+    from .operators import disks
+
+    p = a.probes(spark, d)
+    h = p.where("pos % 3 = 0").select("pos", "mount_point", F.concat(F.lit("Maker "), F.col("pos").cast("string")).alias("vendor"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("interface"),
+                                      (F.col("pos") % 2 == 0).alias("rotational"), F.lit(0.9).alias("confidence"), F.lit("t").alias("source"))
+    both = h.unionByName(h.withColumns({"vendor": F.lit("other"), "rotational": ~F.col("rotational"), "confidence": F.lit(0.7), "mount_point": F.concat("mount_point", F.lit("/"))}))
+    out = disks.enrich(p, both, os_mount="/src3-projects")
+    return out.select("mount_point", "vendor", "storage_type", "rotational", (F.size("metadata_notes") > 0).alias("noted"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_full_match(i, '[A-Za-z0-9_-]+') AND NOT starts_with(i, 'scan-') THEN i ELSE 'scan-' || sha256(i) END AS stem, replace(replace(replace(i, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') AS shown,
+replace(i, '\\', '/') AS cached, regexp_replace(i, '[^A-Za-z0-9]', '-', 'g') AS slug, regexp_replace(i, '[^A-Za-z0-9]', '', 'g') AS bare
+FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'scan-' || doc_id WHEN 1 THEN source || '_' || doc_id WHEN 2 THEN 'a\\b/' || doc_id WHEN 3 THEN 'x' || chr(9) || doc_id || chr(10) ELSE 'ü ' || doc_id END AS i FROM documents)""".replace("\\\\", "\\"))
+def store_names(spark, d) -> DataFrame:
+    k, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    i = F.when(k % 5 == 0, F.concat(F.lit("scan-"), n)).when(k % 5 == 1, F.concat("source", F.lit("_"), n)).when(k % 5 == 2, F.concat(F.lit("a\\b/"), n)).when(k % 5 == 3, F.concat(F.lit("x\t"), n, F.lit("\n"))).otherwise(F.concat(F.lit("ü "), n))
+    t = a.table(spark, d, "documents").select("doc_id", i.alias("i"))
+    c = F.col("i")
+    return t.select("doc_id", s.safe_stem(c).alias("stem"), s.escape_lines(c).alias("shown"), s.cache_path(c).alias("cached"), F.regexp_replace(c, "[^A-Za-z0-9]", "-").alias("slug"), s.bare_id(c).alias("bare"))
+
+
+@query("""SELECT event_id, greatest(epoch(TIMESTAMP '2024-01-20 00:00:00')::BIGINT - epoch(date_trunc('second', ts))::BIGINT, 0) AS age, greatest(epoch(TIMESTAMP '2024-01-20 00:00:00')::BIGINT - epoch(date_trunc('second', ts))::BIGINT, 0) > 86400 AS expired,
+CASE WHEN event_id % 9 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS told FROM events""")
+def cache_ages(spark, d) -> DataFrame:
+    now = F.to_timestamp(F.lit("2024-01-20 00:00:00"))
+    age = s.cache_age_seconds(now, F.col("ts"))
+    text = F.when(F.col("event_id") % 9 == 0, "no time").otherwise(s.utc_text(F.col("ts")))
+    return a.table(spark, d, "events").select("event_id", age.alias("age"), (age > 86400).alias("expired"), s.utc_text(s.utc_time(text)).alias("told"))
+
+
+@query("""SELECT scan_id, generated_at, warnings_count, recommendation_count, imported FROM (SELECT strftime(o_orderdate, '%Y-%m') AS scan_id, strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%SZ') AS generated_at,
+(count(*) % 7)::INT AS warnings_count, (count(*) % 11)::INT AS recommendation_count, false AS imported FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1)""")
+def stored_reports(spark, d) -> DataFrame:
+    """A report a month goes through the store, twice, and comes back from its index."""
+    import tempfile
+
+    from .sinks import ReportStore
+
+    o = a.table(spark, d, "orders").where("year(o_orderdate) = 1997").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("scan_id")).agg(s.utc_text(F.max("o_orderdate")).alias("t"), F.count(F.lit(1)).alias("n"))
+    with tempfile.TemporaryDirectory() as folder:  # read and written by the driver alone, a dozen reports
+        st = ReportStore(folder)
+        for r in [*o.collect()] * 2:
+            st.put({"scan_id": r["scan_id"], "generated_at": r["t"], "report_version": "1.2.0", "warnings": [""] * (r["n"] % 7), "recommendations": [{}] * (r["n"] % 11)})
+        return st.table(spark).select("scan_id", "generated_at", F.col("warnings_count").cast("int").alias("warnings_count"), F.col("recommendation_count").cast("int").alias("recommendation_count"), "imported")
+
+
 # --- differences and trends
 
 
@@ -402,7 +540,7 @@ _LAST = f"WITH {a.SNAPS}, p AS (SELECT max(snap_pos) AS b FROM snaps), q AS (SEL
 
 
 @query(_LAST + """ SELECT 'disk-growth-' || regexp_replace(y.mount_point, '[^A-Za-z0-9]', '', 'g') AS id, y.mount_point, y.grown - x.grown AS growth_bytes, date_diff('day', x.day, y.day)::BIGINT AS days
-FROM snaps x JOIN snaps y ON x.mount_point = y.mount_point, p, q WHERE x.snap_pos = a AND y.snap_pos = b AND abs(y.grown - x.grown) > 1073741824 AND (y.grown - x.grown) / 68719476736 > 0.1""")
+FROM snaps x JOIN snaps y ON x.mount_point = y.mount_point, p, q WHERE x.snap_pos = a AND y.snap_pos = b AND abs(y.grown - x.grown) > 1073741824 AND (y.grown - x.grown) / y.total > 0.1""")
 def trend_disk(spark, d) -> DataFrame:
     return trend.disk_growth(a.snapshots(spark, d)).select("id", "mount_point", "growth_bytes", "days")
 

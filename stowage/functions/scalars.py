@@ -63,14 +63,15 @@ def bare_id(c: Column) -> Column:
 
 
 def human_bytes(c: Column) -> Column:
+    """One decimal, exact halves to the even one."""
     out = F.when(c == 0, F.lit("0 B"))
     for unit, size in _UNITS:
-        out = out.when(c >= size, F.format_string(f"%.1f {unit}", c / size))
+        out = out.when(c >= size, F.format_string(f"%.1f {unit}", F.bround(c / size, 1)))
     return out.otherwise(F.format_string("%.1f B", c.cast("double")))
 
 
 def display_bytes(c: Column) -> Column:
-    """n/a for null or nothing; no decimals from 100 on, or for bytes."""
+    """n/a for null or nothing; no decimals from 100 on, or for bytes; exact halves go up."""
     out = F.when(c.isNull() | (c <= 0), "n/a")
     for unit, size in _UNITS:
         v = c / size
