@@ -298,17 +298,45 @@ def observed_coverage(spark, d) -> DataFrame:
     return rules.coverage(a.enriched(spark, d), a.paths(spark, d)).select("mount_point", "observed_bytes", r6("coverage"), "covered")
 
 
-@query()
+_FOUND = (("active_workload_placement", "active_placement"), ("consolidation_opportunity", "consolidation_pair"), ("risky_disk", "risky_disks"), ("backup_gap", "backup_gap"), ("duplicate_cleanup", "duplicate_cleanup"),
+          ("os_headroom", "os_headroom"), ("cloud_exclusion_notice", "cloud_notice"))
+#: The rules in order, with what those of them find that look at these tables, and whether the target's role is in the way.
+_BUNDLE = "WITH found AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS rule_pos, id, confidence, target_mount FROM ({SQL[q].replace(' AND pos % 6 <> 2 AND pos % 8 <> 2', '')})" for k, (_, q) in enumerate(_FOUND)) + f"""),
+rules AS (SELECT unnest({[r for r, _ in _FOUND] + ["dev_artifacts", "system_caches", "trend_analyzer"]}) AS rule_id, unnest(range(10)) AS rule_pos),
+c AS (SELECT *, (row_number() OVER (ORDER BY rule_pos, CASE WHEN rule_pos = 2 THEN regexp_extract(id, '[0-9]+')::INT ELSE 0 END) - 1)::INT AS pos FROM found),
+role AS (SELECT mount_point AS target_mount, role FROM ({SQL['disk_roles']})),
+j AS (SELECT c.*, coalesce(rule_pos = 0 AND role IN ('media_library', 'archive', 'backup_target'), false) AS refused FROM c LEFT JOIN role USING (target_mount))"""
+
+
+@query(f"""{_BUNDLE}, out_of AS (SELECT count(*) AS n FROM ({SQL['target_eligibility']}) WHERE NOT eligible_for_local_target)
+SELECT pos, id, confidence, target_mount, true AS policy_safe, 'safe_target_policy,safe_target_policy' || CASE WHEN rule_pos = 0 THEN ',role_aware_target_policy' ELSE '' END AS applied,
+CASE WHEN target_mount IS NOT NULL THEN 'disk,directory' WHEN rule_pos = 4 THEN 'duplicate_group' WHEN rule_pos = 6 THEN array_to_string(list_transform(range(least(n, 2)), lambda x: 'disk'), ',') ELSE 'other' END AS evidence
+FROM j, out_of WHERE NOT refused""")
 def recommendation_bundle(spark, d) -> DataFrame:
     out = policy.recommend(a.tables(spark, d))["recommendations"]
     return out.select("pos", "id", r6("confidence"), "target_mount", "policy_safe", F.array_join("policy_rules_applied", ",").alias("applied"), F.array_join("evidence.kind", ",").alias("evidence"))
 
 
-@query()
+@query(f"""{_BUNDLE}, t AS (
+SELECT rule_pos AS a, rule_id, any_value(id) AS id, avg(confidence) AS confidence FROM rules LEFT JOIN j USING (rule_pos) GROUP BY ALL
+UNION ALL SELECT 1000, 'role_aware_target_policy', id, NULL FROM j WHERE refused)
+SELECT (row_number() OVER (ORDER BY a) - 1)::INT AS pos, rule_id, CASE WHEN a = 1000 THEN 'rejected' WHEN id IS NULL THEN 'skipped' ELSE 'emitted' END AS status, CASE WHEN a <> 2 THEN id END AS recommendation_id,
+round(confidence, 6) AS confidence FROM t""")
 def rule_traces(spark, d) -> DataFrame:
     return policy.recommend(a.tables(spark, d))["rule_traces"].select("pos", "rule_id", "status", "recommendation_id", r6("confidence"))
 
 
+@query(f"""{_BUNDLE} SELECT pos, CASE rule_pos WHEN 0 THEN 'Check that the target has room.' WHEN 3 THEN 'Make sure that a second copy exists.' WHEN 4 THEN 'Pick the copy that counts.' ELSE 'Look at the evidence.' END AS first_step, 2 AS steps,
+CASE WHEN rule_pos = 2 THEN (SELECT any_value(mount_point || ' has ' || printf('%.1f%%', round(free_space_bytes / total_space_bytes * 100, 1)) || ' left and no sign of a backup.') FROM (WITH {a.PROBES} SELECT * FROM probes) p
+  WHERE 'risky-disk-' || regexp_replace(p.mount_point, '[^A-Za-z0-9]', '-', 'g') = j.id) END AS risky_rationale,
+CASE WHEN target_mount IS NOT NULL THEN (SELECT any_value(name) FROM (WITH {a.PROBES} SELECT * FROM probes) p WHERE p.mount_point = j.target_mount) END AS disk_named FROM j WHERE NOT refused""")
+def evidence_and_steps(spark, d) -> DataFrame:
+    out = policy.recommend(a.tables(spark, d))["recommendations"]
+    return out.select("pos", F.col("next_steps")[0].alias("first_step"), F.size("next_steps").alias("steps"), F.when(F.col("id").startswith("risky"), F.col("rationale")).alias("risky_rationale"),
+                      F.when(F.col("target_mount").isNotNull(), F.substring_index(F.filter("evidence", lambda e: e["kind"] == "disk")[0]["detail"], " | ", 1)).alias("disk_named"))
+
+
 # --- policy, scenarios, evaluation
 
 
