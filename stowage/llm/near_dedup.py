@@ -247,8 +247,9 @@ def candidate_clusters(reps: DataFrame, width: int = SKETCH, looks: float = LOOK
 
     nodes, small, edges, held = _roots(reps), [], [], None
     for level in range(1, LEVELS + 1):
-        counts = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        here = written(nodes.drop("tokens", "tree").join(counts, "node"), "nodes")
+        every = nodes.select("id", "node") if level == 1 else written(nodes.select("id", "node"), "branches")
+        counts = every.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        here = written(every.join(counts, "node"), "nodes")
         small.append(here.where(F.col("n") <= NODE).select("node", "id"))
         large = here.where(F.col("n") > NODE).select("node", "id")
         sizes = written(_pivots(large, NODE), "pivots")
