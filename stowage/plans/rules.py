@@ -73,7 +73,7 @@ def fastest(disks: DataFrame) -> DataFrame:
 
 def active_workload_placement(t):
     best = fastest(t["disks"]).select("scan_id", F.col("mount_point").alias("_target"), F.col("performance_rank").alias("_rank"))
-    d = _with_scores(eligible(t["disks"]), t).join(F.broadcast(best), "scan_id")  # one row a scan
+    d = _with_scores(eligible(t["disks"]), t).join(best, "scan_id")  # one row a scan
     active, cold = F.col("work") + F.col("games"), F.col("media") + F.col("archive")
     d = d.withColumns({"_active": active, "_cold": cold}).where(
         (F.col("mount_point") != F.col("_target")) & (F.col("performance_rank") < F.col("_rank")) & (F.col("_active") > F.col("_cold") + 0.25))
@@ -174,8 +174,8 @@ def trend_growth(t):
     if "disk_snapshots" not in t:
         return None
     scans = t["scans"].select("scan_id")
-    d = trend.disk_growth(t["disk_snapshots"].drop("scan_id")).crossJoin(F.broadcast(scans))  # growth rows are at most the disks of one snapshot
-    p = trend.path_growth(t["path_snapshots"].drop("scan_id")).crossJoin(F.broadcast(scans))
+    d = trend.disk_growth(t["disk_snapshots"].drop("scan_id")).crossJoin(scans)  # growth rows are at most the disks of one snapshot
+    p = trend.path_growth(t["path_snapshots"].drop("scan_id")).crossJoin(scans)
     when = F.concat(F.lit(" in the last "), human_days(F.col("days")), F.lit("."))
     disk = _rec(d, id=F.col("id"), title="A disk fills up", rationale=F.concat("mount_point", F.lit(" lost "), human_bytes(F.col("growth_bytes")), when), confidence=F.col("confidence"),
                 target=F.col("mount_point"), risk="medium")
