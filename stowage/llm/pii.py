@@ -4,7 +4,9 @@ The patterns find emails, IPv4 addresses, card numbers and phone numbers.  The C
 space) by word-shape features; it is trained by gradient ascent on the conditional log-likelihood of a small labelled
 table that make_table() writes from templates, and decodes by Viterbi in numpy, many token runs at once.  A token more
 than REACH tokens from any token with a digit, @ or a written-out "at" is O by definition, so only runs around such
-tokens are decoded.  CRF spans that overlap a pattern's span are not added.
+tokens are decoded.  CRF spans that overlap a pattern's span are not added.  Besides the four kinds of the patterns it
+finds secrets (access tokens, keys, passwords with a digit): the label cue, which makes no span, stands on the words that
+announce one (`token =`), so the chain remembers them up to the value.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ from .common import python_side
 
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("O", *KINDS)
+FOUND = (*KINDS, "secret")
+LABELS = ("O", *FOUND, "cue")
+CUE = LABELS.index("cue")
 REACH = 3
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -81,11 +85,18 @@ def features(token: str) -> tuple[str, ...]:
     digits = sum("0" <= c <= "9" for c in core)
     letters = sum(c.isalpha() for c in core)
     low = core.lower()
-    out = ["bias", f"shape={shape(core)}", f"digits={min(digits, 13) if digits < 12 else 12 if digits < 20 else 20}",
+    # the shape of a long run of letters and digits says nothing but that, and would be a feature of its own
+    long = len(core) >= 16 and digits and letters and core.isalnum()
+    out = ["bias", f"shape={'long' if long else shape(core)}", f"digits={'some' if long else min(digits, 13) if digits < 12 else 12 if digits < 20 else 20}",
            f"mixed={digits > 0 and letters > 0}", f"dots={min(core.count('.'), 4)}", f"colons={min(core.count(':'), 4)}",
            f"dash={min(core.count('-'), 4)}", f"at={'@' in core}", f"alpha={letters == len(core) > 0}"]
     if low in _WORDS:
         out.append(f"word={low}")
+    if digits and letters:
+        out.append(f"mix-length={min(len(core) // 8, 4)}")
+        out.append(f"quoted={token[0] in _QUOTES}")
+    if (m := _ASSIGNED.match(low)) and m[1] in _WORDS:
+        out.append(f"assigns={m[1]}")
     if re.search(r"[\[(]at[\])]", low):
         out.append("at-sign")
     if re.search(r"[\[(]dot[\])]", low):
@@ -97,10 +108,13 @@ def features(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-_WORDS = frozenset("tel phone call fax mobile telefon card visa karte carte tarjeta ip host server address email mail write at dot on in is the of and to with version page no".split())
+_WORDS = frozenset("tel phone call fax mobile telefon card visa karte carte tarjeta ip host server address email mail write at dot on in is the of and to with version page no token secret password key api_key apikey = commit hash id".split())
+_QUOTES = "\"'"
+_QUOTED = re.compile(r"([\"'])([^\"']+)\1")
+_ASSIGNED = re.compile(r"([a-z_]+)[=:].")
 
 
-def make_table(rows: int = 500, seed: int = 7) -> list[list[tuple[str, str]]]:
+def make_table(rows: int = 700, seed: int = 7) -> list[list[tuple[str, str]]]:
     """The labelled table: each row a list of (token, label), from templates and a seeded generator."""
     r = random.Random(seed)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
@@ -108,6 +122,10 @@ def make_table(rows: int = 500, seed: int = 7) -> list[list[tuple[str, str]]]:
     words = lambda a, b: [(w().capitalize() if r.random() < 0.2 else r.choice([w(), w(), "the", "of", "and", "is"]), "O") for _ in range(r.randint(a, b))]
     tld = lambda: r.choice(["com", "org", "net", "de"])
     group = lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.randint(1, 4)))
+    mixed = lambda chars, n: "".join((r.choice("0123456789"), *(r.choice(chars) for _ in range(n - 1))))
+    hexes, letters = "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = lambda: mixed(r.choice([hexes, letters]), r.choice([20, 24, 32, 40, 64]))
+    name = lambda: r.choice(["token", "secret", "password", "key", "api_key", "apikey", "Token", "API_KEY"])
     yes = [
         lambda: [(f"{w()}.{w()}@{w()}.{tld()}", "email")],
         lambda: [(f"{w()}{d(2)}(at){w()}.{tld()}", "email")],
@@ -122,13 +140,24 @@ def make_table(rows: int = 500, seed: int = 7) -> list[list[tuple[str, str]]]:
         lambda: [(r.choice(["tel", "phone", "fax", "call"]), "O"), (f"({d(3)})", "phone"), (f"{d(3)}-{d(4)}", "phone")],
         lambda: [(f"{d(3)}-{d(3)}-{d(4)}", "phone")],
         lambda: [(f"+{d(2)}", "phone"), (d(3), "phone"), (d(7), "phone")],
+        lambda: [(name(), "cue"), ("=", "cue"), (f'"{value()}"', "secret")],
+        lambda: [(name(), "cue"), ("=", "cue"), (value(), "secret")],
+        lambda: [(f"{name()}:", "cue"), (value(), "secret")],
+        lambda: [(r.choice(["password:", "Password:"]), "cue"), (mixed(letters, r.randint(8, 16)), "secret")],
+        lambda: [(f"{name()}={value()}", "secret")],
     ]
     no = [
         lambda: [(d(r.randint(1, 6)), "O")], lambda: [(f"{d(1)}.{d(1)}.{d(2)}", "O")], lambda: [(f"{d(4)}-{d(2)}-{d(2)}", "O")],
         lambda: [(f"{d(2)}:{d(2)}", "O")], lambda: [(f"{d(2)}:{d(2)}:{d(2)}", "O")], lambda: [("".join(r.choice("0123456789abcdef") for _ in range(40)), "O")],
         lambda: [(f"{w()}{d(3)}", "O")], lambda: [(f"${d(3)}.{d(2)}", "O")], lambda: [("version", "O"), (f"{d(1)}.{d(1)}", "O")],
         lambda: [(d(r.randint(7, 22)), "O")], lambda: [(f"@{w()}", "O")], lambda: [(w(), "O"), ("at", "O"), (w(), "O")],
-        lambda: [("page", "O"), (d(3), "O")], lambda: [("token", "O"), ("=", "O"), (f'"{group()}{group()}{group()}"', "O")],
+        lambda: [("page", "O"), (d(3), "O")], lambda: [(name(), "O"), ("=", "O"), (d(r.randint(1, 4)), "O")],
+        lambda: [(r.choice(["commit", "hash", "id", w()]), "O"), (mixed(hexes, r.choice([32, 40, 64])), "O")],
+        lambda: [("id", "O"), ("=", "O"), (f'"{mixed(hexes, 40)}"', "O")],
+        lambda: [(f"https://{w()}.{tld()}/{r.choice([w() + '/', ''])}{mixed(hexes, r.choice([8, 32, 40]))}", "O")],
+        lambda: [(f"{w()}{r.choice('/-_.')}{mixed(letters, r.randint(8, 24))}", "O")],
+        lambda: [(f"{r.choice(['id', 'version', 'page'])}={w()}{d(2)}", "O")],
+        lambda: [(r.choice(["the", "a"]), "O"), (name(), "O"), (r.choice(["of", "is", "and"]), "O"), (f"{w()}{d(2)}", "O")],
         lambda: [(f"{w()}/{d(2)}/{w()}", "O")], lambda: [(f"{d(2)}%", "O")], lambda: [(f"{d(4)}", "O"), (d(4), "O")],
         lambda: [(f"{d(4)}-{d(2)}", "O"), (f"{d(2)}-{d(5)}", "O")],
     ]
@@ -138,11 +167,11 @@ def make_table(rows: int = 500, seed: int = 7) -> list[list[tuple[str, str]]]:
 class Crf:
     """Linear chain over LABELS: emission weights by feature, transition and start weights."""
 
-    def __init__(self, rows: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.1, l2: float = 0.02):
+    def __init__(self, rows: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.1, l2: float = 0.005):
         seen = sorted({f for row in rows for t, _ in row for f in features(t)})
         self.ids = {f: i for i, f in enumerate(seen)}
         k, n = len(LABELS), max(map(len, rows))
-        x = np.zeros((len(rows), n, len(seen)), dtype=np.float32)
+        x = np.zeros((len(rows), n, len(seen)))
         y, mask = np.zeros((len(rows), n), dtype=np.int64), np.zeros((len(rows), n))
         for i, row in enumerate(rows):
             for j, (t, label) in enumerate(row):
@@ -150,13 +179,15 @@ class Crf:
                 y[i, j], mask[i, j] = LABELS.index(label), 1
         params = [np.zeros((len(seen), k)), np.zeros((k, k)), np.zeros(k)]
         moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-        gold = np.eye(k)[y] * mask[..., None]
+        gold, real = np.eye(k)[y] * mask[..., None], mask > 0
+        x = x[real]  # a row for each token
         pairs = np.einsum("ija,ijb,ij->ab", gold[:, :-1], gold[:, 1:], mask[:, 1:])
         for step in range(1, rounds + 1):
-            e = x @ params[0]
+            e = np.zeros((len(rows), n, k))
+            e[real] = x @ params[0]
             node, edge = self._marginals(e, params[1], params[2], mask)
             diff = (gold - node) * mask[..., None]
-            grads = [np.einsum("ijf,ijk->fk", x, diff), pairs - edge, (gold[:, 0] - node[:, 0]).sum(0)]
+            grads = [x.T @ diff[real], pairs - edge, (gold[:, 0] - node[:, 0]).sum(0)]
             for p, g, (m, v) in zip(params, grads, moment, strict=True):  # Adam
                 g = g / len(rows) - l2 * p / 10
                 m *= 0.9
@@ -233,7 +264,8 @@ def trained() -> Crf:
 
 
 def crf_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, int]]]:
-    """Spans (start, index of kind, end) that the CRF finds in each text, outer punctuation left out."""
+    """Spans (start, index of kind, end) that the CRF finds in each text, outer punctuation left out; of a secret in
+    quotes what stands between them."""
     runs, where = [], []
     for i, text in enumerate(texts):
         if not _TRIGGER.search(text):
@@ -254,7 +286,7 @@ def crf_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, int]]]:
     for (i, at), path in zip(where, crf.decode(runs), strict=True):
         j = 0
         while j < len(path):
-            if path[j]:
+            if path[j] and path[j] != CUE:
                 k = j
                 while k + 1 < len(path) and path[k + 1] == path[j]:
                     k += 1
@@ -263,6 +295,8 @@ def crf_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, int]]]:
                     a += 1
                 while b > a and texts[i][b - 1] in ".,;:!?\"'":
                     b -= 1
+                if FOUND[path[j] - 1] == "secret" and (m := _QUOTED.search(texts[i], at[j][0], at[k][1])):
+                    a, b = m.span(2)
                 if a < b and _TRIGGER.search(texts[i], a, b):
                     out[i].append((a, int(path[j]) - 1, b))
                 j = k
@@ -288,12 +322,12 @@ def find_pii(texts: list[str | None], crf: Crf) -> list[tuple[list, list]]:
 
 
 def _said(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{FOUND[k]}:{a}:{b}" for a, k, b in spans)
 
 
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, spans by kind as counts of pattern spans, the digest of the pattern spans, and
-    all spans as text (kind:start:end, code points).  Null and empty texts have none; whole texts and whole tokens are
+    """One row for each row of docs: id, spans by kind as counts of pattern spans, the digest of the pattern spans, all
+    spans as text (kind:start:end, code points; secret is the kind that the CRF alone finds), and their number.  Null and empty texts have none; whole texts and whole tokens are
     read, however long; repeated rows repeat; a null id stays null; other columns are not looked at; no rows give no rows."""
 
     model = docs.sparkSession.sparkContext.broadcast(trained())
@@ -305,8 +339,8 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in counts),
                  pa.array([hashlib.sha256(_said(b).encode()).hexdigest() for b, _ in rows], pa.string()),
-                 pa.array([_said(e) for _, e in rows], pa.string())],
-                names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                 pa.array([_said(e) for _, e in rows], pa.string()), pa.array([len(e) for _, e in rows], pa.int64())],
+                names=[id_col, "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     two = docs.selectExpr(f"cast(`{id_col}` as bigint) as `{id_col}`", f"`{text_col}` as _text")
     return two.mapInArrow(run, SCHEMA.replace("doc_id", f"`{id_col}`", 1))

@@ -507,6 +507,16 @@ def test_viterbi_against_all_paths(crf):
         assert abs(score(tuple(crf.decode([run])[0])) - score(best)) < 1e-9
 
 
+def test_secrets_are_found_by_what_announces_them(crf):
+    h = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    found = lambda t: [(pii.FOUND[k], t[a:b]) for a, k, b in pii.find_pii([t], crf)[0][1]]
+    for t in (f'so token = "{h}" it is', f'so! TOKEN = "{h}"### it', f"my api_key: {h} here", f"a secret = {h}."):
+        assert found(t) == [("secret", h)], t
+    for t in (f"see commit {h} of it", "the token of 5 coins", f"https://example.org/a/{h}", "secret = 5", "no token here", ""):
+        assert found(t) == [], t
+    assert found(f'mail a.b@c.org, token = "{h}"') == [("email", "a.b@c.org"), ("secret", h)]
+
+
 def test_pii_table(spark, crf):
     text = "Mail a.b@c.org or call (555) 123-4567, ip 10.0.0.1, é card 4111 1111 1111 1111."
     df = docs(spark, [(1, text), (2, None), (3, ""), (4, "no data here"), (4, "no data here"), (5, "9" * 200_000), (None, "x" * 50_000 + " a@b.de")], clash=True)
