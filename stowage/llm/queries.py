@@ -9,8 +9,10 @@ from . import (
     line_dedup,
     mixing,
     near_dedup,
+    periodic_runs,
     pii,
     url_filter,
+    vector_codes,
 )
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_pii": pii.op10_pii,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
@@ -33,4 +37,6 @@ SQL = {
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
     "op9_near_dedup": near_dedup.OP9_SQL,
+    "op12_periodic_runs": periodic_runs.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
