@@ -6,6 +6,7 @@ from . import (
     embedding_dedup,
     html_extract,
     language_id,
+    license_scan,
     line_dedup,
     mixing,
     near_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_pii": pii.op10_pii,
+    "op11_license_scan": license_scan.op11_license_scan,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
