@@ -18,9 +18,11 @@ from . import markdown, schemas
 from .functions.scalars import top_directory
 from .operators import classify, disks, duplicates, filters, mounts, usage
 from .plans import diff, evaluate, policy, scenario, trend
-from .sinks import History, ReportStore, ScanCache
+from .sinks import History, ReportStore, ScanCache, file_stem
 from .sources import devices, documents, filetree
+from .sources.walk import Walk
 from .streaming.sessions import Sessions
+from .tables import shared_folder
 
 NOTES = ("Read-only: nothing is moved or removed.", "Classes are inferred, not measured.", "Cloud, network and virtual disks are no targets.")
 ASSUMPTIONS = ("A what-if reckoning; no file is touched.", "Savings are the sum of the estimates of the recommendations included.", "No estimate counts as nothing.")
@@ -52,15 +54,9 @@ def now_text() -> str:
     return datetime.now(UTC).isoformat(timespec="seconds").replace("+00:00", "Z")
 
 
-def scan_tables(spark: SparkSession, opts: ScanOptions, scan_id: str, as_of: datetime, probes: DataFrame | None = None, hints: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The tables of one scan, from the walk to the categories; files and duplicate groups stay lazy, what has a row a
-    root, disk or retained directory is worked out.  With a backend other than native, and no excludes, the sizes of roots
-    and directories come from the rollup of the whole tree; all else is the same."""
-    policy.light_planning(spark)
-    probes = devices.probe_disks(spark, scan_id) if probes is None else probes
-    # disks, roots, retained directories and suggestions are few rows that much is made from: each is worked out once
-    enriched = policy.landed(disks.enrich(probes, devices.platform_hints(spark) if hints is None else hints))
-    tree = filetree.read_tree(spark, opts.roots, opts.max_depth, opts.excludes).persist()
+def path_tables(spark: SparkSession, opts: ScanOptions, scan_id: str, as_of: datetime, enriched: DataFrame, tree: DataFrame) -> dict[str, DataFrame]:
+    """What a walk says about its roots: files (lazy), paths and path_directories (worked out), path_extensions and
+    path_largest_files, warnings."""
     named = spark.createDataFrame([(i, os.path.abspath(r)) for i, r in enumerate(opts.roots)], "pos int, root_path string")
     roots = policy.landed(mounts.match_mounts(named, enriched.select("pos", "mount_point")))
     files = filetree.files_of(tree, scan_id).drop("disk_mount").join(F.broadcast(roots.select("root_path", "disk_mount")), "root_path")  # the roots named
@@ -76,22 +72,35 @@ def scan_tables(spark: SparkSession, opts: ScanOptions, scan_id: str, as_of: dat
     zero = ("file_count", "total_size_bytes", "recent_files", "stale_files", "unknown_modified_files", "directory_count")
     paths = roots.withColumn("scan_id", F.lit(scan_id)).join(total.drop("disk_mount"), ["scan_id", "root_path"], "left").join(usage.directory_counts(dirs), ["scan_id", "root_path"], "left")
     paths = policy.landed(paths.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in zero}).withColumn("type_total_bytes", F.col("total_size_bytes")))
-    pos = paths.select("root_path", F.col("pos").alias("path_pos"))
-    directories = policy.landed(directories.join(pos, "root_path"))
+    warn = tree.where("kind = 'warning'").select(F.lit(scan_id).alias("scan_id"), "path", F.col("warning").alias("text"))
+    return {"files": files, "paths": paths, "path_directories": policy.landed(directories.join(paths.select("root_path", F.col("pos").alias("path_pos")), "root_path")),
+            "path_extensions": usage.extension_summary(files), "path_largest_files": usage.largest_files(files), "warnings": warn}
+
+
+def scan_tables(spark: SparkSession, opts: ScanOptions, scan_id: str, as_of: datetime, probes: DataFrame | None = None, hints: DataFrame | None = None, tree: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of one scan, from the walk (or a tree that was walked before) to the categories; files and duplicate
+    groups stay lazy, what has a row a root, disk or retained directory is worked out.  With a backend other than native,
+    and no excludes, the sizes of roots and directories come from the rollup of the whole tree; all else is the same."""
+    policy.light_planning(spark)
+    probes = devices.probe_disks(spark, scan_id) if probes is None else probes
+    # disks, roots, retained directories and suggestions are few rows that much is made from: each is worked out once
+    enriched = policy.landed(disks.enrich(probes, devices.platform_hints(spark) if hints is None else hints))
+    walked = filetree.read_tree(spark, opts.roots, opts.max_depth, opts.excludes).persist() if tree is None else tree
+    t = path_tables(spark, opts, scan_id, as_of, enriched, walked)
+    files = t["files"]
     # only files whose size is not theirs alone are read for their hash, each path once
     own = filetree.hashed(duplicates.candidates(files.dropDuplicates(["scan_id", "path"]), opts.dedupe_min_size)).persist() if opts.dedupe else None
     named = files.drop("content_hash").join(own.select("path", "content_hash"), "path") if opts.dedupe else files.limit(0)
     groups = duplicates.duplicate_groups(named, opts.dedupe_min_size)
     order = F.row_number().over(W.partitionBy("scan_id").orderBy(F.desc("total_wasted_bytes"), F.desc("file_count"), F.desc("size_bytes"), "hash"))
     groups = groups.withColumns({"pos": order - 1, "first_file": F.col("files")[0]}).persist()
-    cats = policy.landed(classify.all_categories(paths, directories, policy.landed(usage.top_extensions(files)), enriched))
+    cats = policy.landed(classify.all_categories(t["paths"], t["path_directories"], policy.landed(usage.top_extensions(files)), enriched))
     roled = policy.landed(classify.infer_roles(enriched, cats))
-    warn = tree.where("kind = 'warning'").select("path", "warning")
+    warn = t["warnings"]
     if own is not None:
-        warn = warn.unionByName(own.where("warning is not null").select("path", "warning"))
-    warn = warn.select(F.lit(scan_id).alias("scan_id"), F.col("warning").alias("text"), F.monotonically_increasing_id().alias("pos"))
-    return {"scans": spark.createDataFrame([(scan_id,)], "scan_id string"), "files": files, "paths": paths, "path_directories": directories, "path_extensions": usage.extension_summary(files),
-            "path_largest_files": usage.largest_files(files), "disks": roled, "categories": cats, "duplicate_groups": groups, "warnings": warn, "_held": [x for x in (tree, own, groups) if x is not None]}
+        warn = warn.unionByName(own.where("warning is not null").select(F.lit(scan_id).alias("scan_id"), "path", F.col("warning").alias("text")))
+    return t | {"scans": spark.createDataFrame([(scan_id,)], "scan_id string"), "disks": roled, "categories": cats, "duplicate_groups": groups,
+                "warnings": warn.drop("path").withColumn("pos", F.monotonically_increasing_id()), "_held": [x for x in (walked if tree is None else None, own, groups) if x is not None]}
 
 
 def auto_roots(spark: SparkSession, probes: DataFrame) -> list[str]:
@@ -103,8 +112,9 @@ def auto_roots(spark: SparkSession, probes: DataFrame) -> list[str]:
 def scan(spark: SparkSession, opts: ScanOptions, store: str | None = None, on_event=None, probes: DataFrame | None = None, hints: DataFrame | None = None, scan_id: str | None = None,
          cancelled=lambda: False) -> dict:
     """Runs a scan; returns the report document, which also goes to the store, the cache and the history.  Without roots
-    all mounts are scanned.  A scan that is cancelled returns what it has, with a warning, and is neither cached nor
-    part of the history."""
+    all mounts are scanned.  A scan that is cancelled returns the roots that its walk has committed rows of, with a
+    warning, and is neither cached nor part of the history.  One that fails leaves what it walked in the shared folder,
+    and a scan of the same id, roots and limits goes on from there."""
     opts.check()
     scan_id, began, events = scan_id or uuid.uuid4().hex, time.time(), []
 
@@ -129,16 +139,15 @@ def scan(spark: SparkSession, opts: ScanOptions, store: str | None = None, on_ev
         raise ValueError("no scan root exists")
     opts = ScanOptions(**{**asdict(opts), "roots": here})
     t: dict = {}
-    path_rows: list[dict] = []
-    files = bytes_ = 0
+    as_of, over = datetime.now(UTC), True
+    tour = Walk(spark, f"{shared_folder(spark)}/scan-{file_stem(scan_id)}", opts.roots, opts.max_depth, opts.excludes)
     try:
-        t |= scan_tables(spark, opts, scan_id, datetime.now(UTC), probes, hints)
         emit("walking_files")
-        for r in [r.asDict(recursive=True) for r in t["paths"].orderBy("pos").collect()]:
-            path_rows.append(r)
-            files, bytes_ = files + r["file_count"], bytes_ + r["total_size_bytes"]
-            emit("walking_files", r["root_path"], files, bytes_)
+        walked = lambda root, files, bytes_, errors: emit("walking_files", root, files, bytes_, errors)
+        tour.run(walked, walked if opts.emit_progress_events and on_event else None, opts.progress_interval_ms)
         emit("categorizing")
+        t |= scan_tables(spark, opts, scan_id, as_of, probes, hints, tour.tree())
+        path_rows = [r.asDict(recursive=True) for r in t["paths"].orderBy("pos").collect()]
         emit("dedupe")
         emit("analyzing")
         history = History(store) if store else None
@@ -146,13 +155,21 @@ def scan(spark: SparkSession, opts: ScanOptions, store: str | None = None, on_ev
             t["disk_snapshots"], t["path_snapshots"] = trend.history_tables(documents.read_history(spark, history.path))
         return _finished(spark, opts, store, scan_id, t, path_rows, missing, events, emit, began, cache, key, here, history)
     except Exception:
-        if not cancelled():
+        over = cancelled()
+        if not over:
             raise
-        at = path_rows[-1]["root_path"] if path_rows else here[0]
-        return _partial(opts, scan_id, path_rows, [*_missing(missing), f"scan canceled while walking {at}; report contains partial data"], events, began)
+        begun = tour.begun()
+        said = [f"scan canceled while walking {tour.at}; report contains partial data"] if tour.at in begun else []
+        if tour.at is None or len(begun) < len(here):
+            said.append("scan canceled by caller")
+        probes = devices.probe_disks(spark, scan_id) if probes is None else probes
+        kept = path_tables(spark, ScanOptions(**{**asdict(opts), "roots": [r for r in tour.roots if r in begun]}), scan_id, as_of, probes, tour.tree())
+        return _partial(opts, scan_id, kept, [*_missing(missing), *said], events, began)
     finally:
         for df in t.get("_held", []):
             df.unpersist()
+        if over:
+            tour.remove()
 
 
 def _missing(roots: list[str]) -> list[str]:
@@ -176,29 +193,39 @@ def _metrics(opts: ScanOptions, path_rows: list[dict], warnings: list[str], cont
             "scan_progress_summary": {"total_events": len(events), "phase_counts": [{"phase": p, "events": events.count(p)} for p in schemas.PHASES if p in events], "completed": completed}}
 
 
-def _partial(opts: ScanOptions, scan_id: str, path_rows: list[dict], warnings: list[str], events: list[str], began: float) -> dict:
-    nothing = {"largest_files": {"entries": []}, "largest_directories": [], "file_type_summary": {"top_extensions": [], "other_files": 0, "other_bytes": 0, "total_files": 0, "total_bytes": 0}}
-    out = _head(opts, scan_id) | {"disks": [], "paths": [_path(p, **nothing) for p in path_rows], "categories": [], "duplicates": [], "recommendations": [], "policy_decisions": [], "rule_traces": [], "warnings": warnings}
+def _rows(df: DataFrame, *order) -> list[dict]:
+    return [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
+
+
+def _paths(t: dict[str, DataFrame], path_rows: list[dict]) -> list[dict]:
+    """The roots of a report, with their largest files and directories and their extensions."""
+    text = lambda d: d.isoformat(timespec="seconds") + "Z" if d else None
+    ext = {r["root_path"]: r for r in _rows(t["path_extensions"], "root_path")}
+    top_dirs, top_files = _rows(t["path_directories"], "root_path", "pos"), _rows(t["path_largest_files"], "root_path", "pos")
+    none = {"top_extensions": [], "other_files": 0, "other_bytes": 0, "total_files": 0, "total_bytes": 0}
+    return [_path(p, largest_files={"entries": [{"path": f["path"], "size_bytes": f["size_bytes"], "modified": text(f["modified_ts"])} for f in top_files if f["root_path"] == p["root_path"]]},
+                  largest_directories=[{"path": x["path"], "size_bytes": x["size_bytes"]} for x in top_dirs if x["root_path"] == p["root_path"]],
+                  file_type_summary={k: v for k, v in ext.get(p["root_path"], none).items() if k not in ("scan_id", "root_path")}) for p in path_rows]
+
+
+def _partial(opts: ScanOptions, scan_id: str, t: dict[str, DataFrame], warnings: list[str], events: list[str], began: float) -> dict:
+    path_rows = _rows(t["paths"], "pos")
+    warnings = list(dict.fromkeys([*warnings, *(w["text"] for w in _rows(t["warnings"], "path"))]))
+    out = _head(opts, scan_id) | {"disks": [], "paths": _paths(t, path_rows), "categories": [], "duplicates": [], "recommendations": [], "policy_decisions": [], "rule_traces": [], "warnings": warnings}
     return out | _metrics(opts, path_rows, warnings, 0, events, began, False)
 
 
 def _finished(spark, opts: ScanOptions, store, scan_id: str, t: dict, path_rows: list[dict], missing, events, emit, began, cache, key, here, history) -> dict:
     bundle = policy.recommend({k: v for k, v in t.items() if k != "_held"})
     emit("recommending")
-    rows = lambda df, *order: [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
-    text = lambda d: d.isoformat(timespec="seconds") + "Z" if d else None
-    ext = {r["root_path"]: r for r in rows(t["path_extensions"], "root_path")}
-    top_dirs, top_files = rows(t["path_directories"], "root_path", "pos"), rows(t["path_largest_files"], "root_path", "pos")
+    rows, text = _rows, lambda d: d.isoformat(timespec="seconds") + "Z" if d else None
     warnings = list(dict.fromkeys([*_missing(missing), *(w["text"] for w in rows(t["warnings"], "pos")), *filters.Excludes(opts.excludes).warnings]))  # each once
     contradictions = sum(r["contradiction_count"] for r in bundle["contradictions"].collect())
     report = {
         **_head(opts, scan_id),
         "disks": [{**{k: v for k, v in d.items() if k not in ("scan_id", "pos", "role", "role_confidence", "role_evidence", "performance_rank", "used_bytes", *schemas.CATEGORIES)},
                    "role_hint": {"role": d["role"], "confidence": d["role_confidence"], "evidence": d["role_evidence"]}} for d in rows(t["disks"], "mount_point")],
-        "paths": [_path(p, largest_files={"entries": [{"path": f["path"], "size_bytes": f["size_bytes"], "modified": text(f["modified_ts"])} for f in top_files if f["root_path"] == p["root_path"]]},
-                        largest_directories=[{"path": x["path"], "size_bytes": x["size_bytes"]} for x in top_dirs if x["root_path"] == p["root_path"]],
-                        file_type_summary={k: v for k, v in ext.get(p["root_path"], {"top_extensions": [], "other_files": 0, "other_bytes": 0, "total_files": 0, "total_bytes": 0}).items() if k not in ("scan_id", "root_path")})
-                  for p in path_rows],
+        "paths": _paths(t, path_rows),
         "categories": [{**{k: c[k] for k in ("target", "disk_mount", "category", "confidence", "evidence")}, "rationale": "; ".join(c["evidence"])} for c in rows(t["categories"], "pos")],
         "duplicates": [{"size_bytes": g["size_bytes"], "hash": g["hash"], "files": [{**f, "modified": text(f["modified"])} for f in g["files"]], "total_wasted_bytes": g["total_wasted_bytes"],
                         "intent": {"label": g["intent"], "rationale": ""}} for g in rows(t["duplicate_groups"], "pos")],

@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scalars import extension, top_directory
 from ..operators.filters import Excludes
+from ..tables import importable
 
 SCHEMA = "root_path string, path string, kind string, size_bytes bigint, modified_ts timestamp, content_hash string, warning string"
 BLOCK = 64 * 1024
@@ -121,6 +122,7 @@ class FileTree(DataSource):
 
 
 def read_tree(spark: SparkSession, roots: list[str], max_depth: int | None = None, excludes=(), with_hash: bool = False) -> DataFrame:
+    importable(spark)
     spark.dataSource.register(FileTree)
     r = spark.read.format("filetree").option("roots", json.dumps(list(roots))).option("excludes", json.dumps(list(excludes))).option("hash", str(with_hash).lower())
     return (r if max_depth is None else r.option("max_depth", str(max_depth))).load()
@@ -147,6 +149,7 @@ def file_record(path: str, mount: str | None = None, modified: datetime | None =
 def hashed(files: DataFrame) -> DataFrame:
     """files: path, size_bytes.  path, content_hash and warning (null where the other is not) of each distinct path, read
     on the executors, about HASH_BYTES a task."""
+    importable(files.sparkSession)
     rows = files.select("path", "size_bytes").dropDuplicates(["path"])
     total = rows.agg(F.sum("size_bytes")).first()[0] or 0
     parts = max(-(-total // HASH_BYTES), min(files.sparkSession.sparkContext.defaultParallelism, rows.limit(1000).count()), 1)
