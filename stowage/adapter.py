@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from .functions.scalars import extension, top_directory
 from .operators import classify, disks, duplicates, usage
 from .operators.mounts import match_mounts
-from .plans.policy import landed, light_planning
+from .plans.policy import light_planning
+from .tables import landed, local_table
 
 AS_OF = "2026-02-11 00:00:00"
 SCAN = "adapter"
@@ -56,38 +57,49 @@ def paths(spark, sf_dir: str) -> DataFrame:
                     (_number(F.col("root_path"))).alias("pos"))
 
 
-def probes(spark, sf_dir: str) -> DataFrame:
+def probes(spark, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """of: the paths, where they are at hand."""
     k = F.col("pos")
-    p = paths(spark, sf_dir).select("scan_id", "pos", F.col("root_path").alias("mount_point"), F.col("total_size_bytes").alias("s"))
+    p = (paths(spark, sf_dir) if of is None else of).select("scan_id", "pos", F.col("root_path").alias("mount_point"), F.col("total_size_bytes").alias("s"))
     p = p.withColumn("used", F.col("s") * (1 + k % 3))
     total = F.when(k % 4 == 3, F.col("used") + F.floor(F.col("used") / 12)).otherwise(4 * F.col("s"))
     return p.select("scan_id", "pos", "mount_point", _pick(NAMES, k % 8).alias("name"), total.alias("total_space_bytes"), (total - F.col("used")).alias("free_space_bytes"),
                     _pick(KINDS, k % 8).alias("disk_kind"), F.when(k % 8 == 4, "fuse.drivefs").when(k == 10, "nfs4").otherwise("ext4").alias("file_system"), (k % 8 == 7).alias("is_removable"))
 
 
-def enriched(spark, sf_dir: str) -> DataFrame:
-    return disks.enrich(probes(spark, sf_dir), os_mount="/src3-projects")
+def enriched(spark, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    return disks.enrich(probes(spark, sf_dir, of), os_mount="/src3-projects")
 
 
-def tables(spark, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables of the one scan that a folder is, worked out once a session: a dozen small jobs that every rule needs."""
+def tables(spark, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The tables named (else all) of the one scan that a folder is, read from the folder anew at each call.  What has a row
+    a root or disk is worked out once, since every rule reads it."""
     light_planning(spark)
-    made = spark.__dict__.setdefault("_adapter_tables", {})
-    if sf_dir not in made:
-        made[sf_dir] = _tables(spark, sf_dir)
-    return dict(made[sf_dir])
-
-
-def _tables(spark, sf_dir: str) -> dict[str, DataFrame]:
+    made: dict[str, DataFrame] = {}
     f = files(spark, sf_dir)
-    # a row a root or disk each: worked out once, since every rule reads them
-    p, e = landed(paths(spark, sf_dir)), landed(enriched(spark, sf_dir))
-    pos = p.select("root_path", F.col("pos").alias("path_pos"))
-    dirs = landed(usage.top_directories(f).join(pos, "root_path"))
-    cats = landed(classify.all_categories(p, dirs, landed(usage.top_extensions(f)), e))
-    groups = duplicates.duplicate_groups(files(spark, sf_dir, content=True)).withColumn("pos", F.lit(0)).withColumn("first_file", F.col("files")[0])
-    return {"scans": spark.createDataFrame([(SCAN,)], "scan_id string"), "files": f, "paths": p, "path_directories": dirs, "path_extensions": usage.top_extensions(f),
-            "disks": landed(classify.infer_roles(e, cats)), "categories": cats, "duplicate_groups": groups.withColumn("total_wasted_bytes", F.col("total_wasted_bytes") * MIB)}
+
+    def get(name: str) -> DataFrame:
+        if name not in made:
+            made[name] = how[name]()
+        return made[name]
+
+    def groups() -> DataFrame:
+        g = duplicates.groups(files(spark, sf_dir, content=True)).withColumn("pos", F.lit(0))
+        return g.withColumn("total_wasted_bytes", F.col("total_wasted_bytes") * MIB)
+
+    how = {
+        "scans": lambda: local_table(spark, [(SCAN,)], "scan_id string"),
+        "files": lambda: f,
+        "paths": lambda: landed(paths(spark, sf_dir)),
+        "extensions": lambda: landed(usage.top_extensions(f)),
+        "path_extensions": lambda: get("extensions"),
+        "path_directories": lambda: landed(usage.top_directories(f).join(get("paths").select("root_path", F.col("pos").alias("path_pos")), "root_path")),
+        "enriched": lambda: landed(enriched(spark, sf_dir, get("paths"))),
+        "categories": lambda: landed(classify.all_categories(get("paths"), get("path_directories"), get("extensions"), get("enriched"))),
+        "disks": lambda: landed(classify.infer_roles(get("enriched"), get("categories"))),
+        "duplicate_groups": groups,
+    }
+    return {n: get(n) for n in names or ("scans", "files", "paths", "path_directories", "path_extensions", "disks", "categories", "duplicate_groups")}
 
 
 def url_paths(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from .functions import scalars as s
 from .operators import classify, duplicates, filters, mounts, usage
 from .plans import diff, evaluate, policy, rules, scenario, trend
 from .streaming import events as ev
+from .tables import Commits, scratch
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -118,12 +119,25 @@ def benchmark_throughput(spark, d) -> DataFrame:
     return usage.benchmark(e).select("backend", "iterations", r6("avg_elapsed_ms"), r6("avg_bytes"), r6("avg_throughput_mb_s"))
 
 
+@query(f"""WITH {a.FILES} SELECT root_path, count(*)::BIGINT AS file_count, sum(size_bytes)::BIGINT AS total_size_bytes FROM files WHERE NOT contains(root_path, '7') GROUP BY root_path""")
+def committed_usage(spark, d) -> DataFrame:
+    """Usage over a tree that was committed in part: what a job that was lost had written of some roots is not seen."""
+    lost = F.contains("root_path", F.lit("7"))
+    f = a.files(spark, d).select("scan_id", "root_path", "path", "size_bytes", "disk_mount", "modified_ts")
+    t = Commits(spark, scratch(spark, "committed"), f.schema)
+    even = F.pmod(F.xxhash64("root_path"), F.lit(2)) == 0
+    t.append(f.where(~lost & even), "first")
+    t.append(f.where(~lost & ~even), "second")
+    f.where(lost).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{t.folder}/third")  # as a lost job leaves it
+    return usage.totals(t.read(), as_of()).select("root_path", "file_count", "total_size_bytes")
+
+
 # --- duplicates
 
 
 @query(f"WITH {a.DUPS} SELECT size_bytes, hash, file_count, total_wasted_bytes FROM dups")
 def dup_groups(spark, d) -> DataFrame:
-    return duplicates.ranked(duplicates.duplicate_groups(a.files(spark, d, content=True)).select("size_bytes", "hash", "file_count", "total_wasted_bytes"))
+    return duplicates.ranked(duplicates.groups(a.files(spark, d, content=True)).select("size_bytes", "hash", "file_count", "total_wasted_bytes"))
 
 
 @query(f"WITH {a.FILES} SELECT path, size_bytes FROM (SELECT *, count(*) OVER (PARTITION BY size_bytes) AS n FROM files WHERE size_bytes >= 100) WHERE n > 1")
@@ -131,23 +145,35 @@ def dup_two_phase(spark, d) -> DataFrame:
     return duplicates.candidates(a.files(spark, d), 100).select("path", "size_bytes")
 
 
-@query(f"WITH {a.DUPS} SELECT hash, intent, mounts, array_to_string(paths, ',') AS paths FROM dups")
+@query(f"""WITH {a.DUPS} SELECT hash, intent, mounts, unnest(paths) AS path, unnest(range(1, len(paths) + 1)) AS number FROM dups""")
 def dup_intent(spark, d) -> DataFrame:
-    g = duplicates.duplicate_groups(a.files(spark, d, content=True))
-    return g.select("hash", "intent", "mounts", F.array_join("files.path", ",").alias("paths"))
+    """Each file of each group, numbered by path, beside what its group looks like."""
+    f = a.files(spark, d, content=True)
+    g = duplicates.groups(f)
+    children = duplicates.numbered(duplicates.group_files(f, g))
+    return children.join(g.select(*duplicates.KEY, "intent", "mounts"), list(duplicates.KEY)).select("hash", "intent", "mounts", "path", "number")
+
+
+@query(f"""WITH {a.DUPS} SELECT hash, file_count, greatest(file_count - 2, 0) AS more_files, array_to_string(paths[1:2], ',') AS first_paths FROM dups""")
+def dup_first_files(spark, d) -> DataFrame:
+    """What a report of two files a group holds."""
+    g = duplicates.duplicate_groups(a.files(spark, d, content=True), most=2)
+    return g.select("hash", "file_count", "more_files", F.array_join("files.path", ",").alias("first_paths"))
 
 
 @query(f"""WITH {a.DUPS} SELECT coalesce(sum(total_wasted_bytes), 0)::BIGINT AS wasted_bytes, count(*)::BIGINT AS groups,
 coalesce(sum(total_wasted_bytes) FILTER (WHERE intent = 'likely_redundant' AND total_wasted_bytes >= 1000), 0)::BIGINT AS redundant_bytes FROM dups""")
 def dup_waste_total(spark, d) -> DataFrame:
-    g = duplicates.duplicate_groups(a.files(spark, d, content=True))
+    g = duplicates.groups(a.files(spark, d, content=True))
     total = duplicates.total_waste(g).join(duplicates.redundant_waste(g, 1000, 1).select("scan_id", F.col("wasted_bytes").alias("redundant_bytes")), "scan_id", "left")
     return total.select("wasted_bytes", "groups", F.coalesce("redundant_bytes", F.lit(0)).alias("redundant_bytes"))
 
 
 @query(f"WITH {a.DUPS} SELECT hash, file_count FROM dups WHERE contains(intent, 'photos') OR contains(hash, 'photos') OR len(list_filter(paths, lambda p: contains(lower(p), 'photos'))) > 0")
 def ui_search_dups(spark, d) -> DataFrame:
-    return filters.search_duplicates(duplicates.duplicate_groups(a.files(spark, d, content=True)), " Photos ").select("hash", "file_count")
+    f = a.files(spark, d, content=True)
+    g = duplicates.groups(f)
+    return filters.search_duplicates(g, " Photos ", duplicates.group_files(f, g)).select("hash", "file_count")
 
 
 # --- mounts and roots
@@ -208,12 +234,12 @@ def category_by_disk(spark, d) -> DataFrame:
 
 @query(f"WITH {a.SCORES} SELECT mount_point AS disk_mount, round(games, 6) AS games, round(work, 6) AS work, round(media, 6) AS media, round(archive, 6) AS archive, round(backup, 6) AS backup FROM scores")
 def category_scores_pivot(spark, d) -> DataFrame:
-    return classify.score_pivot(a.tables(spark, d)["categories"]).select("disk_mount", *(r6(c) for c in classify.CATEGORIES))
+    return classify.score_pivot(a.tables(spark, d, "categories")["categories"]).select("disk_mount", *(r6(c) for c in classify.CATEGORIES))
 
 
 @query(f"WITH {a.ROLES} SELECT mount_point, role, role_confidence FROM roles")
 def disk_roles(spark, d) -> DataFrame:
-    return a.tables(spark, d)["disks"].select("mount_point", "role", "role_confidence")
+    return a.tables(spark, d, "disks")["disks"].select("mount_point", "role", "role_confidence")
 
 
 # --- rules
@@ -233,7 +259,7 @@ c AS (SELECT *, round(work + games - media - archive + top - performance_rank, 6
       AND work + games > media + archive + 0.25 ORDER BY score DESC, pos LIMIT 1)
 SELECT 'active-workload-placement' AS id, round(least(0.65 + 0.1 * score, 0.92), 6)::DOUBLE AS confidence, target AS target_mount, NULL::BIGINT AS space_saving_bytes, 'low' AS risk_level FROM c""")
 def active_placement(spark, d) -> DataFrame:
-    return _rule(rules.active_workload_placement, a.tables(spark, d))
+    return _rule(rules.active_workload_placement, a.tables(spark, d, "disks", "categories"))
 
 
 @query(f"""WITH {a.SCORES}, c AS (SELECT sd.*, work + games AS active, media + archive + backup AS cold FROM sd JOIN paths ON root_path = mount_point
@@ -242,13 +268,13 @@ SELECT 'consolidation-opportunity' AS id, 0.74::DOUBLE AS confidence, t.mount_po
 WHERE s.used_bytes >= 53687091200 AND NOT (s.active > s.cold + 0.25 AND t.cold > t.active + 0.25 AND t.performance_rank <= s.performance_rank) AND t.free_space_bytes > floor(s.used_bytes * 1.25)
 ORDER BY s.used_bytes DESC, s.pos, t.pos LIMIT 1""")
 def consolidation_pair(spark, d) -> DataFrame:
-    return _rule(rules.consolidation_opportunity, a.tables(spark, d))
+    return _rule(rules.consolidation_opportunity, a.tables(spark, d, "disks", "categories", "paths"))
 
 
 @query(f"""WITH {a.SCORES} SELECT 'risky-disk-' || regexp_replace(mount_point, '[^A-Za-z0-9]', '-', 'g') AS id, 0.82::DOUBLE AS confidence, {_NONE}, 'high' AS risk_level FROM sd
 WHERE locality_class IN ('local_physical', 'unknown') AND total_space_bytes > 0 AND {_FREE} <= 0.12 AND round(work + games + media, 6) >= 0.8 AND backup < 0.6""")
 def risky_disks(spark, d) -> DataFrame:
-    return _rule(rules.risky_disk, a.tables(spark, d))
+    return _rule(rules.risky_disk, a.tables(spark, d, "disks", "categories"))
 
 
 @query(f"""WITH {a.SCORES} SELECT 'backup-gap' AS id, 0.8::DOUBLE AS confidence, {_NONE}, 'high' AS risk_level FROM (
@@ -256,7 +282,7 @@ SELECT bool_or(round(s.work, 6) >= 0.5) AS w, bool_or(round(s.backup, 6) >= 0.5)
 WHERE (eligible_for_local_target OR is_os_drive) AND pos % 6 <> 2 AND pos % 8 <> 2) WHERE w AND NOT b""")
 def backup_gap(spark, d) -> DataFrame:
     """Of a scan without the disks that are named for backups."""
-    t = a.tables(spark, d)
+    t = a.tables(spark, d, "disks", "categories")
     kept = t["disks"].where("pos % 6 <> 2 AND pos % 8 <> 2")
     return _rule(rules.backup_gap, t | {"disks": kept, "categories": t["categories"].join(kept.select(F.col("mount_point").alias("disk_mount")), "disk_mount", "left_semi")})
 
@@ -264,18 +290,18 @@ def backup_gap(spark, d) -> DataFrame:
 @query(f"""WITH {a.DUPS} SELECT 'duplicate-cleanup-candidate' AS id, 0.7::DOUBLE AS confidence, NULL::VARCHAR AS target_mount, w::BIGINT AS space_saving_bytes, 'medium' AS risk_level FROM (
 SELECT sum(total_wasted_bytes * 1048576) AS w FROM dups WHERE intent = 'likely_redundant' AND total_wasted_bytes * 1048576 >= 67108864) WHERE w >= 268435456""")
 def duplicate_cleanup(spark, d) -> DataFrame:
-    return _rule(rules.duplicate_cleanup, a.tables(spark, d))
+    return _rule(rules.duplicate_cleanup, a.tables(spark, d, "duplicate_groups"))
 
 
 @query(f"""WITH {a.SCORES} SELECT 'os-headroom' AS id, CASE WHEN round(media + archive, 6) > 0.6 THEN 0.86 ELSE 0.72 END::DOUBLE AS confidence, {_NONE}, 'high' AS risk_level FROM sd
 WHERE is_os_drive AND total_space_bytes > 0 AND {_FREE} < 0.15""")
 def os_headroom(spark, d) -> DataFrame:
-    return _rule(rules.os_headroom, a.tables(spark, d))
+    return _rule(rules.os_headroom, a.tables(spark, d, "disks", "categories"))
 
 
 @query(f"""WITH {a.ENRICHED} SELECT 'cloud-backed-target-exclusion' AS id, 0.95::DOUBLE AS confidence, {_NONE}, 'low' AS risk_level FROM enriched WHERE locality_class = 'cloud_backed' HAVING count(*) > 0""")
 def cloud_notice(spark, d) -> DataFrame:
-    return _rule(rules.cloud_exclusion_notice, a.tables(spark, d))
+    return _rule(rules.cloud_exclusion_notice, a.tables(spark, d, "disks"))
 
 
 @query(f"""WITH {a.FILES}{a.EXTS} SELECT kind, sum(size_bytes)::BIGINT AS bytes, count(*)::BIGINT AS directories FROM (
@@ -314,7 +340,7 @@ SELECT pos, id, confidence, target_mount, true AS policy_safe, 'safe_target_poli
 CASE WHEN target_mount IS NOT NULL THEN 'disk,directory' WHEN rule_pos = 4 THEN 'duplicate_group' WHEN rule_pos = 6 THEN array_to_string(list_transform(range(least(n, 2)), lambda x: 'disk'), ',') ELSE 'other' END AS evidence
 FROM j, out_of WHERE NOT refused""")
 def recommendation_bundle(spark, d) -> DataFrame:
-    out = policy.recommend(a.tables(spark, d))["recommendations"]
+    out = policy.recommend(a.tables(spark, d), small=True)["recommendations"]
     return out.select("pos", "id", r6("confidence"), "target_mount", "policy_safe", F.array_join("policy_rules_applied", ",").alias("applied"), F.array_join("evidence.kind", ",").alias("evidence"))
 
 
@@ -324,7 +350,7 @@ UNION ALL SELECT 1000, 'role_aware_target_policy', id, NULL FROM j WHERE refused
 SELECT (row_number() OVER (ORDER BY a) - 1)::INT AS pos, rule_id, CASE WHEN a = 1000 THEN 'rejected' WHEN id IS NULL THEN 'skipped' ELSE 'emitted' END AS status, CASE WHEN a <> 2 THEN id END AS recommendation_id,
 round(confidence, 6) AS confidence FROM t""")
 def rule_traces(spark, d) -> DataFrame:
-    return policy.recommend(a.tables(spark, d))["rule_traces"].select("pos", "rule_id", "status", "recommendation_id", r6("confidence"))
+    return policy.recommend(a.tables(spark, d), small=True)["rule_traces"].select("pos", "rule_id", "status", "recommendation_id", r6("confidence"))
 
 
 @query(f"""{_BUNDLE} SELECT pos, CASE rule_pos WHEN 0 THEN 'Check that the target has room.' WHEN 3 THEN 'Make sure that a second copy exists.' WHEN 4 THEN 'Pick the copy that counts.' ELSE 'Look at the evidence.' END AS first_step, 2 AS steps,
@@ -332,7 +358,7 @@ CASE WHEN rule_pos = 2 THEN (SELECT any_value(mount_point || ' has ' || printf('
   WHERE 'risky-disk-' || regexp_replace(p.mount_point, '[^A-Za-z0-9]', '-', 'g') = j.id) END AS risky_rationale,
 CASE WHEN target_mount IS NOT NULL THEN (SELECT any_value(name) FROM (WITH {a.PROBES} SELECT * FROM probes) p WHERE p.mount_point = j.target_mount) END AS disk_named FROM j WHERE NOT refused""")
 def evidence_and_steps(spark, d) -> DataFrame:
-    out = policy.recommend(a.tables(spark, d))["recommendations"]
+    out = policy.recommend(a.tables(spark, d), small=True)["recommendations"]
     return out.select("pos", F.col("next_steps")[0].alias("first_step"), F.size("next_steps").alias("steps"), F.when(F.col("id").startswith("risky"), F.col("rationale")).alias("risky_rationale"),
                       F.when(F.col("target_mount").isNotNull(), F.substring_index(F.filter("evidence", lambda e: e["kind"] == "disk")[0]["detail"], " | ", 1)).alias("disk_named"))
 
@@ -350,7 +376,7 @@ jj AS (SELECT *, safe AND NOT (id = 'active-workload-placement' AND target_mount
 def _adapter_recs(spark, d) -> tuple[DataFrame, DataFrame]:
     recs = a.recommendations(spark, d).drop("policy_safe")
     months = recs.select("scan_id").distinct()
-    return recs, months.crossJoin(a.tables(spark, d)["disks"].drop("scan_id"))  # the disks of each month's scan: a few dozen rows each
+    return recs, months.crossJoin(a.tables(spark, d, "disks")["disks"].drop("scan_id"))  # the disks of each month's scan: a few dozen rows each
 
 
 @query(f"""WITH {_JUDGED} SELECT scan_id, pos, 'safe_target_policy' AS policy_id, id AS recommendation_id, CASE WHEN safe THEN 'allowed' ELSE 'blocked' END AS action FROM jj

@@ -46,6 +46,18 @@ def ancestors(path: Column) -> Column:
     return F.transform(up, lambda p: F.when(p == "", "/").otherwise(p))
 
 
+def parent_directory(path: Column) -> Column:
+    """The directory that the path stands in; / above the first level."""
+    p = F.regexp_replace(F.rtrim(F.translate(path, "\\", "/"), F.lit("/")), "/[^/]*$", "")
+    return F.when(p == "", "/").otherwise(p)
+
+
+def path_depth(path: Column) -> Column:
+    """Separators above the last component: 0 for / and a bare drive."""
+    p = F.rtrim(F.translate(path, "\\", "/"), F.lit("/"))
+    return (F.length(p) - F.length(F.translate(p, "/", ""))).cast("int")
+
+
 def path_suffix(path: Column, n: int = 2) -> Column:
     """The last n components, lower-cased, last first."""
     parts = F.filter(F.split(F.lower(F.translate(path, "\\", "/")), "/"), lambda p: p != "")

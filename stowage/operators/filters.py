@@ -107,10 +107,13 @@ def search_usage(paths: DataFrame, query: str) -> DataFrame:
     return paths.where(contains_text(F.col("root_path"), query))
 
 
-def search_duplicates(groups: DataFrame, query: str) -> DataFrame:
-    """By intent label, hash or any file path."""
-    files = F.exists("files", lambda f: contains_text(f["path"], query))
-    return groups.where(contains_text(F.col("intent"), query) | contains_text(F.col("hash"), query) | files)
+def search_duplicates(groups: DataFrame, query: str, children: DataFrame | None = None) -> DataFrame:
+    """By intent label, hash or any file path: of the files beside the group, or of all in the child table."""
+    named = contains_text(F.col("intent"), query) | contains_text(F.col("hash"), query)
+    if children is None:
+        return groups.where(named | F.exists("files", lambda f: contains_text(f["path"], query)))
+    hit = children.where(contains_text(F.col("path"), query)).select("scan_id", "size_bytes", "hash").distinct().withColumn("_hit", F.lit(True))
+    return groups.join(hit, ["scan_id", "size_bytes", "hash"], "left").where(named | F.col("_hit")).drop("_hit")
 
 
 def filter_recommendations(recs: DataFrame, query: str = "", policy: str = "all", kind: str = "all") -> DataFrame:

@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..functions.scalars import parent_directory, path_depth
+from ..tables import Commits, scratch
 
 ROOT = ("scan_id", "root_path")
 TOP_FILES, TOP_DIRECTORIES, TOP_EXTENSIONS = 20, 10, 12
@@ -80,12 +84,24 @@ def largest_files(files: DataFrame, k: int = TOP_FILES) -> DataFrame:
 
 
 def tree_rollup(files: DataFrame) -> DataFrame:
-    """Bytes of every directory of the tree, by exploding each file's ancestors: the second plan for the same totals."""
-    from ..functions.scalars import ancestors
-
-    above = F.slice(ancestors(F.col("path")), 1, F.size(ancestors(F.col("path"))) - 1)
-    return (files.select(*ROOT, "size_bytes", F.explode(above).alias("path")).where(F.startswith("path", "root_path"))
-            .groupBy(*ROOT, "path").agg(F.sum("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("files")))
+    """Bytes and files of every directory of the tree, from the deepest level up: the second plan for the same totals.
+    Files are summed by their own directory; then each level hands its sums to the directories above it, so a directory is
+    shuffled once whatever its depth.  Levels are commits of a table; there are as many jobs as levels."""
+    spark = files.sparkSession
+    own = files.select(*ROOT, parent_directory(F.col("path")).alias("path"), "size_bytes").where(F.startswith("path", "root_path"))
+    own = own.groupBy(*ROOT, "path").agg(F.sum("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("files"))
+    folder, cols = scratch(spark, "rollup"), (*ROOT, "path", "size_bytes", "files")
+    own.withColumn("depth", path_depth(F.col("path"))).write.partitionBy("depth").parquet(f"{folder}/own")
+    own = spark.read.schema(StructType([*own.schema.fields, StructField("depth", IntegerType())])).parquet(f"{folder}/own")
+    deepest, top_ = own.agg(F.max("depth"), F.min(path_depth(F.col("root_path")))).first()
+    levels = Commits(spark, f"{folder}/levels", own.drop("depth").schema)
+    for depth in range(-1 if deepest is None else deepest, (0 if top_ is None else top_) - 1, -1):
+        rows = own.where(F.col("depth") == depth).select(*cols)
+        if levels.names():
+            below = levels.read([f"{depth + 1:05}"]).withColumn("path", parent_directory(F.col("path"))).where(F.startswith("path", "root_path"))
+            rows = rows.unionByName(below).groupBy(*ROOT, "path").agg(F.sum("size_bytes").alias("size_bytes"), F.sum("files").alias("files"))
+        levels.append(rows, f"{depth:05}")
+    return levels.read()
 
 
 def parity(native: DataFrame, other: DataFrame, tolerance: float = 0.05) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import EVIDENCE, _flat
+from ..tables import landed
 
 SAFE, ROLE, AGAIN = "safe_target_policy", "role_aware_target_policy", "contradiction_detector"
 COLD_ROLES = ("media_library", "archive", "backup_target")
@@ -74,7 +75,7 @@ def enrich(recs: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     g = t["duplicate_groups"].where(F.col("intent") == "likely_redundant")
     group = g.groupBy(*s).agg(F.max_by(_item(
         "duplicate_group", "Largest redundant group", F.concat(F.col("file_count").cast("string"), F.lit(" files, "), F.col("total_wasted_bytes").cast("string"), F.lit(" bytes wasted")),
-        F.col("first_file.path"), F.col("first_file.disk_mount"), F.col("hash")), F.struct("total_wasted_bytes", "pos")).alias("_group"))
+        F.col("first_file.path"), F.col("first_file.disk_mount"), F.col("hash")), F.struct("total_wasted_bytes", "pos", -F.col("file_count"), -F.col("size_bytes"), "hash")).alias("_group"))
     where = F.struct("size_bytes", "path_pos", "pos")
     directory = dirs.groupBy(*s).agg(F.max_by(_item("directory", "Largest directory", F.concat(F.col("size_bytes").cast("string"), F.lit(" bytes")), F.col("path")), where).alias("_dir"))
     out_of = disks.where(~F.col("eligible_for_local_target")).withColumn("_n", F.row_number().over(W.partitionBy(*s).orderBy("pos"))).where("_n <= 2")
@@ -118,29 +119,27 @@ def light_planning(spark) -> None:
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
 
-def landed(df: DataFrame) -> DataFrame:
-    """A small table (a row a disk, root, retained directory or suggestion of one scan) as a local one: what is built on it
-    is analysed and planned without its long history."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
-def settled(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def settled(t: dict[str, DataFrame], small: bool = False) -> dict[str, DataFrame]:
     """t with the shared tables kept once they are made: else each rule would work them out again."""
     from .rules import scores
 
     light_planning(t["disks"].sparkSession)
+    if small:
+        return t | {"scores": landed(scores(t))}
     t = t | {k: t[k].persist() for k in SHARED if k in t}
     return t | {"scores": scores(t).persist()}
 
 
-def recommend(t: dict[str, DataFrame], rules=None) -> dict[str, DataFrame]:
+def recommend(t: dict[str, DataFrame], rules=None, small: bool = False) -> dict[str, DataFrame]:
     """The bundle: recommendations, rule_traces, policy_decisions, contradictions.  History is part of t, never read from
-    the machine."""
+    the machine.  small: t is of one scan and its tables (but for duplicate groups) are local ones, so scores and
+    candidates, a row a disk or rule, are made local too and nothing is cached."""
     from . import rules as r
 
     rules = rules or r.RULES
-    t = settled(t)
-    cand = r.candidates(t, rules).persist()
+    t = settled(t, small)
+    cand = r.candidates(t, rules)
+    cand = landed(cand) if small else cand.persist()
     out = enforce(cand, t["disks"])
     ran = r.traces(t, cand, rules).select("scan_id", F.col("rule_pos").cast("bigint").alias("a"), F.coalesce("pos", F.lit(0)).cast("bigint").alias("b"), "rule_id", "status", "detail", "recommendation_id", "confidence")
     refused = out["rejection_traces"].select("scan_id", F.lit(1_000).cast("bigint").alias("a"), F.col("pos").cast("bigint").alias("b"), "rule_id", "status", "detail", "recommendation_id", F.lit(None).cast("double").alias("confidence"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clamped_confidence, dashed_id, human_bytes, human_days
 from ..operators.classify import score_pivot
 from ..operators.duplicates import redundant_waste
+from ..tables import local_table
 from . import trend
 
 GIB = 1 << 30
@@ -83,15 +84,44 @@ def active_workload_placement(t):
                 confidence=clamped_confidence(F.col("_score")), target=F.col("_target"), risk="low", performance="Faster access to active data.")
 
 
+def consolidation_pair(d: DataFrame, least: int = 50 * GIB) -> DataFrame:
+    """d: scan_id, mount_point, pos, used_bytes, free_space_bytes, performance_rank, _active, _cold.  For each scan the
+    first pair (s_ and t_ columns) of a source by falling used bytes and pos, and a target by pos, where the target has
+    room for 1.25 times the source and the move does not put active data on a cold disk that is no faster.  A mount that is
+    listed twice counts as its last row.
+
+    No disks are paired to find it.  Which targets a source may have depends on its class: all, or, for an active source,
+    those that are not cold and the cold ones of a higher rank.  So the most room that a source can find is the most free
+    space of another disk (of all, or of those not cold), and a running maximum over cold disks by falling rank; the first
+    source that it is enough for meets the disks of its scan once."""
+    w = W.partitionBy("scan_id")
+    d = d.withColumn("_n", F.row_number().over(W.partitionBy("scan_id", "mount_point").orderBy(F.desc("pos")))).where("_n = 1").drop("_n")
+    d = d.withColumns({"_hot": F.col("_active") > F.col("_cold") + 0.25, "_still": F.col("_cold") > F.col("_active") + 0.25})
+    room = F.struct("free_space_bytes", "mount_point")
+    first = lambda c: F.max(F.when(c, room))
+    tops = d.groupBy("scan_id").agg(first(F.lit(True)).alias("_any"), first(~F.col("_still")).alias("_warm"))
+    d = d.join(tops, "scan_id")  # one row a scan
+    most = lambda top, c: F.when(F.col(f"{top}.mount_point") != F.col("mount_point"), F.col(f"{top}.free_space_bytes")).otherwise(
+        F.max(F.when(c & (F.col("mount_point") != F.col(f"{top}.mount_point")), F.col("free_space_bytes"))).over(w))
+    by_rank = d.where("_still").groupBy("scan_id", "performance_rank").agg(F.max("free_space_bytes").alias("_free"))
+    ranks = d.select("scan_id", "performance_rank").distinct().join(by_rank, ["scan_id", "performance_rank"], "left")
+    faster = F.max("_free").over(w.orderBy(F.desc("performance_rank")).rowsBetween(W.unboundedPreceding, -1))
+    d = d.join(ranks.withColumn("_faster", faster).drop("_free"), ["scan_id", "performance_rank"], "left")
+    d = d.withColumns({"_most_any": most("_any", F.lit(True)), "_most_warm": most("_warm", ~F.col("_still"))})
+    need = F.floor(F.col("used_bytes") * 1.25)
+    found = F.when(F.col("_hot"), F.greatest("_most_warm", "_faster")).otherwise(F.col("_most_any"))  # greatest leaves nulls out
+    cols = ["mount_point", "pos", "used_bytes", "free_space_bytes", "performance_rank", "_hot", "_still"]
+    s = _first(d.where((F.col("used_bytes") >= least) & (found > need)), F.desc("used_bytes"), "pos").select("scan_id", *(F.col(c).alias(f"s_{c}") for c in cols))
+    p = d.select("scan_id", *(F.col(c).alias(f"t_{c}") for c in cols)).join(s, "scan_id")  # one row a scan
+    inverted = F.col("s__hot") & F.col("t__still") & (F.col("t_performance_rank") <= F.col("s_performance_rank"))
+    fits = (F.col("s_mount_point") != F.col("t_mount_point")) & ~inverted & (F.col("t_free_space_bytes") > F.floor(F.col("s_used_bytes") * 1.25))
+    return _first(p.where(fits), "t_pos")
+
+
 def consolidation_opportunity(t):
     d = coverage(_with_scores(eligible(t["disks"]), t), t["paths"]).where("covered").withColumns({
         "_active": F.col("work") + F.col("games"), "_cold": F.col("media") + F.col("archive") + F.col("backup")})
-    cols = ["mount_point", "pos", "used_bytes", "free_space_bytes", "_active", "_cold", "performance_rank"]
-    s = d.where(F.col("used_bytes") >= 50 * GIB).select("scan_id", *(F.col(c).alias(f"s_{c}") for c in cols))
-    p = s.join(d.select("scan_id", *(F.col(c).alias(f"t_{c}") for c in cols)), "scan_id").where(F.col("s_mount_point") != F.col("t_mount_point"))
-    inverted = ((F.col("s__active") > F.col("s__cold") + 0.25) & (F.col("t__cold") > F.col("t__active") + 0.25) & (F.col("t_performance_rank") <= F.col("s_performance_rank")))
-    p = p.where(~inverted & (F.col("t_free_space_bytes") > F.floor(F.col("s_used_bytes") * 1.25)))
-    return _rec(_first(p, F.desc("s_used_bytes"), "s_pos", "t_pos"), id=F.lit("consolidation-opportunity"), title="One disk could be emptied into another",
+    return _rec(consolidation_pair(d), id=F.lit("consolidation-opportunity"), title="One disk could be emptied into another",
                 rationale=F.concat("s_mount_point", F.lit(" uses "), human_bytes(F.col("s_used_bytes")), F.lit(", which fits on "), "t_mount_point", F.lit(".")),
                 confidence=F.lit(0.74), target=F.col("t_mount_point"), saving=F.col("s_used_bytes"), risk="medium", risk_notes="Check a backup before moving data.")
 
@@ -163,7 +193,7 @@ def system_caches(t):
     spark = t["path_directories"].sparkSession
     targets = t.get("cache_targets")
     if targets is None:  # no list of caches for this platform
-        targets = spark.createDataFrame([], "id string, path string")
+        targets = local_table(spark, [], "id string, path string")
     d = cache_sizes(t["path_directories"], targets).where(F.col("bytes") > 500_000_000)
     return _rec(d, id=F.concat(F.lit("cleanup-"), "id"), title="A system cache can be emptied", rationale=F.concat(F.lit("The cache holds "), human_bytes(F.col("bytes")), F.lit(".")),
                 confidence=F.lit(0.7), saving=F.col("bytes"), risk="medium")
@@ -215,7 +245,7 @@ def traces(t: dict[str, DataFrame], recs: DataFrame, rules=RULES) -> DataFrame:
     """scan_id, rule_pos, pos, rule_id, status, detail, recommendation_id, confidence: a rule without a recommendation
     says skipped."""
     spark = recs.sparkSession
-    every = t["scans"].select("scan_id").crossJoin(F.broadcast(spark.createDataFrame([(i, r, k) for i, (r, _, k) in enumerate(rules)], "rule_pos int, rule_id string, kind string")))
+    every = t["scans"].select("scan_id").crossJoin(F.broadcast(local_table(spark, [(i, r, k) for i, (r, _, k) in enumerate(rules)], "rule_pos int, rule_id string, kind string")))
     each = every.where("kind != 'many'").join(recs.select("scan_id", "rule_pos", "pos", "id", "confidence"), ["scan_id", "rule_pos"], "left")
     found = F.col("id").isNotNull()
     each = each.select("scan_id", "rule_pos", "pos", "rule_id", F.when(found, "emitted").otherwise("skipped").alias("status"),

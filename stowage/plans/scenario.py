@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import local_table
+
 SCENARIOS = (("conservative", ("low",)), ("balanced", ("low", "medium")), ("aggressive", ("low", "medium", "high")))
 
 
@@ -17,8 +19,8 @@ def plan(scans: DataFrame, recs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Three rows a scan, also where a scenario has no recommendation.  recs: scan_id, pos, id, policy_safe, risk_level,
     space_saving_bytes."""
     spark = recs.sparkSession
-    risks = spark.createDataFrame([(i, s, r) for i, (s, rs) in enumerate(SCENARIOS) for r in rs], "scenario_pos int, scenario_id string, risk_level string")
-    base = scans.select("scan_id").distinct().crossJoin(F.broadcast(spark.createDataFrame([(i, s) for i, (s, _) in enumerate(SCENARIOS)], "scenario_pos int, scenario_id string")))
+    risks = local_table(spark, [(i, s, r) for i, (s, rs) in enumerate(SCENARIOS) for r in rs], "scenario_pos int, scenario_id string, risk_level string")
+    base = scans.select("scan_id").distinct().crossJoin(F.broadcast(local_table(spark, [(i, s) for i, (s, _) in enumerate(SCENARIOS)], "scenario_pos int, scenario_id string")))
     held = recs.where("policy_safe").join(F.broadcast(risks), "risk_level").groupBy("scan_id", "scenario_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("recommendation_ids"), F.count(F.lit(1)).alias("recommendation_count"),
         F.coalesce(F.sum("space_saving_bytes"), F.lit(0)).alias("projected_space_saving_bytes"), *(F.count_if(F.col("risk_level") == r).alias(f"risk_{r}") for r in ("low", "medium", "high")))

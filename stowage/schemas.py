@@ -25,7 +25,7 @@ PATH = """struct<root_path:string, disk_mount:string, total_size_bytes:bigint, f
  activity:struct<recent_files:bigint, stale_files:bigint, unknown_modified_files:bigint>>"""
 CATEGORY = "struct<target:string, disk_mount:string, category:string, confidence:double, rationale:string, evidence:array<string>>"
 DUPLICATE = """struct<size_bytes:bigint, hash:string, files:array<struct<path:string, disk_mount:string, modified:string>>,
- total_wasted_bytes:bigint, intent:struct<label:string, rationale:string>>"""
+ more_files:bigint, total_wasted_bytes:bigint, intent:struct<label:string, rationale:string>>"""
 EVIDENCE = "struct<kind:string, label:string, detail:string, path:string, mount_point:string, duplicate_hash:string>"
 RECOMMENDATION = f"""struct<id:string, title:string, rationale:string, confidence:double, target_mount:string,
  policy_safe:boolean, policy_rules_applied:array<string>, policy_rules_blocked:array<string>, evidence:array<{EVIDENCE}>,
@@ -141,7 +141,7 @@ def tables(reports: DataFrame) -> dict[str, DataFrame]:
         "path_extensions": paths.select("scan_id", F.col("pos").alias("path_pos"), "root_path", F.posexplode("file_type_summary.top_extensions").alias("pos", "_e")).select("scan_id", "path_pos", "root_path", "pos", "_e.*"),
         "path_largest_files": paths.select("scan_id", F.col("pos").alias("path_pos"), "root_path", F.posexplode("largest_files.entries").alias("pos", "_f")).select("scan_id", "path_pos", "root_path", "pos", "_f.*"),
         "categories": rows("categories"),
-        "duplicate_groups": dups.select("scan_id", "pos", "size_bytes", "hash", "total_wasted_bytes", F.col("intent.label").alias("intent"), F.size("files").alias("file_count"), F.col("files")[0].alias("first_file")),
+        "duplicate_groups": dups.select("scan_id", "pos", "size_bytes", "hash", "total_wasted_bytes", F.col("intent.label").alias("intent"), (F.size("files") + F.coalesce("more_files", F.lit(0))).alias("file_count"), F.col("files")[0].alias("first_file")),
         "duplicate_files": dups.select("scan_id", F.col("pos").alias("group_pos"), "hash", F.posexplode("files").alias("pos", "_f")).select("scan_id", "group_pos", "hash", "pos", "_f.*"),
         "recommendations": recs.select("*", F.col("estimated_impact.space_saving_bytes").alias("space_saving_bytes")),
         "evidence": recs.select("scan_id", "id", F.posexplode("evidence").alias("pos", "_e")).select("scan_id", "id", "pos", "_e.*"),

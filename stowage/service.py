@@ -11,7 +11,6 @@ from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import markdown, schemas
@@ -22,12 +21,16 @@ from .sinks import History, ReportStore, ScanCache, file_stem
 from .sources import devices, documents, filetree
 from .sources.walk import Walk
 from .streaming.sessions import Sessions
-from .tables import shared_folder
+from .tables import landed, local_table, shared_folder
 
 NOTES = ("Read-only: nothing is moved or removed.", "Classes are inferred, not measured.", "Cloud, network and virtual disks are no targets.")
 ASSUMPTIONS = ("A what-if reckoning; no file is touched.", "Savings are the sum of the estimates of the recommendations included.", "No estimate counts as nothing.")
 
 
+#: What a report holds at most: duplicate groups, files of each, warnings.  The store gets all duplicates as a table.
+REPORT_GROUPS, REPORT_FILES, REPORT_WARNINGS = 5000, 100, 5000
+
+
 @dataclass
 class ScanOptions:
     roots: list[str] = field(default_factory=list)
@@ -57,8 +60,8 @@ def now_text() -> str:
 def path_tables(spark: SparkSession, opts: ScanOptions, scan_id: str, as_of: datetime, enriched: DataFrame, tree: DataFrame) -> dict[str, DataFrame]:
     """What a walk says about its roots: files (lazy), paths and path_directories (worked out), path_extensions and
     path_largest_files, warnings."""
-    named = spark.createDataFrame([(i, os.path.abspath(r)) for i, r in enumerate(opts.roots)], "pos int, root_path string")
-    roots = policy.landed(mounts.match_mounts(named, enriched.select("pos", "mount_point")))
+    named = local_table(spark, [(i, os.path.abspath(r)) for i, r in enumerate(opts.roots)], "pos int, root_path string")
+    roots = landed(mounts.match_mounts(named, enriched.select("pos", "mount_point")))
     files = filetree.files_of(tree, scan_id).drop("disk_mount").join(F.broadcast(roots.select("root_path", "disk_mount")), "root_path")  # the roots named
     dirs = tree.where("kind = 'directory'").select(F.lit(scan_id).alias("scan_id"), "root_path", "path")
     total = usage.totals(files, F.lit(as_of.replace(tzinfo=None)).cast("timestamp"))
@@ -71,9 +74,9 @@ def path_tables(spark: SparkSession, opts: ScanOptions, scan_id: str, as_of: dat
         directories = usage.top(rolled.where(first).select("scan_id", "root_path", "path", "size_bytes"), usage.TOP_DIRECTORIES, F.desc("size_bytes"), "path")
     zero = ("file_count", "total_size_bytes", "recent_files", "stale_files", "unknown_modified_files", "directory_count")
     paths = roots.withColumn("scan_id", F.lit(scan_id)).join(total.drop("disk_mount"), ["scan_id", "root_path"], "left").join(usage.directory_counts(dirs), ["scan_id", "root_path"], "left")
-    paths = policy.landed(paths.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in zero}).withColumn("type_total_bytes", F.col("total_size_bytes")))
+    paths = landed(paths.withColumns({c: F.coalesce(c, F.lit(0)).cast("bigint") for c in zero}).withColumn("type_total_bytes", F.col("total_size_bytes")))
     warn = tree.where("kind = 'warning'").select(F.lit(scan_id).alias("scan_id"), "path", F.col("warning").alias("text"))
-    return {"files": files, "paths": paths, "path_directories": policy.landed(directories.join(paths.select("root_path", F.col("pos").alias("path_pos")), "root_path")),
+    return {"files": files, "paths": paths, "path_directories": landed(directories.join(paths.select("root_path", F.col("pos").alias("path_pos")), "root_path")),
             "path_extensions": usage.extension_summary(files), "path_largest_files": usage.largest_files(files), "warnings": warn}
 
 
@@ -84,28 +87,26 @@ def scan_tables(spark: SparkSession, opts: ScanOptions, scan_id: str, as_of: dat
     policy.light_planning(spark)
     probes = devices.probe_disks(spark, scan_id) if probes is None else probes
     # disks, roots, retained directories and suggestions are few rows that much is made from: each is worked out once
-    enriched = policy.landed(disks.enrich(probes, devices.platform_hints(spark) if hints is None else hints))
+    enriched = landed(disks.enrich(probes, devices.platform_hints(spark) if hints is None else hints))
     walked = filetree.read_tree(spark, opts.roots, opts.max_depth, opts.excludes).persist() if tree is None else tree
     t = path_tables(spark, opts, scan_id, as_of, enriched, walked)
     files = t["files"]
     # only files whose size is not theirs alone are read for their hash, each path once
     own = filetree.hashed(duplicates.candidates(files.dropDuplicates(["scan_id", "path"]), opts.dedupe_min_size)).persist() if opts.dedupe else None
     named = files.drop("content_hash").join(own.select("path", "content_hash"), "path") if opts.dedupe else files.limit(0)
-    groups = duplicates.duplicate_groups(named, opts.dedupe_min_size)
-    order = F.row_number().over(W.partitionBy("scan_id").orderBy(F.desc("total_wasted_bytes"), F.desc("file_count"), F.desc("size_bytes"), "hash"))
-    groups = groups.withColumns({"pos": order - 1, "first_file": F.col("files")[0]}).persist()
-    cats = policy.landed(classify.all_categories(t["paths"], t["path_directories"], policy.landed(usage.top_extensions(files)), enriched))
-    roled = policy.landed(classify.infer_roles(enriched, cats))
+    groups = duplicates.groups(named, opts.dedupe_min_size).withColumn("pos", F.lit(0)).persist()  # ties go by what a group holds
+    cats = landed(classify.all_categories(t["paths"], t["path_directories"], landed(usage.top_extensions(files)), enriched))
+    roled = landed(classify.infer_roles(enriched, cats))
     warn = t["warnings"]
     if own is not None:
         warn = warn.unionByName(own.where("warning is not null").select(F.lit(scan_id).alias("scan_id"), "path", F.col("warning").alias("text")))
-    return t | {"scans": spark.createDataFrame([(scan_id,)], "scan_id string"), "disks": roled, "categories": cats, "duplicate_groups": groups,
+    return t | {"scans": local_table(spark, [(scan_id,)], "scan_id string"), "disks": roled, "categories": cats, "duplicate_groups": groups, "duplicate_files": duplicates.group_files(named, groups, opts.dedupe_min_size),
                 "warnings": warn.drop("path").withColumn("pos", F.monotonically_increasing_id()), "_held": [x for x in (walked if tree is None else None, own, groups) if x is not None]}
 
 
 def auto_roots(spark: SparkSession, probes: DataFrame) -> list[str]:
     """Every mount that is no pseudo file system, once whatever its case: the roots of a scan that names none."""
-    none = spark.createDataFrame([], "pos int, path string")
+    none = local_table(spark, [], "pos int, path string")
     return [r["path"] for r in mounts.resolve_roots(none, probes).orderBy("pos").collect()]
 
 
@@ -197,6 +198,13 @@ def _rows(df: DataFrame, *order) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.orderBy(*order).collect()]
 
 
+def _said(warnings: DataFrame) -> list[str]:
+    """Warnings by their text, each once, as many as a report holds, and how many more there are."""
+    texts = warnings.select("text").distinct()
+    some = [w["text"] for w in texts.orderBy("text").limit(REPORT_WARNINGS + 1).collect()]
+    return some if len(some) <= REPORT_WARNINGS else [*some[:REPORT_WARNINGS], f"{texts.count() - REPORT_WARNINGS} more warnings"]
+
+
 def _paths(t: dict[str, DataFrame], path_rows: list[dict]) -> list[dict]:
     """The roots of a report, with their largest files and directories and their extensions."""
     text = lambda d: d.isoformat(timespec="seconds") + "Z" if d else None
@@ -210,16 +218,23 @@ def _paths(t: dict[str, DataFrame], path_rows: list[dict]) -> list[dict]:
 
 def _partial(opts: ScanOptions, scan_id: str, t: dict[str, DataFrame], warnings: list[str], events: list[str], began: float) -> dict:
     path_rows = _rows(t["paths"], "pos")
-    warnings = list(dict.fromkeys([*warnings, *(w["text"] for w in _rows(t["warnings"], "path"))]))
+    warnings = list(dict.fromkeys([*warnings, *_said(t["warnings"])]))
     out = _head(opts, scan_id) | {"disks": [], "paths": _paths(t, path_rows), "categories": [], "duplicates": [], "recommendations": [], "policy_decisions": [], "rule_traces": [], "warnings": warnings}
     return out | _metrics(opts, path_rows, warnings, 0, events, began, False)
 
 
 def _finished(spark, opts: ScanOptions, store, scan_id: str, t: dict, path_rows: list[dict], missing, events, emit, began, cache, key, here, history) -> dict:
-    bundle = policy.recommend({k: v for k, v in t.items() if k != "_held"})
+    bundle = policy.recommend({k: v for k, v in t.items() if k != "_held"}, small=True)
     emit("recommending")
     rows, text = _rows, lambda d: d.isoformat(timespec="seconds") + "Z" if d else None
-    warnings = list(dict.fromkeys([*_missing(missing), *(w["text"] for w in rows(t["warnings"], "pos")), *filters.Excludes(opts.excludes).warnings]))  # each once
+    warnings = list(dict.fromkeys([*_missing(missing), *_said(t["warnings"]), *filters.Excludes(opts.excludes).warnings]))  # each once
+    first = landed(t["duplicate_groups"].orderBy(*duplicates.by_waste()).limit(REPORT_GROUPS + 1))
+    shown = duplicates.with_files(first.orderBy(*duplicates.by_waste()).limit(REPORT_GROUPS), t["duplicate_files"], REPORT_FILES)
+    dups = rows(shown, *duplicates.by_waste())
+    if store and (first.count() > REPORT_GROUPS or any(g["more_files"] for g in dups)):
+        path = f"{os.path.abspath(store)}/duplicates/{file_stem(scan_id)}"
+        duplicates.numbered(t["duplicate_files"]).write.mode("overwrite").parquet(path)
+        warnings.append(f"not all duplicates are listed; {path} holds all")
     contradictions = sum(r["contradiction_count"] for r in bundle["contradictions"].collect())
     report = {
         **_head(opts, scan_id),
@@ -227,8 +242,8 @@ def _finished(spark, opts: ScanOptions, store, scan_id: str, t: dict, path_rows:
                    "role_hint": {"role": d["role"], "confidence": d["role_confidence"], "evidence": d["role_evidence"]}} for d in rows(t["disks"], "mount_point")],
         "paths": _paths(t, path_rows),
         "categories": [{**{k: c[k] for k in ("target", "disk_mount", "category", "confidence", "evidence")}, "rationale": "; ".join(c["evidence"])} for c in rows(t["categories"], "pos")],
-        "duplicates": [{"size_bytes": g["size_bytes"], "hash": g["hash"], "files": [{**f, "modified": text(f["modified"])} for f in g["files"]], "total_wasted_bytes": g["total_wasted_bytes"],
-                        "intent": {"label": g["intent"], "rationale": ""}} for g in rows(t["duplicate_groups"], "pos")],
+        "duplicates": [{"size_bytes": g["size_bytes"], "hash": g["hash"], "files": [{**f, "modified": text(f["modified"])} for f in g["files"]], "more_files": g["more_files"],
+                        "total_wasted_bytes": g["total_wasted_bytes"], "intent": {"label": g["intent"], "rationale": ""}} for g in dups],
         "recommendations": [_document(r) for r in rows(bundle["recommendations"], "pos")],
         "policy_decisions": [{k: d[k] for k in ("policy_id", "recommendation_id", "action", "rationale")} for d in rows(bundle["policy_decisions"], "pos", "k")],
         "rule_traces": [{k: r[k] for k in ("rule_id", "status", "detail", "recommendation_id", "confidence")} for r in rows(bundle["rule_traces"], "pos")],

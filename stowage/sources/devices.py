@@ -9,6 +9,8 @@ import subprocess
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import local_table
+
 PROBE = "pos int, name string, mount_point string, total_space_bytes bigint, free_space_bytes bigint, disk_kind string, file_system string, is_removable boolean"
 HINT = "pos int, mount_point string, vendor string, model string, interface string, rotational boolean, confidence double, source string"
 
@@ -25,7 +27,7 @@ def probe_disks(spark: SparkSession, scan_id: str, mounts_file: str = "/proc/mou
                 except OSError:
                     continue
                 rows.append((len(rows), device, mount, s.f_frsize * s.f_blocks, s.f_frsize * s.f_bavail, "unknown", fs, False))
-    return spark.createDataFrame(rows, PROBE).withColumn("scan_id", F.lit(scan_id))
+    return local_table(spark, rows, PROBE).withColumn("scan_id", F.lit(scan_id))
 
 
 def _truth(v):
@@ -77,4 +79,4 @@ def platform_hints(spark: SparkSession, run=subprocess.run) -> DataFrame:
             rows = lsblk_hints(got.stdout)
     except (OSError, subprocess.SubprocessError, ValueError):
         rows = []
-    return spark.createDataFrame(rows, HINT)
+    return local_table(spark, rows, HINT)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..tables import local_table
 
 
 def read_reports(spark: SparkSession, path) -> DataFrame:
@@ -18,7 +19,7 @@ def read_reports(spark: SparkSession, path) -> DataFrame:
 
 
 def reports_from(spark: SparkSession, documents: list[dict]) -> DataFrame:
-    rows = spark.createDataFrame([(json.dumps(d),) for d in documents], "value string")
+    rows = local_table(spark, [(json.dumps(d),) for d in documents], "value string")
     raw = rows.select(F.from_json("value", schemas.REPORT_SCHEMA).alias("r")).select("r.*")
     return schemas.with_defaults(schemas.checked(raw))
 
@@ -26,7 +27,7 @@ def reports_from(spark: SparkSession, documents: list[dict]) -> DataFrame:
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """One row with the snapshots; no file is an empty history."""
     if not os.path.exists(path):
-        return spark.createDataFrame([([],)], schemas.HISTORY_SCHEMA)
+        return local_table(spark, [([],)], schemas.HISTORY_SCHEMA)
     return spark.read.schema(schemas.HISTORY_SCHEMA).option("multiLine", True).json(path)
 
 
@@ -39,5 +40,5 @@ def read_suite(spark: SparkSession, path: str) -> DataFrame:
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     if not os.path.exists(path):
-        return spark.createDataFrame([], schemas.INDEX_SCHEMA)
+        return local_table(spark, [], schemas.INDEX_SCHEMA)
     return spark.read.schema(schemas.INDEX_SCHEMA).option("multiLine", True).json(path)

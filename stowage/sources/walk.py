@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import Excludes
-from ..tables import Commits, importable
+from ..tables import Commits, importable, local_table
 from .filetree import SCHEMA
 
 DEFERRED = "deferred"
@@ -149,7 +149,7 @@ class Walk:
     def _frontier(self, root: int, round_: int) -> DataFrame:
         """root_path, path, depth, slice, slices of the directories that a round walks."""
         if round_ == 0:
-            return self.spark.createDataFrame([(self.roots[root], self.roots[root], 0, 0, 1)], "root_path string, path string, depth int, slice int, slices int")
+            return local_table(self.spark, [(self.roots[root], self.roots[root], 0, 0, 1)], "root_path string, path string, depth int, slice int, slices int")
         return self.table.read([self._name(root, round_ - 1)]).where(F.col("kind") == DEFERRED).select("root_path", "path", "depth", "slice", "slices")
 
     def _seen(self) -> tuple[int, int, int]:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +35,41 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """A table of the rows at hand that the planner knows as local: no task of Python reads them, and projections and
+    filters over them are worked out while planning."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = zip(*rows, strict=True) if rows else ((),) * len(kind)
+    made = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(kind), strict=True)], names=kind.names)
+    return spark.createDataFrame(made, kind)
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """A small table (a row a disk, root, retained directory or suggestion of one scan) as a local one: what is built on it
+    is analysed and planned without its long history."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared one, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+    def gone() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended first
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    atexit.register(gone)
+    return path
+
+
+def temporary(df: DataFrame, tag: str) -> DataFrame:
+    """df written to a scratch folder and read again: its rows stay what they are, and lineage ends there."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Commits:
     """A table as a folder of commits, each a Parquet folder that counts once its job is over: Spark writes its marker
     last, so what a job left that was cancelled or lost is not seen.  A commit with the name of an earlier one replaces
@@ -37,7 +77,7 @@ class Commits:
 
     DONE = "_SUCCESS"
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
+    def __init__(self, spark: SparkSession, folder: str, schema: str | StructType):
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
 
     def _path(self, name: str = ""):
@@ -60,7 +100,7 @@ class Commits:
     def read(self, names: list[str] | None = None) -> DataFrame:
         """The rows of the commits named, or of all there are now."""
         paths = [f"{self.folder}/{n}" for n in (self.names() if names is None else names)]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else local_table(self.spark, [], self.schema)
 
     def remove(self) -> None:
         self._store().delete(self._path(), True)

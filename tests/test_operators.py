@@ -237,3 +237,94 @@ def test_mount_names_and_ids(spark):
     assert one(s.dashed_id(F.lit("F:\\"))) == "F--" and one(s.bare_id(F.lit("F:\\x"))) == "Fx"
     assert one(s.safe_stem(F.lit("ok-1"))) == "ok-1" and one(s.safe_stem(F.lit("../x"))).startswith("scan-") and one(s.safe_stem(F.lit("scan-x"))) != "scan-x"
     assert one(s.throughput_mb_s(F.lit(1048576.0), F.lit(500.0))) == 2.0 and one(s.throughput_mb_s(F.lit(1.0), F.lit(0.0))) == 0.0
+
+
+def plain_rollup(rows_):
+    out = {}
+    for root, path, size in rows_:
+        at = path
+        while at.startswith(root) and at != root:
+            at = at.rsplit("/", 1)[0] or "/"
+            if at.startswith(root):
+                n, b = out.get((root, at), (0, 0))
+                out[root, at] = (n + 1, b + size)
+            if at == "/":
+                break
+    return out
+
+
+def test_rollup_by_levels(spark):
+    import random
+
+    r = random.Random(1)
+    data = []
+    for root in ("/r", "/r2/deep/root", "/"):
+        for k in range(200):
+            data.append((root, root.rstrip("/") + "".join(f"/{r.choice('ab')}" for _ in range(r.randrange(0, 7))) + f"/f{k}", r.randrange(100)))
+    df = spark.createDataFrame([("s", *x) for x in data], "scan_id string, root_path string, path string, size_bytes bigint")
+    got = {(x["root_path"], x["path"]): (x["files"], x["size_bytes"]) for x in usage.tree_rollup(df).collect()}
+    assert got == plain_rollup(data)
+    assert usage.tree_rollup(df.limit(0)).count() == 0
+    drive = spark.createDataFrame([("s", "C:\\d", "C:\\d\\x\\f", 3), ("s", "C:/e", "C:/e/g", 4)], df.schema)
+    assert {x["path"] for x in usage.tree_rollup(drive.where("root_path = 'C:/e'")).collect()} == {"C:/e"}
+
+
+def test_rollup_shuffles_a_directory_once_at_any_depth(spark):
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        jobs = sc.statusStore().jobsList(None)
+        ids = {jobs.apply(i).stageIds().apply(k) for i in range(jobs.size()) for k in range(jobs.apply(i).stageIds().size())}
+        return {k: sc.statusStore().lastStageAttempt(k).shuffleWriteRecords() for k in ids}
+
+    def shuffled(depth):
+        before = written()
+        data = [("s", "/r", "/r" + "/d" * depth + f"/f{k}", 1) for k in range(3000)]
+        assert usage.tree_rollup(spark.createDataFrame(data, "scan_id string, root_path string, path string, size_bytes bigint")).count() == depth + 1
+        return sum(n for k, n in written().items() if k not in before)
+
+    assert shuffled(12) < 300  # exploding ancestors makes 3000 * 13 rows
+
+
+def pairs_plainly(d):
+    best = None
+    for s_ in d:
+        for t_ in d:
+            hot, still = s_["_active"] > s_["_cold"] + 0.25, t_["_cold"] > t_["_active"] + 0.25
+            if s_["mount_point"] != t_["mount_point"] and s_["used_bytes"] >= 50 and t_["free_space_bytes"] > int(s_["used_bytes"] * 1.25) and not (hot and still and t_["performance_rank"] <= s_["performance_rank"]):
+                key = (-s_["used_bytes"], s_["pos"], t_["pos"])
+                best = min(best, (key, s_["mount_point"], t_["mount_point"])) if best else (key, s_["mount_point"], t_["mount_point"])
+    return best and best[1:]
+
+
+def test_consolidation_sweep_equals_all_pairs(spark):
+    import random
+
+    from stowage.plans import rules
+
+    r, data = random.Random(6), []
+    for scan in range(120):
+        for k in range(r.randrange(0, 9)):
+            data.append((f"s{scan}", f"/m{k}", k, r.randrange(0, 300), r.randrange(0, 400), r.choice([0.1, 0.5, 0.5, 0.9]), r.choice([0.0, 0.3, 0.9]), r.choice([0.0, 0.3, 0.9])))
+    df = spark.createDataFrame(data, "scan_id string, mount_point string, pos int, used_bytes bigint, free_space_bytes bigint, performance_rank double, _active double, _cold double")
+    got = {x["scan_id"]: (x["s_mount_point"], x["t_mount_point"]) for x in rules.consolidation_pair(df, 50).collect()}
+    want = {}
+    for scan in {x[0] for x in data}:
+        if p := pairs_plainly([dict(zip(df.columns, x, strict=True)) for x in data if x[0] == scan]):
+            want[scan] = p
+    assert got == want and len(want) > 60
+    twice = df.where("scan_id = 's1'").withColumn("mount_point", F.lit("/m"))
+    assert rules.consolidation_pair(twice, 50).count() == 0  # one mount is no pair
+
+
+def test_files_of_a_group_are_rows(spark, monkeypatch):
+    data = [("s", "/r", f"/r/{k:04}", 7, f"/m{k % 3}", None, "x", None, "h") for k in range(500)] + [("s", "/r", f"/q/{k}", 9, "/m", None, "x", None, f"g{k // 2}") for k in range(41)]
+    df = spark.createDataFrame(data, FILE).repartition(7)
+    g = duplicates.groups(df)
+    children = duplicates.group_files(df, g)
+    got = sorted(rows(duplicates.numbered(children), "hash", "path", "number"))
+    assert got == sorted([("h", f"/r/{k:04}", k + 1) for k in range(500)] + [(f"g{k // 2}", f"/q/{k}", i + 1) for j in range(20) for i, k in enumerate(sorted((2 * j, 2 * j + 1), key=str))])
+    few = {x["hash"]: x for x in duplicates.with_files(g, children, 3).collect()}
+    assert [f["path"] for f in few["h"]["files"]] == ["/r/0000", "/r/0001", "/r/0002"] and few["h"]["more_files"] == 497 and few["g1"]["more_files"] == 0
+    assert rows(filters.search_duplicates(g, "/0499", children), "hash") == [("h",)] and rows(g.where("hash = 'h'"), "first_file.path", "mounts") == [("/r/0000", 3)]
