@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import adapter as a
+from .functions import blake3
 from .functions import scalars as s
 from .operators import classify, duplicates, filters, mounts, usage
 from .plans import diff, evaluate, policy, rules, scenario, trend
@@ -154,6 +155,13 @@ def dup_intent(spark, d) -> DataFrame:
     return children.join(g.select(*duplicates.KEY, "intent", "mounts"), list(duplicates.KEY)).select("hash", "intent", "mounts", "path", "number")
 
 
+@query("SELECT min(doc_id) AS first_doc, count(*)::BIGINT AS copies FROM documents GROUP BY text")
+def content_groups(spark, d) -> DataFrame:
+    """Texts by their content digest, as the scan hashes files."""
+    t = blake3.with_digest(a.table(spark, d, "documents").select("doc_id", "text"), "text")
+    return t.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies")).drop("digest")
+
+
 @query(f"""WITH {a.DUPS} SELECT hash, file_count, greatest(file_count - 2, 0) AS more_files, array_to_string(paths[1:2], ',') AS first_paths FROM dups""")
 def dup_first_files(spark, d) -> DataFrame:
     """What a report of two files a group holds."""

@@ -9,7 +9,6 @@ hashes afterwards, by hashed(), the files whose size is not theirs alone).
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import stat
@@ -19,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import blake3
 from ..functions.scalars import extension, top_directory
 from ..operators.filters import Excludes
-from ..tables import importable
+from ..tables import importable, temporary
 
 SCHEMA = "root_path string, path string, kind string, size_bytes bigint, modified_ts timestamp, content_hash string, warning string"
-BLOCK = 64 * 1024
 #: Directories that are walked on their own, about; bytes of contents that a task hashes, about.
 SPLIT, HASH_BYTES = 256, 1 << 30
 
@@ -36,12 +35,22 @@ class Part(InputPartition):
         self.root, self.starts, self.deep = root, starts, deep
 
 
+def reader_of(f):
+    """Bytes of an open file by offset and number, all of them or an error."""
+
+    def read(at: int, n: int) -> bytes:
+        f.seek(at)
+        data = f.read(n)
+        if len(data) != n:
+            raise OSError("the file changed while it was read")
+        return data
+
+    return read
+
+
 def digest(path: str) -> str:
-    h = hashlib.sha256()
     with open(path, "rb") as f:
-        while block := f.read(BLOCK):
-            h.update(block)
-    return h.hexdigest()
+        return blake3.span_digest(reader_of(f), os.fstat(f.fileno()).st_size)
 
 
 def readable_digest(path: str) -> tuple[str | None, str | None]:
@@ -146,21 +155,59 @@ def file_record(path: str, mount: str | None = None, modified: datetime | None =
     return {"path": os.path.abspath(path), "size_bytes": s.st_size, "disk_mount": mount, "modified": modified or datetime.fromtimestamp(int(s.st_mtime), UTC)}
 
 
-def hashed(files: DataFrame) -> DataFrame:
-    """files: path, size_bytes.  path, content_hash and warning (null where the other is not) of each distinct path, read
-    on the executors, about HASH_BYTES a task."""
-    importable(files.sparkSession)
-    rows = files.select("path", "size_bytes").dropDuplicates(["path"])
-    total = rows.agg(F.sum("size_bytes")).first()[0] or 0
-    parts = max(-(-total // HASH_BYTES), min(files.sparkSession.sparkContext.defaultParallelism, rows.limit(1000).count()), 1)
+def _pieces(batches, segment: int):
+    """Of rows path, size_bytes, pieces, piece: the digest of a file of one piece, the chaining value of one of several, or
+    a warning.  Small files are read until there is a window of bytes and hashed together."""
+    import pyarrow as pa
+
+    names = ("path", "pieces", "piece", "value", "content_hash", "warning")
+    types = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.string())
+    for batch in batches:
+        out, waiting, held = [], [], 0
+        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for k, (path, size, pieces, piece) in enumerate(rows):
+            try:
+                with open(path, "rb") as f:
+                    if pieces > 1:
+                        out.append((path, pieces, piece, blake3.piece_value(reader_of(f), size, piece, segment), None, None))
+                    elif size > blake3.WINDOW:
+                        out.append((path, 1, 0, None, blake3.span_digest(reader_of(f), size), None))
+                    else:
+                        waiting.append((path, reader_of(f)(0, size)))
+                        held += size
+            except OSError as e:
+                out.append((path, pieces, piece, None, None, str(e)))
+            if waiting and (held > blake3.WINDOW or k == len(rows) - 1):
+                out += [(p, 1, 0, None, h, None) for (p, _), h in zip(waiting, blake3.digests([t for _, t in waiting]), strict=True)]
+                waiting, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=list(names))
+
+
+def _whole(batches):
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
+    for batch in batches:
+        digests = [blake3.joined([v["value"] for v in values]) for values in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["path", "content_hash"])
 
-        for batch in batches:
-            paths = batch.column(0).to_pylist()
-            got = [readable_digest(p) for p in paths]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string())],
-                                             names=["path", "content_hash", "warning"])
 
-    return rows.repartition(int(parts), "path").mapInArrow(run, "path string, content_hash string, warning string")
+def hashed(files: DataFrame, segment: int = blake3.SEGMENT) -> DataFrame:
+    """files: path, size_bytes.  path, content_hash and warning (null where the other is not) of each distinct path, read
+    once on the executors, about HASH_BYTES a task.  A file of more than a segment is as many tasks' work as it has
+    segments; 32 bytes of each come together to its digest."""
+    spark = files.sparkSession
+    importable(spark)
+    rows = files.select("path", "size_bytes").dropDuplicates(["path"])
+    rows = rows.withColumn("pieces", F.greatest(F.ceil(F.col("size_bytes") / segment), F.lit(1)).cast("bigint"))
+    total, n = rows.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)), F.coalesce(F.sum("pieces"), F.lit(0))).first()
+    parts = max(-(-total // HASH_BYTES), min(spark.sparkContext.defaultParallelism, n), 1)
+    rows = rows.select("path", "size_bytes", "pieces", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"))
+    schema = "path string, pieces bigint, piece bigint, value binary, content_hash string, warning string"
+    found = rows.repartition(int(parts), "path", "piece").mapInArrow(lambda b: _pieces(b, segment), schema)
+    if not rows.where("pieces > 1").isEmpty():
+        found = temporary(found, "pieces")  # no file is read twice
+        many = found.where("pieces > 1").groupBy("path").agg(F.min("warning").alias("warning"), F.array_sort(F.collect_list(F.struct("piece", "value"))).alias("values"))
+        broken = many.where("warning is not null").select("path", F.lit(None).cast("string").alias("content_hash"), "warning")
+        joined = many.where("warning is null").select("path", "values").mapInArrow(_whole, "path string, content_hash string")
+        return found.where("pieces = 1").select("path", "content_hash", "warning").unionByName(broken).unionByName(joined.withColumn("warning", F.lit(None).cast("string")))
+    return found.select("path", "content_hash", "warning")
