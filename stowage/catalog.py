@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import adapter as a
+from . import schemas
 from .functions import blake3
 from .functions import scalars as s
 from .operators import classify, duplicates, filters, mounts, usage
 from .plans import diff, evaluate, policy, rules, scenario, trend
+from .sinks import ReportTable
 from .streaming import events as ev
+from .streaming import states
 from .tables import Commits, scratch
 
 QUERIES: dict[str, Callable] = {}
@@ -547,20 +550,40 @@ def cache_ages(spark, d) -> DataFrame:
     return a.table(spark, d, "events").select("event_id", age.alias("age"), (age > 86400).alias("expired"), s.utc_text(s.utc_time(text)).alias("told"))
 
 
-@query("""SELECT scan_id, generated_at, warnings_count, recommendation_count, imported FROM (SELECT strftime(o_orderdate, '%Y-%m') AS scan_id, strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%SZ') AS generated_at,
-(count(*) % 7)::INT AS warnings_count, (count(*) % 11)::INT AS recommendation_count, false AS imported FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1)""")
+_STORED = """SELECT strftime(o_orderdate, '%Y-%m-%d') AS scan_id, strftime(max(o_orderdate), '%Y-%m-%dT%H:%M:%SZ') AS generated_at, count(*)::BIGINT AS n, max(o_orderdate) AS t, sum(round(o_totalprice)::BIGINT)::BIGINT AS size
+FROM orders GROUP BY 1"""
+
+
+def _stored(spark, d) -> ReportTable:
+    """A report a day of orders: all are put, those of even days are put again with a warning less, and Sundays go."""
+    o = a.table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("scan_id")).agg(
+        s.utc_text(F.max("o_orderdate")).alias("generated_at"), F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("t"), F.sum(F.round("o_totalprice").cast("bigint")).alias("size"))
+    scan = F.named_struct(F.lit("roots"), F.array("scan_id"), F.lit("backend"), F.when(F.dayofmonth("t") % 3 == 0, "pdu"))
+    disk = F.named_struct(F.lit("mount_point"), F.lit("/d"), F.lit("total_space_bytes"), F.lit(1 << 34), F.lit("free_space_bytes"), (F.lit(1 << 34) - F.col("size")).cast("bigint"))
+    made = o.select("scan_id", "generated_at", F.lit("1.2.0").alias("report_version"), F.array_repeat(F.lit(""), F.col("n").cast("int")).alias("warnings"), "t",
+                    F.from_json(F.to_json(F.struct(scan.alias("scan"), F.array(disk).alias("disks"))), schemas.REPORT_SCHEMA).alias("j"))
+    made = made.select("scan_id", "generated_at", "report_version", "warnings", "t", "j.scan", "j.disks", "j.paths")
+    store = ReportTable(spark, scratch(spark, "reports"))
+    store.put(made)
+    store.put(made.where(F.dayofmonth("t") % 2 == 0).withColumn("warnings", F.slice("warnings", 2, 1 << 30)), imported=True, source="again")
+    store.remove(made.where(F.dayofweek("t") == 1))
+    return store
+
+
+@query(f"""SELECT scan_id, generated_at, CASE WHEN day(t) % 3 = 0 THEN 'pdu' ELSE 'native' END AS backend, (n - CASE WHEN day(t) % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS warnings_count, day(t) % 2 = 0 AS imported
+FROM ({_STORED}) WHERE dayofweek(t) <> 0""")
 def stored_reports(spark, d) -> DataFrame:
-    """A report a month goes through the store, twice, and comes back from its index."""
-    import tempfile
+    """The index of a store of many reports, after replacements and removals."""
+    return _stored(spark, d).index().select("scan_id", "generated_at", "backend", "warnings_count", "imported")
 
-    from .sinks import ReportStore
 
-    o = a.table(spark, d, "orders").where("year(o_orderdate) = 1997").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("scan_id")).agg(s.utc_text(F.max("o_orderdate")).alias("t"), F.count(F.lit(1)).alias("n"))
-    with tempfile.TemporaryDirectory() as folder:  # read and written by the driver alone, a dozen reports
-        st = ReportStore(folder)
-        for r in [*o.collect()] * 2:
-            st.put({"scan_id": r["scan_id"], "generated_at": r["t"], "report_version": "1.2.0", "warnings": [""] * (r["n"] % 7), "recommendations": [{}] * (r["n"] % 11)})
-        return st.table(spark).select("scan_id", "generated_at", F.col("warnings_count").cast("int").alias("warnings_count"), F.col("recommendation_count").cast("int").alias("recommendation_count"), "imported")
+@query(f"""WITH s AS (SELECT scan_id, 17179869184 - size AS free, row_number() OVER (ORDER BY generated_at, scan_id) - 1 AS k FROM ({_STORED}) WHERE dayofweek(t) <> 0)
+SELECT k::INT AS snap_pos, scan_id, free::BIGINT AS free_space_bytes FROM s""")
+def stored_snapshots(spark, d) -> DataFrame:
+    """The history that the stored reports are."""
+    store = _stored(spark, d)
+    store.compact()
+    return store.snapshots()[0].select("snap_pos", "scan_id", "free_space_bytes")
 
 
 # --- differences and trends
@@ -647,3 +670,43 @@ def running_counters(spark, d) -> DataFrame:
 def progress_summary(spark, d) -> DataFrame:
     e = _events(spark, d)
     return ev.progress_summary(e.withColumn("phase", F.when(F.col("phase") == "purchase", "done").otherwise(F.col("phase"))))
+
+
+_STREAMED = """WITH e AS (SELECT 'user-' || user_id AS scan_id, event_id AS seq, CASE WHEN event_type = 'purchase' AND value > 30 THEN 'done' WHEN event_type = 'error' THEN 'failed' ELSE event_type END AS phase,
+  epoch_ms(date_trunc('second', ts)) AS ms, (event_id % 100)::BIGINT AS files FROM events),
+m AS (SELECT max(ms) - 60000 AS mark FROM e)"""
+
+
+@query(_STREAMED + """ SELECT scan_id, CASE arg_max(phase, seq) FILTER (WHERE phase IN ('done', 'failed')) WHEN 'done' THEN 'completed' WHEN 'failed' THEN 'failed' ELSE
+CASE WHEN max(ms) + 172800000 <= any_value(mark) THEN 'timed_out' ELSE 'running' END END AS status, arg_max(phase, seq) AS phase, max(seq) AS seq, count(*)::BIGINT AS events, max(files) AS scanned_files FROM e, m GROUP BY scan_id""")
+def session_final_states(spark, d) -> DataFrame:
+    """Events through a stream with keyed state and timers: two days without an event time a scan out."""
+    own, folder = states.stream_session(spark), scratch(spark, "sessions")  # a pattern as path, since a stream takes one file only so
+    e = own.readStream.schema(a.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    phase = F.when((F.col("event_type") == "purchase") & (F.col("value") > 30), "done").when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
+    e = e.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("scan_id"), F.col("event_id").alias("seq"), phase.alias("phase"), s.utc_text(F.col("ts")).alias("timestamp"),
+                 (F.col("event_id") % 100).cast("bigint").alias("scanned_files"), F.lit(0).cast("bigint").alias("scanned_bytes"), F.lit(0).cast("bigint").alias("errors"))
+    states.drained(states.session_changes(e, 172_800_000, "1 minute"), f"{folder}/log", f"{folder}/checkpoint")
+    return states.latest(spark.read.schema(states.SESSION).parquet(f"{folder}/log"), "scan_id").select("scan_id", "status", "phase", "seq", "events", "scanned_files")
+
+
+def _grown(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Snapshots, written in three parts out of order, through the stream of last two states."""
+    own, folder = states.stream_session(spark), scratch(spark, "growth")
+    snaps = a.snapshots(spark, d)
+    rows = states.snapshot_rows(snaps, snaps)
+    for k in (2, 0, 1):
+        rows.where(F.col("snap_pos") % 3 == k).write.mode("append").parquet(f"{folder}/snapshots")
+    stream = own.readStream.schema(states.SNAPSHOT).parquet(f"{folder}/snapshots")
+    states.drained(states.growth_changes(stream), f"{folder}/log", f"{folder}/checkpoint")
+    return states.growth_of(states.latest(spark.read.schema(states.GROWTH).parquet(f"{folder}/log"), "series", "kind", "name"))
+
+
+@query(SQL["trend_disk"])
+def streamed_disk_growth(spark, d) -> DataFrame:
+    return _grown(spark, d)[0].select("id", "mount_point", "growth_bytes", "days")
+
+
+@query(SQL["trend_path"])
+def streamed_path_growth(spark, d) -> DataFrame:
+    return _grown(spark, d)[1].select("id", "root_path", "growth_bytes", "days")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _GLOB = re.compile(r"[*?\[\]{}]")
+_BEGIN, _END = r"(?s)\A", r"\z"
 
 
 class BadGlob(ValueError):
@@ -53,12 +54,45 @@ def glob_regex(pattern: str) -> str:
         i += 1
     if depth:
         raise BadGlob(pattern)
-    return r"(?s)\A" + "".join(out) + r"\z"
+    return _BEGIN + "".join(out) + _END
+
+
+def trie_regex(words) -> str:
+    """One expression that matches where any of the words stands: a trie, so at each place of a text only the letters that
+    go on are tried, however many words there are."""
+    root: dict = {}
+    for w in words:
+        at = root
+        for c in w:
+            at = at.setdefault(c, {})
+            if "" in at:
+                break  # a shorter word ends here: whatever follows, it matches
+        else:
+            at.clear()
+            at[""] = {}
+
+    def said(node: dict) -> str:
+        out = ""
+        while len(node) == 1 and "" not in node:
+            (c, node), = node.items()
+            out += re.escape(c)
+        if "" in node:
+            return out
+        leaves = sorted(c for c, below in node.items() if "" in below)
+        parts = ["[" + "".join("\\" + c if c in "\\]^-[&~|" else c for c in leaves) + "]"] if leaves else []
+        parts += [re.escape(c) + said(below) for c, below in sorted(node.items()) if "" not in below]
+        return out + (parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")")
+
+    return said(root)
 
 
 class Excludes:
     """Compiled on the driver: patterns with a glob character become regular expressions on the whole path, others
-    lower-cased substrings.  A glob that can't be read is a warning and a substring."""
+    lower-cased substrings.  A glob that can't be read is a warning and a substring.
+
+    All substrings are one trie expression, and all globs one alternation.  A directory above a path is a prefix of it, so
+    a substring of the one is a substring of the other: substrings are looked for in the path alone, once.  Globs, which
+    hold for whole paths, are tried once on each component of the path below the root."""
 
     def __init__(self, patterns):
         self.globs: list[str] = []
@@ -75,18 +109,23 @@ class Excludes:
             except BadGlob:
                 self.warnings.append(f"exclude pattern {p!r} is no glob; it is taken as text")
                 self.words.append(p.lower())
+        bare = [g.removeprefix(_BEGIN).removesuffix(_END) for g in dict.fromkeys(self.globs)]
+        self.any_word = trie_regex(self.words) if self.words else None
+        self.any_glob = f"{_BEGIN}(?:{'|'.join(bare)}){_END}" if bare else None
+        self._word = None if self.any_word is None else re.compile(self.any_word)
+        self._glob = None if self.any_glob is None else re.compile(self.any_glob.removesuffix(_END) + r"\Z")
 
     def hits(self, path: Column) -> Column:
         out = F.lit(False)
-        for g in self.globs:
-            out = out | path.rlike(g)
-        for w in self.words:
-            out = out | F.lower(path).contains(w)
+        if self.any_glob is not None:
+            out = out | path.rlike(self.any_glob)
+        if self.any_word is not None:
+            out = out | F.lower(path).rlike(self.any_word)
         return out
 
     def matches(self, path: str) -> bool:
-        """The same for one path, for the walker of the file-tree source."""
-        return any(re.search(g.replace(r"\z", r"\Z"), path) for g in self.globs) or any(w in path.lower() for w in self.words)
+        """The same for one path, for walkers."""
+        return bool((self._glob and self._glob.search(path)) or (self._word and self._word.search(path.lower())))
 
     def prune(self, files: DataFrame, path_col: str = "path", root_col: str = "root_path") -> DataFrame:
         """files without those that are excluded or stand below an excluded directory; the root itself never is."""
@@ -94,8 +133,14 @@ class Excludes:
             return files
         from ..functions.scalars import ancestors
 
-        below = F.filter(ancestors(F.col(path_col)), lambda p: F.length(p) > F.length(F.rtrim(F.col(root_col), F.lit("/"))))
-        return files.where(~F.exists(below, self.hits))
+        base = F.length(F.rtrim(F.col(root_col), F.lit("/")))
+        out = F.lit(False)
+        if self.any_word is not None:  # the path as ancestors() has it, the longest of them
+            whole = F.rtrim(F.translate(path_col, "\\", "/"), F.lit("/"))
+            out = out | ((F.length(whole) > base) & F.lower(whole).rlike(self.any_word))
+        if self.any_glob is not None:
+            out = out | F.exists(F.filter(ancestors(F.col(path_col)), lambda p: F.length(p) > base), lambda p: p.rlike(self.any_glob))
+        return files.where(~out)
 
 
 def contains_text(c: Column, query: str) -> Column:

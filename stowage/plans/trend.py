@@ -34,20 +34,27 @@ def _pairs(rows: DataFrame, key: str, values: list[str], series: tuple[str, ...]
 def disk_growth(snapshots: DataFrame, series: tuple[str, ...] = ()) -> DataFrame:
     """snapshots: snap_pos, generated_at, mount_point, total_space_bytes, free_space_bytes.  Disks whose free space fell by
     over 1 GiB and over 10 % of the disk."""
-    p = _pairs(snapshots, "mount_point", ["free_space_bytes", "generated_at"], series)
+    return grown_disks(_pairs(snapshots, "mount_point", ["free_space_bytes", "generated_at"], series), series)
+
+
+def grown_disks(pairs: DataFrame, series: tuple[str, ...] = ()) -> DataFrame:
+    """pairs: the latest values of each disk beside previous_free_space_bytes and previous_generated_at."""
     drop = F.col("previous_free_space_bytes") - F.col("free_space_bytes")
     share = F.col("growth_bytes") / F.greatest("total_space_bytes", F.lit(1))
-    return p.withColumn("growth_bytes", drop).where((F.abs("growth_bytes") > LEAST_BYTES) & (share > LEAST_SHARE)).select(
+    return pairs.withColumn("growth_bytes", drop).where((F.abs("growth_bytes") > LEAST_BYTES) & (share > LEAST_SHARE)).select(
         *series, F.concat(F.lit("disk-growth-"), bare_id(F.col("mount_point"))).alias("id"), "mount_point", "growth_bytes",
         days_between(F.col("previous_generated_at"), F.col("generated_at")).alias("days"), F.lit(0.75).alias("confidence"), F.lit("medium").alias("risk_level"))
 
 
 def path_growth(snapshots: DataFrame, series: tuple[str, ...] = ()) -> DataFrame:
     """snapshots: snap_pos, generated_at, root_path, total_size_bytes.  Roots that grew by over 1 GiB and over 10 %."""
-    p = _pairs(snapshots, "root_path", ["total_size_bytes", "generated_at"], series)
+    return grown_paths(_pairs(snapshots, "root_path", ["total_size_bytes", "generated_at"], series), series)
+
+
+def grown_paths(pairs: DataFrame, series: tuple[str, ...] = ()) -> DataFrame:
     grown = F.col("total_size_bytes") - F.col("previous_total_size_bytes")
     share = F.col("growth_bytes") / F.greatest("previous_total_size_bytes", F.lit(1))
-    return p.withColumn("growth_bytes", grown).where((F.col("growth_bytes") > LEAST_BYTES) & (share > LEAST_SHARE)).select(
+    return pairs.withColumn("growth_bytes", grown).where((F.col("growth_bytes") > LEAST_BYTES) & (share > LEAST_SHARE)).select(
         *series, F.concat(F.lit("path-growth-"), bare_id(F.col("root_path"))).alias("id"), "root_path", "growth_bytes",
         days_between(F.col("previous_generated_at"), F.col("generated_at")).alias("days"), F.lit(0.78).alias("confidence"), F.lit("low").alias("risk_level"))
 

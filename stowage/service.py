@@ -17,7 +17,7 @@ from . import markdown, schemas
 from .functions.scalars import top_directory
 from .operators import classify, disks, duplicates, filters, mounts, usage
 from .plans import diff, evaluate, policy, scenario, trend
-from .sinks import History, ReportStore, ScanCache, file_stem
+from .sinks import History, ReportStore, ReportTable, ScanCache, file_stem
 from .sources import devices, documents, filetree
 from .sources.walk import Walk
 from .streaming.sessions import Sessions
@@ -344,6 +344,14 @@ class Service:
     def __init__(self, spark: SparkSession, store: str):
         self.spark, self.store, self.sessions = spark, ReportStore(store), Sessions(spark)
         self.folder = store
+        self.table = ReportTable(spark, store)
+
+    def store_reports(self, reports: DataFrame) -> str:
+        """Many reports at once (REPORT_SCHEMA), written by the executors."""
+        return self.table.put(reports)
+
+    def report_index(self) -> DataFrame:
+        return self.table.index()
 
     def start_scan(self, opts: ScanOptions, **kw) -> str:
         return self.sessions.start(lambda scan_id, emit, cancelled: scan(self.spark, opts, self.folder, emit, scan_id=scan_id, cancelled=cancelled, **kw))

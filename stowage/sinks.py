@@ -1,5 +1,5 @@
-"""Report store, history and scan cache.  Documents are small and live beside each other as JSON; bulk tables go to
-Parquet by scan_id.  Store folders are arguments, there is no hidden default."""
+"""Report store, history and scan cache.  Documents of one machine live beside each other as JSON; many reports are a
+table (ReportTable).  Store folders are arguments, there is no hidden default."""
 
 from __future__ import annotations
 
@@ -7,22 +7,20 @@ import hashlib
 import json
 import os
 import re
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import schemas
+from .tables import Commits
 
 PREFIX = "scan-"
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as Parquet, a folder a scan; what a scan wrote before is replaced, other scans stay."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scan_id").parquet(f"{folder}/{name}")
-
-
 def file_stem(scan_id: str) -> str:
     if re.fullmatch(r"[A-Za-z0-9_-]+", scan_id) and not scan_id.startswith(PREFIX):
         return scan_id
@@ -100,6 +98,81 @@ class ReportStore:
         raise KeyError(f"no report of scan {scan_id!r}")
 
 
+class ReportTable:
+    """Reports as a table of commits: rows are written by the executors, and a put is seen when all of it is there.  Two
+    writers at once lose nothing, since each adds a commit of its own; of several reports of a scan the last put counts.
+    Removal is a put too.  index() and snapshots() read only the columns they need."""
+
+    SCHEMA = f"put string, removed boolean, imported boolean, source_path string, {schemas.REPORT_SCHEMA}"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.log = spark, Commits(spark, f"{folder}/report_table", self.SCHEMA)
+
+    @staticmethod
+    def _name() -> str:
+        return f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex}"  # by time, and no two alike
+
+    def _write(self, rows: DataFrame, removed: bool, imported: bool, source: str | None) -> str:
+        name = self._name()
+        head = [F.lit(name).alias("put"), F.lit(removed).alias("removed"), F.lit(imported).alias("imported"), F.lit(source).cast("string").alias("source_path")]
+        names = [f.name for f in StructType.fromDDL(schemas.REPORT_SCHEMA)]
+        self.log.append(rows.select(*head, *(F.col(n) if n in rows.columns else F.lit(None).alias(n) for n in names)).to(StructType.fromDDL(self.SCHEMA)), name)
+        return name
+
+    def put(self, reports: DataFrame, imported: bool = False, source: str | None = None) -> str:
+        """reports: REPORT_SCHEMA (missing columns are null).  The name of the put."""
+        return self._write(reports.withColumn("scan_id", F.coalesce("scan_id", F.lit("unknown"))), False, imported, source)
+
+    def remove(self, scans: DataFrame) -> str:
+        """scans: scan_id."""
+        return self._write(scans.select("scan_id").distinct(), True, False, None)
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        """Rows that no later put replaces: of each scan the last put, by an anti-join with those it replaces."""
+        last = rows.groupBy("scan_id").agg(F.max("put").alias("_last"))
+        older = last.select(F.col("scan_id").alias("_scan"), "_last")
+        return rows.join(older, (F.col("scan_id") == F.col("_scan")) & (F.col("put") < F.col("_last")), "left_anti").where(~F.col("removed"))
+
+    def current(self) -> DataFrame:
+        """The present reports, one a scan."""
+        return self._last(self.log.read()).drop("put", "removed", "imported", "source_path")
+
+    def index(self) -> DataFrame:
+        """One row a scan, of INDEX_SCHEMA; stored_report_path is the put's folder."""
+        rows = self.log.read().select("put", "removed", "scan_id", "generated_at", "report_version", F.col("scan.roots").alias("roots"), F.coalesce("scan.backend", F.lit("native")).alias("backend"),
+                                      F.coalesce(F.size("warnings"), F.lit(0)).cast("bigint").alias("warnings_count"),
+                                      F.coalesce(F.size("recommendations"), F.lit(0)).cast("bigint").alias("recommendation_count"),
+                                      F.concat(F.lit(f"{self.log.folder}/"), "put").alias("stored_report_path"), "source_path", "imported")
+        return self._last(rows).select(*(f.split()[0] for f in schemas.INDEX_SCHEMA.split(", ")))
+
+    def get(self, scan_id: str) -> DataFrame:
+        return self.current().where(F.col("scan_id") == scan_id)
+
+    def snapshots(self) -> tuple[DataFrame, DataFrame]:
+        """disk_snapshots and path_snapshots of all present reports, numbered by their time of generation."""
+        rows = self._last(self.log.read().select("put", "removed", "scan_id", "generated_at", "disks", "paths"))
+        order = F.row_number().over(W.orderBy("generated_at", "scan_id"))
+        pos = rows.select("scan_id", "generated_at").withColumn("snap_pos", order - 1).select("scan_id", "snap_pos")  # a row a report, two short columns
+        rows = rows.join(pos, "scan_id")
+        d = rows.select("snap_pos", "scan_id", "generated_at", F.explode("disks").alias("d")).select("snap_pos", "scan_id", "generated_at", "d.mount_point", "d.total_space_bytes", "d.free_space_bytes")
+        p = rows.select("snap_pos", "scan_id", "generated_at", F.explode("paths").alias("p")).select("snap_pos", "scan_id", "generated_at", "p.root_path", "p.total_size_bytes", "p.file_count")
+        return d, p
+
+    def compact(self) -> None:
+        """What is present now becomes one commit, and the commits that it was read from go; what others put meanwhile
+        stays.  Their puts keep their names, so a later put still wins."""
+        names = self.log.names()
+        if len(names) < 2:
+            return
+        rows = self._last(self.log.read(names))
+        self.log.append(rows, names[-1] + "-all")
+        self.log.drop(names)
+
+    def orphans(self, listing: DataFrame) -> DataFrame:
+        """Entries of a listing (path) that no present report names: what a clean-up may delete."""
+        return listing.join(self.index().select(F.col("stored_report_path").alias("path")), "path", "left_anti")
+
+
 class History:
     """The snapshots of earlier scans, appended to."""
 

@@ -1,4 +1,4 @@
-"""Scan sessions: running, completed, cancelled or failed, on the driver; and the same states replayed from events."""
+"""Scan sessions: running, completed, cancelled or failed, on the driver (streaming/states.py has the same from events)."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 RUNNING, COMPLETED, CANCELLED, FAILED = "running", "completed", "cancelled", "failed"
 
 
@@ -74,9 +71,3 @@ class Sessions:
         if scan_id not in self.sessions:
             raise KeyError(f"no session {scan_id!r}")
         return self.sessions[scan_id]
-
-
-def replay(events: DataFrame) -> DataFrame:
-    """The state of each scan by its last event: completed after done, else running; errors count."""
-    last = events.groupBy("scan_id").agg(F.max_by("phase", "seq").alias("phase"), F.max("seq").alias("seq"), F.max("errors").alias("errors"))
-    return last.withColumn("status", F.when(F.col("phase") == "done", COMPLETED).otherwise(RUNNING))

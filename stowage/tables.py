@@ -102,5 +102,10 @@ class Commits:
         paths = [f"{self.folder}/{n}" for n in (self.names() if names is None else names)]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else local_table(self.spark, [], self.schema)
 
+    def drop(self, names: list[str]) -> None:
+        """Removes the commits named."""
+        for n in names:
+            self._store().delete(self._path(n), True)
+
     def remove(self) -> None:
         self._store().delete(self._path(), True)
