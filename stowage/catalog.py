@@ -530,6 +530,40 @@ def disks_with_hints(spark, d) -> DataFrame:
     return out.select("mount_point", "vendor", "storage_type", "rotational", (F.size("metadata_notes") > 0).alias("noted"))
 
 
+@query("""WITH n AS (SELECT l_orderkey AS k, l_linenumber AS i, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS v, CASE o_orderkey % 4 WHEN 0 THEN 'nvme' WHEN 1 THEN 'usb' END AS t, o_orderkey % 5 = 0 AS r, l_returnflag AS m,
+  CASE WHEN l_linenumber % 2 = 1 THEN 'own' END AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+a AS (SELECT k, (CASE WHEN i % 2 = 1 THEN '/d' ELSE '/x' END) || k || '/' || i AS mount_point, coalesce(w, v) AS vendor, m AS model, t AS interface, r AS rotational FROM n
+UNION ALL SELECT k, '/leaf/' || k || '/' || i, coalesce(w, v), m, t, false FROM n WHERE i % 3 = 0)
+SELECT k::VARCHAR AS doc, mount_point, vendor, model, interface, rotational, round(least(0.70 + 0.05 * (2 + (vendor IS NOT NULL)::INT + (interface IS NOT NULL)::INT), 0.9), 6)::DOUBLE AS confidence FROM a""")
+def device_documents(spark, d) -> DataFrame:
+    """Orders as disks and their lines as partitions, some with one below, in JSON documents that are taken apart again."""
+    from .sources import devices
+
+    o = a.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).otherwise(" ").alias("v"),
+                                           F.when(F.col("o_orderkey") % 4 == 0, "nvme").when(F.col("o_orderkey") % 4 == 1, "usb").alias("t"), (F.col("o_orderkey") % 5 == 0).alias("r"))
+    k, i = F.col("l_orderkey"), F.col("l_linenumber")
+    name = lambda p: F.concat(F.lit(p), k.cast("string"), F.lit("/"), i.cast("string"))
+    leaf = F.array(F.struct(name("/leaf/").alias("mountpoint"), F.lit("0").alias("rota")))
+    line = F.struct(F.when(i % 2 == 1, name("/d")).alias("mountpoint"), F.when(i % 2 == 0, F.array(name("/x"), F.lit(None))).alias("mountpoints"), F.when(i % 2 == 1, "own").alias("vendor"),
+                    F.col("l_returnflag").alias("model"), F.when(i % 3 == 0, leaf).alias("children"))
+    lines = a.table(spark, d, "lineitem").groupBy(k.alias("k")).agg(F.collect_list(line).alias("children"))  # the few lines of an order
+    disk = F.struct(F.col("v").alias("vendor"), F.col("t").alias("tran"), F.col("r").alias("rota"), "children")
+    docs = o.join(lines, "k").select(F.col("k").cast("string").alias("doc"), F.to_json(F.struct(F.array(disk).alias("blockdevices"))).alias("text"))
+    return devices.lsblk_rows(docs).select("doc", "mount_point", "vendor", "model", "interface", "rotational", r6("confidence"))
+
+
+@query("""SELECT p_partkey::VARCHAR AS doc, upper(chr((97 + p_partkey % 26)::INT)) || ':' || chr(92) AS mount_point, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS model,
+CASE p_partkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS rotational, round(0.72 + 0.06 * ((p_partkey % 2 = 0)::INT + (p_partkey % 3 <> 2)::INT), 6)::DOUBLE AS confidence FROM part""")
+def device_records(spark, d) -> DataFrame:
+    """Parts as records of a captured CIM query, one object or an array of one."""
+    from .sources import devices
+
+    k = F.col("p_partkey")
+    record = F.to_json(F.struct(F.concat(F.chr((97 + k % 26).cast("int")), F.lit(":")).alias("DriveLetter"), F.when(k % 2 == 0, F.col("p_brand")).alias("Model"), F.when(k % 3 == 0, "SSD").when(k % 3 == 1, "Hard disk").alias("MediaType")))
+    docs = a.table(spark, d, "part").select(k.cast("string").alias("doc"), F.when(k % 5 == 0, F.concat(F.lit("["), record, F.lit("]"))).otherwise(record).alias("text"))
+    return devices.cim_rows(docs).select("doc", "mount_point", "model", "rotational", r6("confidence"))
+
+
 @query("""SELECT doc_id, CASE WHEN regexp_full_match(i, '[A-Za-z0-9_-]+') AND NOT starts_with(i, 'scan-') THEN i ELSE 'scan-' || sha256(i) END AS stem, replace(replace(replace(i, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') AS shown,
 replace(i, '\\', '/') AS cached, regexp_replace(i, '[^A-Za-z0-9]', '-', 'g') AS slug, regexp_replace(i, '[^A-Za-z0-9]', '', 'g') AS bare
 FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'scan-' || doc_id WHEN 1 THEN source || '_' || doc_id WHEN 2 THEN 'a\\b/' || doc_id WHEN 3 THEN 'x' || chr(9) || doc_id || chr(10) ELSE 'ü ' || doc_id END AS i FROM documents)""".replace("\\\\", "\\"))

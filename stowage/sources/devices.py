@@ -1,15 +1,17 @@
-"""Disk probes and platform hints, read on the driver."""
+"""Disk probes of this machine, and hints about devices from captured JSON, which the engine takes apart."""
 
 from __future__ import annotations
 
-import json
 import os
+import platform
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..tables import local_table
+from ..functions.scalars import media_rotational, optional, rotational
+from ..tables import landed, local_table
 
 PROBE = "pos int, name string, mount_point string, total_space_bytes bigint, free_space_bytes bigint, disk_kind string, file_system string, is_removable boolean"
 HINT = "pos int, mount_point string, vendor string, model string, interface string, rotational boolean, confidence double, source string"
@@ -30,53 +32,76 @@ def probe_disks(spark: SparkSession, scan_id: str, mounts_file: str = "/proc/mou
     return local_table(spark, rows, PROBE).withColumn("scan_id", F.lit(scan_id))
 
 
-def _truth(v):
-    if v is None or isinstance(v, bool):
-        return v
-    low = str(v).strip().lower()
-    return True if low in ("1", "true", "yes") else False if low in ("0", "false", "no") else None
-
-
-def lsblk_hints(text: str) -> list[tuple]:
-    """Rows of HINT from `lsblk -J` output: children take over what their parent says."""
-    out: list[tuple] = []
-
-    def walk(node: dict, above: dict):
-        own = {k: (str(node[k]).strip() or None) if node.get(k) is not None else None for k in ("vendor", "model", "tran")}
-        own["rota"] = _truth(node.get("rota"))
-        now = {k: own[k] if own[k] is not None else above.get(k) for k in ("vendor", "model", "tran", "rota")}
-        mounts = dict.fromkeys(m for m in [node.get("mountpoint"), *(node.get("mountpoints") or [])] if m)
-        known = sum(v is not None for v in now.values())
-        for m in mounts:
-            out.append((len(out), m, now["vendor"], now["model"], now["tran"], now["rota"], min(0.70 + 0.05 * known, 0.9), "lsblk"))
-        for child in node.get("children") or []:
-            walk(child, now)
-
-    for node in json.loads(text).get("blockdevices") or []:
-        walk(node, {})
-    return out
-
-
-def cim_hints(text: str) -> list[tuple]:
-    """Rows of HINT from captured JSON of a Windows CIM query: one object or an array of them."""
-    got = json.loads(text)
-    out = []
-    for r in got if isinstance(got, list) else [got]:
-        media = (r.get("MediaType") or "").lower()
-        spins = False if "ssd" in media or "solid state" in media else True if "hdd" in media or "hard disk" in media else None
-        row = (r.get("Manufacturer"), r.get("Model"), r.get("BusType") or r.get("InterfaceType"), spins)
-        if r.get("DriveLetter"):
-            out.append((len(out), str(r["DriveLetter"]).rstrip(":\\").upper() + ":\\", *row, min(0.72 + 0.06 * sum(v is not None for v in row), 0.9), "cim"))
-    return out
-
-
-def platform_hints(spark: SparkSession, run=subprocess.run) -> DataFrame:
-    """Hints of this machine; none where lsblk is missing or fails."""
-    rows: list[tuple] = []
-    try:
-        got = run(["lsblk", "-J", "-o", "NAME,MOUNTPOINT,MODEL,VENDOR,TRAN,ROTA"], capture_output=True, text=True, timeout=20)
-        if got.returncode == 0:
-            rows = lsblk_hints(got.stdout)
-    except (OSError, subprocess.SubprocessError, ValueError):
-        rows = []
-    return local_table(spark, rows, HINT)
+#: Rows of HINT and the document that they come from.
+DOCUMENT_HINT = f"doc string, {HINT}"
+
+_LSBLK = """
+WITH RECURSIVE nodes(doc, place, node, vendor, model, tran, rota) AS (
+  SELECT doc, array(pos), value, own.vendor, own.model, own.tran, own.rota
+  FROM {docs}, LATERAL variant_explode(try_variant_get(try_parse_json(text), '$.blockdevices', 'variant')) AS t(pos, key, value), LATERAL (SELECT __OWN__) own
+  WHERE key IS NULL
+  UNION ALL
+  SELECT doc, concat(place, array(t.pos)), t.value, coalesce(own.vendor, n.vendor), coalesce(own.model, n.model), coalesce(own.tran, n.tran), coalesce(own.rota, n.rota)
+  FROM nodes n, LATERAL variant_explode(try_variant_get(n.node, '$.children', 'variant')) AS t(pos, key, value), LATERAL (SELECT __OWN__) own
+  WHERE t.key IS NULL)
+SELECT * FROM nodes LIMIT ALL
+"""
+_OWN = ", ".join(f"nullif(trim(try_variant_get(t.value, '$.{c}', 'string')), '') AS {c}" for c in ("vendor", "model", "tran", "rota"))
+
+_CIM = """
+WITH parsed AS (SELECT doc, try_parse_json(text) AS v FROM {docs})
+SELECT doc, 0 AS pos, v AS node FROM parsed WHERE schema_of_variant(v) LIKE 'OBJECT%'
+UNION ALL SELECT doc, pos, value FROM parsed, LATERAL variant_explode(v) AS t(pos, key, value) WHERE key IS NULL
+"""
+
+
+def lsblk_rows(docs: DataFrame) -> DataFrame:
+    """docs: doc, text of `lsblk -J`.  Rows of DOCUMENT_HINT: one for each mount of each device, where children take over
+    what their parents say.  The tree is flattened in the engine, level by level; pos is the order of the document.  What
+    is no such document gives no rows."""
+    nodes = docs.sparkSession.sql(_LSBLK.replace("__OWN__", _OWN), docs=docs.select("doc", "text"))
+    text = lambda path: F.try_variant_get("node", path, "string")
+    mounts = F.array_distinct(F.filter(F.concat(F.array(text("$.mountpoint")), F.coalesce(F.try_variant_get("node", "$.mountpoints", "array<string>"), F.array().cast("array<string>"))),
+                                       lambda m: m.isNotNull() & (m != "")))
+    rows = nodes.withColumn("rotational", rotational(F.col("rota"))).select("*", F.posexplode(mounts).alias("_k", "mount_point"))
+    known = sum((F.col(c).isNotNull().cast("int") for c in ("vendor", "model", "tran", "rotational")), F.lit(0))
+    order = F.row_number().over(W.partitionBy("doc").orderBy("place", "_k")) - 1
+    return rows.select("doc", order.cast("int").alias("pos"), "mount_point", "vendor", "model", F.col("tran").alias("interface"), "rotational",
+                       F.least(F.lit(0.70) + 0.05 * known, F.lit(0.9)).alias("confidence"), F.lit("lsblk").alias("source"))
+
+
+def cim_rows(docs: DataFrame) -> DataFrame:
+    """docs: doc, text of a captured CIM query: one object or an array of them, under the names of either of its forms.
+    Rows of DOCUMENT_HINT; a record without a drive gives none."""
+    nodes = docs.sparkSession.sql(_CIM, docs=docs.select("doc", "text"))
+    field = lambda *names: F.coalesce(*(optional(F.try_variant_get("node", f"$.{n}", "string")) for n in names))
+    drive = F.regexp_replace(field("mount_point", "DriveLetter"), r"[:\\]+$", "")
+    rows = nodes.select("doc", "pos", F.concat(F.upper(drive), F.lit(":\\")).alias("mount_point"), field("vendor", "Manufacturer").alias("vendor"), field("model", "Model").alias("model"),
+                        field("interface", "BusType", "InterfaceType").alias("interface"),
+                        F.coalesce(rotational(field("rotational")), media_rotational(field("media_type", "MediaType"))).alias("rotational"))
+    known = sum((F.col(c).isNotNull().cast("int") for c in ("interface", "rotational", "model")), F.lit(0))
+    return rows.where(F.col("mount_point").isNotNull()).select("doc", F.col("pos").cast("int").alias("pos"), "mount_point", "vendor", "model", "interface", "rotational",
+                                                              F.least(F.lit(0.72) + 0.06 * known, F.lit(0.9)).alias("confidence"), F.lit("cim").alias("source"))
+
+
+#: By platform: the command whose output is hints, and how it is read.  CIM_QUERY prints mounts of all drives as JSON.
+CIM_QUERY = "Get-CimInstance Win32_DiskDrive | ForEach-Object { $d = $_; Get-CimAssociatedInstance -InputObject $d -ResultClassName Win32_DiskPartition | ForEach-Object { " \
+    "Get-CimAssociatedInstance -InputObject $_ -ResultClassName Win32_LogicalDisk | ForEach-Object { [pscustomobject]@{ mount_point = $_.DeviceID; model = $d.Model; " \
+    "vendor = $d.Manufacturer; interface = $d.InterfaceType; media_type = $d.MediaType } } } } | ConvertTo-Json -Compress"
+COMMANDS = {
+    "Linux": (["lsblk", "-J", "-o", "NAME,MOUNTPOINT,MODEL,VENDOR,TRAN,ROTA"], lsblk_rows),
+    "Windows": (["powershell", "-NoProfile", "-NonInteractive", "-Command", CIM_QUERY], cim_rows),
+}
+
+
+def platform_hints(spark: SparkSession, run=subprocess.run, system: str | None = None) -> DataFrame:
+    """Hints of this machine; none where its command is missing or fails, or the platform has none."""
+    command, read = COMMANDS.get(system or platform.system(), (None, None))
+    if command:
+        try:
+            got = run(command, capture_output=True, text=True, timeout=20)
+            if got.returncode == 0 and got.stdout.strip():
+                return landed(read(local_table(spark, [("", got.stdout)], "doc string, text string")).drop("doc"))
+        except (OSError, subprocess.SubprocessError):
+            pass
+    return local_table(spark, [], HINT)

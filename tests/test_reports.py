@@ -224,10 +224,27 @@ def test_markdown_shows_twenty_duplicates(spark):
     assert text.count("wasted") == 20 and "None." in text
 
 
-def test_lsblk_and_cim():
-    rows = devices.lsblk_hints(json.dumps({"blockdevices": [{"model": "M ", "tran": "nvme", "rota": False, "children": [{"mountpoint": "/", "mountpoints": ["/", "/home"]}]}]}))
-    assert [(r[1], r[3], r[4], r[5], round(r[6], 2)) for r in rows] == [("/", "M", "nvme", False, 0.85), ("/home", "M", "nvme", False, 0.85)]
-    assert devices.cim_hints('{"DriveLetter": "c", "MediaType": "SSD", "Model": "X"}')[0][1:] == ("C:\\", None, "X", None, False, 0.84, "cim")
+def test_lsblk_and_cim(spark):
+    tree_ = {"blockdevices": [{"model": "M ", "tran": "nvme", "rota": False, "mountpoint": "", "children": [
+        {"mountpoint": "/", "mountpoints": ["/", "/home", None], "vendor": "V", "children": [{"mountpoint": "/deep", "rota": "1", "children": [{"children": [{"mountpoint": "/deeper"}]}]}]}, {"mountpoint": "/b"}]}]}
+    docs = spark.createDataFrame([("one", json.dumps(tree_)), ("bad", "{"), ("none", None), ("other", '{"blockdevices": {"mountpoint": "/x"}}'), ("empty", '{"blockdevices": []}')], "doc string, text string")
+    got = [tuple(r) for r in devices.lsblk_rows(docs).orderBy("doc", "pos").collect()]
+    assert [(r[0], r[2], r[3], r[4], r[5], r[6], round(r[7], 2)) for r in got] == [
+        ("one", "/", "V", "M", "nvme", False, 0.9), ("one", "/home", "V", "M", "nvme", False, 0.9), ("one", "/deep", "V", "M", "nvme", True, 0.9), ("one", "/deeper", "V", "M", "nvme", True, 0.9),
+        ("one", "/b", None, "M", "nvme", False, 0.85)] and [r[1] for r in got] == [0, 1, 2, 3, 4]
+    cim = [("a", '{"DriveLetter": "c", "MediaType": "SSD", "Model": "X"}'), ("b", '[{"mount_point": "d:\\\\", "vendor": " V ", "interface": "USB", "media_type": "Fixed hard disk"}, {"Model": "no drive"}]'), ("c", "7"), ("d", "")]
+    got = {r["mount_point"]: tuple(r)[3:] for r in devices.cim_rows(spark.createDataFrame(cim, "doc string, text string")).collect()}
+    assert got == {"C:\\": (None, "X", None, False, 0.84, "cim"), "D:\\": ("V", None, "USB", True, 0.84, "cim")}
+
+
+def test_hints_of_a_platform(spark):
+    from types import SimpleNamespace
+
+    said = lambda text, code=0: lambda *a, **kw: SimpleNamespace(returncode=code, stdout=text)
+    lsblk = devices.platform_hints(spark, said('{"blockdevices": [{"mountpoint": "/", "model": "M"}]}'), "Linux").collect()
+    assert [(r["pos"], r["mount_point"], r["model"], r["source"]) for r in lsblk] == [(0, "/", "M", "lsblk")]
+    assert devices.platform_hints(spark, said('{"mount_point": "e:", "media_type": "ssd"}'), "Windows").first()["mount_point"] == "E:\\"
+    assert devices.platform_hints(spark, said("", 1), "Linux").count() == 0 and devices.platform_hints(spark, said("{}"), "Plan9").count() == 0
 
 
 def test_commands(spark, tmp_path, capsys):
