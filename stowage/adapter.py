@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .functions.scalars import extension, top_directory
 from .operators import classify, disks, duplicates, usage
 from .operators.mounts import match_mounts
-from .plans.policy import light_planning
 from .tables import landed, local_table
 
 AS_OF = "2026-02-11 00:00:00"
@@ -74,7 +73,6 @@ def enriched(spark, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
 def tables(spark, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     """The tables named (else all) of the one scan that a folder is, read from the folder anew at each call.  What has a row
     a root or disk is worked out once, since every rule reads it."""
-    light_planning(spark)
     made: dict[str, DataFrame] = {}
     f = files(spark, sf_dir)
 

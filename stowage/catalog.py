@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import adapter as a
-from . import schemas
+from . import lines, schemas
 from .functions import blake3
 from .functions import scalars as s
 from .operators import classify, duplicates, filters, mounts, usage
@@ -16,7 +17,7 @@ from .plans import diff, evaluate, policy, rules, scenario, trend
 from .sinks import ReportTable
 from .streaming import events as ev
 from .streaming import states
-from .tables import Commits, scratch
+from .tables import Commits, landed, scratch
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -620,6 +621,16 @@ def stored_snapshots(spark, d) -> DataFrame:
     return store.snapshots()[0].select("snap_pos", "scan_id", "free_space_bytes")
 
 
+@query(f"""SELECT '- ' || scan_id || ', ' || generated_at || ', roots ' || scan_id || ', ' || backend || ', ' || warnings_count || ' warnings, 0 recommendations' || CASE WHEN imported THEN ', imported' ELSE '' END AS line FROM ({SQL['stored_reports']})""")
+def report_lines(spark, d) -> DataFrame:
+    return lines.report_lines(_stored(spark, d).index())
+
+
+@query(f"""WITH {a.RECS} SELECT '- ' || risk_level || ' risk, ' || printf('%.2f', confidence::DOUBLE) || ', ' || CASE WHEN policy_safe THEN 'safe' ELSE 'blocked' END || ': ' || title || ' (' || rationale || ')' AS line FROM recs""")
+def recommendation_lines(spark, d) -> DataFrame:
+    return lines.recommendation_lines(a.recommendations(spark, d))
+
+
 # --- differences and trends
 
 
@@ -670,6 +681,27 @@ def trend_path(spark, d) -> DataFrame:
     return trend.path_growth(a.snapshots(spark, d)).select("id", "root_path", "growth_bytes", "days")
 
 
+_MOUNT_OF = {"/click": "/src0", "/error": "/src1-photos", "/purchase": "/src2-backup", "/signup": "/src3-projects", "/view": "/src5-archive"}
+_MOUNTED = "(VALUES " + ", ".join(f"('{k}', '{v}', '{re.sub('[^A-Za-z0-9]', '', v)}')" for k, v in _MOUNT_OF.items()) + ") m(own, mount, bare)"
+
+
+def _mounted_snapshots(spark, d) -> DataFrame:
+    """The snapshots, as if their series were mounts of the adapter."""
+    mount = F.coalesce(*(F.when(F.col("mount_point") == k, F.lit(v)) for k, v in _MOUNT_OF.items()))
+    return a.snapshots(spark, d).withColumns({"mount_point": mount, "root_path": mount, "scan_id": F.lit("earlier")})
+
+
+@query(f"""SELECT id, confidence, target_mount, policy_safe, evidence FROM ({SQL['recommendation_bundle']})
+UNION ALL SELECT 'disk-growth-' || m.bare, 0.75, m.mount, true, 'disk,history_delta,directory' FROM ({SQL['trend_disk']}) g JOIN {_MOUNTED} ON m.own = g.mount_point
+JOIN ({SQL['target_eligibility']}) e ON e.mount_point = m.mount WHERE e.eligible_for_local_target
+UNION ALL SELECT 'path-growth-' || m.bare, 0.78, NULL, true, 'history_delta' FROM ({SQL['trend_path']}) g JOIN {_MOUNTED} ON m.own = g.root_path""")
+def bundle_with_history(spark, d) -> DataFrame:
+    """The bundle of a scan that has a history: growth is found, judged like the rest, and stands on its change."""
+    snaps = landed(_mounted_snapshots(spark, d))
+    out = policy.recommend(a.tables(spark, d) | {"disk_snapshots": snaps, "path_snapshots": snaps}, small=True)["recommendations"]
+    return out.select("id", r6("confidence"), "target_mount", "policy_safe", F.array_join("evidence.kind", ",").alias("evidence"))
+
+
 # --- events
 
 

@@ -62,7 +62,3 @@ def report_diff(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> dict
         "recommendation_changes": recommendation_changes(left["recommendations"], right["recommendations"]),
         "waste": waste_delta(left["duplicate_groups"], right["duplicate_groups"]),
     }
-
-
-def presence(in_left: Column, in_right: Column) -> Column:
-    return F.when(in_left & in_right, "both").when(in_left, "left").otherwise("right")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import EVIDENCE, _flat
-from ..tables import landed
+from ..tables import landed, temporary
 
 SAFE, ROLE, AGAIN = "safe_target_policy", "role_aware_target_policy", "contradiction_detector"
 COLD_ROLES = ("media_library", "archive", "backup_target")
@@ -113,33 +113,27 @@ def enrich(recs: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
 SHARED = ("disks", "paths", "path_directories", "categories", "duplicate_groups")
 
 
-def light_planning(spark) -> None:
-    """Turns constraint inference off in this session: over the long CASE chains of disks and roles it takes the planner
-    minutes, and the tables that they stand on have a row a disk or root."""
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-
-
 def settled(t: dict[str, DataFrame], small: bool = False) -> dict[str, DataFrame]:
-    """t with the shared tables kept once they are made: else each rule would work them out again."""
+    """t with the shared tables written once they are made: else each rule would work them out again.  They go when the
+    driver ends, and nothing is cached."""
     from .rules import scores
 
-    light_planning(t["disks"].sparkSession)
     if small:
         return t | {"scores": landed(scores(t))}
-    t = t | {k: t[k].persist() for k in SHARED if k in t}
-    return t | {"scores": scores(t).persist()}
+    t = t | {k: temporary(t[k], k) for k in SHARED if k in t}
+    return t | {"scores": temporary(scores(t), "scores")}
 
 
 def recommend(t: dict[str, DataFrame], rules=None, small: bool = False) -> dict[str, DataFrame]:
     """The bundle: recommendations, rule_traces, policy_decisions, contradictions.  History is part of t, never read from
     the machine.  small: t is of one scan and its tables (but for duplicate groups) are local ones, so scores and
-    candidates, a row a disk or rule, are made local too and nothing is cached."""
+    candidates, a row a disk or rule, are made local too."""
     from . import rules as r
 
     rules = rules or r.RULES
     t = settled(t, small)
     cand = r.candidates(t, rules)
-    cand = landed(cand) if small else cand.persist()
+    cand = landed(cand) if small else temporary(cand, "candidates")
     out = enforce(cand, t["disks"])
     ran = r.traces(t, cand, rules).select("scan_id", F.col("rule_pos").cast("bigint").alias("a"), F.coalesce("pos", F.lit(0)).cast("bigint").alias("b"), "rule_id", "status", "detail", "recommendation_id", "confidence")
     refused = out["rejection_traces"].select("scan_id", F.lit(1_000).cast("bigint").alias("a"), F.col("pos").cast("bigint").alias("b"), "rule_id", "status", "detail", "recommendation_id", F.lit(None).cast("double").alias("confidence"))

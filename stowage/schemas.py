@@ -142,7 +142,7 @@ def tables(reports: DataFrame) -> dict[str, DataFrame]:
         "path_largest_files": paths.select("scan_id", F.col("pos").alias("path_pos"), "root_path", F.posexplode("largest_files.entries").alias("pos", "_f")).select("scan_id", "path_pos", "root_path", "pos", "_f.*"),
         "categories": rows("categories"),
         "duplicate_groups": dups.select("scan_id", "pos", "size_bytes", "hash", "total_wasted_bytes", F.col("intent.label").alias("intent"), (F.size("files") + F.coalesce("more_files", F.lit(0))).alias("file_count"), F.col("files")[0].alias("first_file")),
-        "duplicate_files": dups.select("scan_id", F.col("pos").alias("group_pos"), "hash", F.posexplode("files").alias("pos", "_f")).select("scan_id", "group_pos", "hash", "pos", "_f.*"),
+        "duplicate_files": dups.select("scan_id", F.col("pos").alias("group_pos"), "size_bytes", "hash", F.posexplode("files").alias("pos", "_f")).select("scan_id", "group_pos", "size_bytes", "hash", "pos", "_f.*"),
         "recommendations": recs.select("*", F.col("estimated_impact.space_saving_bytes").alias("space_saving_bytes")),
         "evidence": recs.select("scan_id", "id", F.posexplode("evidence").alias("pos", "_e")).select("scan_id", "id", "pos", "_e.*"),
         "policy_decisions": rows("policy_decisions"),

@@ -84,7 +84,6 @@ def scan_tables(spark: SparkSession, opts: ScanOptions, scan_id: str, as_of: dat
     """The tables of one scan, from the walk (or a tree that was walked before) to the categories; files and duplicate
     groups stay lazy, what has a row a root, disk or retained directory is worked out.  With a backend other than native,
     and no excludes, the sizes of roots and directories come from the rollup of the whole tree; all else is the same."""
-    policy.light_planning(spark)
     probes = devices.probe_disks(spark, scan_id) if probes is None else probes
     # disks, roots, retained directories and suggestions are few rows that much is made from: each is worked out once
     enriched = landed(disks.enrich(probes, devices.platform_hints(spark) if hints is None else hints))
@@ -300,8 +299,12 @@ def compare(left: DataFrame, right: DataFrame) -> dict[str, DataFrame]:
     return diff.report_diff(schemas.tables(left), schemas.tables(right))
 
 
+def own_disks(spark: SparkSession) -> DataFrame:
+    return disks.enrich(devices.probe_disks(spark, "doctor"), devices.platform_hints(spark))
+
+
 def doctor(spark: SparkSession) -> dict:
-    rows = [r.asDict() for r in disks.enrich(devices.probe_disks(spark, "doctor"), devices.platform_hints(spark)).orderBy("mount_point").collect()]
+    rows = [r.asDict() for r in own_disks(spark).orderBy("mount_point").collect()]
     return {"os": platform.system().lower(), "arch": platform.machine(), "current_dir": os.getcwd(), "os_mount": "/", "read_only_mode": True, "disks": rows,
             "notes": [*NOTES, *(["No disk was found."] if not rows else [])]}
 

@@ -51,9 +51,3 @@ def running_counters(roots: DataFrame) -> DataFrame:
 def count_phases_live(events: DataFrame, name: str, checkpoint: str):
     """A running streaming query that keeps phase counts in the memory table `name`."""
     return phase_counts(events).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def windowed_progress(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
-    """An extension: events by window of their timestamp, late ones dropped after the watermark."""
-    return (events.withColumn("ts", F.try_to_timestamp("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "phase")
-            .agg(F.count(F.lit(1)).alias("events"), F.max("scanned_bytes").alias("scanned_bytes")))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import filters
+
 #: Folder names below the user's state folder.
 APP, STORE = "stowage", "reports"
 
@@ -52,6 +55,39 @@ def appended(items: list[str], item: str) -> list[str]:
     return items if not item or item in items else [*items, item]
 
 
+@dataclass(frozen=True)
+class View:
+    """What a user has opened and how it is narrowed: the texts and choices of the lists of a report."""
+
+    scan_id: str | None = None
+    report_path: str | None = None
+    recommendation_id: str | None = None
+    usage: str = ""
+    duplicates: str = ""
+    recommendations: str = ""
+    policy: str = "all"
+    evidence: str = "all"
+    trace_status: str = "all"
+    trace_recommendation: str = "all"
+    tab: str = "recommendations"
+
+
+def opened(scan_id: str, recommendations: DataFrame, path: str | None = None) -> View:
+    """The view of a report that was just loaded: nothing is narrowed, whatever was before, and its first recommendation is
+    chosen."""
+    first = recommendations.where(F.col("scan_id") == scan_id).orderBy("pos").select("id").first()
+    return View(scan_id, (path or "").strip() or None, first["id"] if first else None)
+
+
+def narrowed(view: View, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The lists of a view: paths, duplicate_groups (by their files in duplicate_files), recommendations and rule_traces of
+    its report."""
+    mine = {k: v.where(F.col("scan_id") == view.scan_id) for k, v in t.items()}
+    return {"paths": filters.search_usage(mine["paths"], view.usage), "duplicate_groups": filters.search_duplicates(mine["duplicate_groups"], view.duplicates, mine["duplicate_files"]),
+            "recommendations": filters.filter_recommendations(mine["recommendations"], view.recommendations, view.policy, view.evidence),
+            "rule_traces": filters.filter_traces(mine["rule_traces"], view.trace_status, view.trace_recommendation)}
+
+
 def of_recommendation(bundle: dict[str, DataFrame], disks: DataFrame, recommendation_id: str) -> dict[str, DataFrame]:
     """The recommendation, its policy decisions, its traces, and the disk that it aims at."""
     rec = bundle["recommendations"].where(F.col("id") == recommendation_id)
