@@ -1,6 +1,7 @@
-"""Periodic runs and vector codes against plain versions, and their edge cases."""
+"""Periodic runs, vector codes and cells of vectors against plain versions, and their edge cases."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stowage.llm import periodic_runs, queries, vector_codes
+from stowage.llm import embedding_dedup, periodic_runs, queries, vector_codes
 
 # --- periodic runs
 
@@ -174,3 +175,56 @@ def test_label_sums_by_the_plan_for_many_labels(spark, monkeypatch):
     small = sorted(map(str, vector_codes._labelled(codes).collect()))
     monkeypatch.setattr(vector_codes, "is_few", lambda t: False)
     assert sorted(map(str, vector_codes._labelled(codes).collect())) == small
+
+
+# --- cells of the embedding search
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_given_labels_are_searched_in_several_cells(sf):
+    """What a task of the registered query does with the labels of the given tables: k-means cells, none of them all."""
+    import duckdb
+
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    for label, vecs in duckdb.sql(f"SELECT label, list(embedding ORDER BY vec_id) FROM '{path}' WHERE label IS NOT NULL GROUP BY label ORDER BY label").fetchall():
+        x = np.array([v for v in vecs if v and None not in v and np.isfinite(v).all() and any(v)], dtype=np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        home, near = embedding_dedup.cells_of(x, float(np.sqrt(2 - 2 * embedding_dedup.LIMIT)))
+        assert near.shape[1] == embedding_dedup.n_cells(len(x)) >= 8 and len(set(home.tolist())) > 1, label
+        i, j = np.nonzero(x @ x.T >= embedding_dedup.LIMIT)
+        assert near[j, home[i]].all()  # no link is lost
+    assert [embedding_dedup.n_cells(n) for n in (2, 500, 640, 10**9)] == [8, 8, 10, 128] and [embedding_dedup.n_regions(n) for n in (1, 8193, 10**9)] == [1, 2, 1024]
+
+
+def test_cells_prune_vectors_with_clusters():
+    r = np.random.default_rng(3)
+    centre = r.normal(size=(12, 32))
+    x = np.concatenate([c + 0.02 * r.normal(size=(90, 32)) for c in centre])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, near = embedding_dedup.cells_of(x, float(np.sqrt(2 - 2 * 0.93)))
+    assert near.mean() < 0.5
+
+
+def test_packed_vectors_are_exact():
+    for a in (np.array([0.1, 0.2]), np.array([0.5, -0.25]), np.array([1e300, 0.0]), np.float32([0.1, 0.7]).astype(np.float64)):
+        assert (embedding_dedup.unit([embedding_dedup.packed(a)], 2) == embedding_dedup.unit([a.tobytes()])).all()
+    assert len(embedding_dedup.packed(np.float32([0.1, 0.7]).astype(np.float64))) == 8 and len(embedding_dedup.packed(np.array([0.1, 0.2]))) == 16
+
+
+def test_the_sample_is_bounded_where_ids_are_null(spark, monkeypatch):
+    """Many rows under one (null) id: the sample goes by vector too, and is no larger than its bound."""
+    r = np.random.default_rng(8)
+    near = np.eye(4)
+    rows = [(None, (near[i % 4] + 0.01 * r.normal(size=4)).tolist(), 0) for i in range(4000)] + [(1, [1.0, 0.0, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 1000)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 50)
+    seen = []
+    fit = embedding_dedup.spherical_kmeans
+    monkeypatch.setattr(embedding_dedup, "spherical_kmeans", lambda x, k, *a: (seen.append((len(x), k)), fit(x, k, *a))[1])
+    got = embedding_dedup.embedding_dedup(df).collect()
+    assert seen == [(50, 5)] and len(got) == 4001
+    one = next(x for x in got if x["vec_id"] == 1)
+    assert one["n_links"] == 1000 and sum(x["n_links"] for x in got if x["vec_id"] is None) == 1000  # rows of one id link with others only
