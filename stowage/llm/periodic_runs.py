@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import python_side
 
 MIN_LENGTH, MIN_EXPONENT = 6, 4
-BLOCK = 200_000
+BLOCK = 100_000
 #: Places looked at one by one for a next smaller value, before the table of minima takes over.
 STEPS = 8
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
