@@ -131,7 +131,8 @@ class ReportTable:
         """Rows that no later put replaces: of each scan the last put, by an anti-join with those it replaces."""
         last = rows.groupBy("scan_id").agg(F.max("put").alias("_last"))
         older = last.select(F.col("scan_id").alias("_scan"), "_last")
-        return rows.join(older, (F.col("scan_id") == F.col("_scan")) & (F.col("put") < F.col("_last")), "left_anti").where(~F.col("removed"))
+        kept = rows.join(older, (F.col("scan_id") == F.col("_scan")) & (F.col("put") < F.col("_last")), "left_anti").where(~F.col("removed"))
+        return kept.dropDuplicates(["scan_id", "put"])  # a compaction that is under way, or was lost, holds rows twice
 
     def current(self) -> DataFrame:
         """The present reports, one a scan."""
@@ -160,7 +161,8 @@ class ReportTable:
 
     def compact(self) -> None:
         """What is present now becomes one commit, and the commits that it was read from go; what others put meanwhile
-        stays.  Their puts keep their names, so a later put still wins."""
+        stays.  Their puts keep their names, so a later put still wins.  The oldest commits go first, so one that was lost
+        brings back nothing that was removed.  One compaction runs at a time."""
         names = self.log.names()
         if len(names) < 2:
             return

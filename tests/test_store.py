@@ -66,6 +66,22 @@ def test_compaction_keeps_what_is_put_meanwhile(spark, tmp_path):
     assert ("a", "2026-02-01T00:00:00Z", False) in listed(store) and len(listed(store)) == 4
 
 
+def test_a_compaction_that_was_lost_changes_nothing(spark, tmp_path, monkeypatch):
+    store = ReportTable(spark, str(tmp_path))
+    for k in range(3):
+        store.put(made(spark, report("a", generated_at=f"2026-01-0{k + 1}T00:00:00Z"), report(f"s{k}")))
+    store.remove(store.current().where("scan_id = 's0'"))
+    before, names = listed(store), store.log.names()
+    drop = store.log.drop
+    for lost in (0, 2):  # before any commit went, and after some
+        monkeypatch.setattr(store.log, "drop", lambda n, lost=lost: drop(n[:lost]))
+        store.compact()
+        assert listed(store) == before and len(store.log.names()) >= len(names) - lost
+    monkeypatch.setattr(store.log, "drop", drop)
+    store.compact()
+    assert listed(store) == before and len(store.log.names()) == 1 and {x[0] for x in before} == {"a", "s1", "s2"}
+
+
 def test_history_and_orphans(spark, tmp_path):
     store = ReportTable(spark, str(tmp_path))
     for k in (2, 0, 1):
