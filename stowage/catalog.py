@@ -442,9 +442,12 @@ FROM orders GROUP BY 1) ORDER BY generated_at DESC LIMIT 10""")
 def report_index_latest(spark, d) -> DataFrame:
     """A report a month goes through the store; the latest ten of its index."""
     o = a.table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("scan_id")).agg(s.utc_text(F.max("o_orderdate")).alias("generated_at"), F.count(F.lit(1)).alias("n"))
-    rec = F.element_at(F.col("j.recommendations"), 1)
-    one = F.from_json(F.lit('{"recommendations": [{"id": "x"}]}'), schemas.REPORT_SCHEMA)
-    made = o.withColumn("j", one).select("scan_id", "generated_at", F.lit("1.2.0").alias("report_version"), F.array_repeat(rec, F.col("n").cast("int")).alias("recommendations"))
+    rec = F.from_json(F.lit('{"recommendations": [{"id": "x"}]}'), schemas.REPORT_SCHEMA)["recommendations"][0]
+    # a month's recommendations come in parts, dealt over all tasks, so no row or task has them all
+    part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / ReportTable.PIECE))).alias("part")
+    parts = o.select("scan_id", "generated_at", "n", part).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "scan_id", "part")
+    some = F.least(F.col("n") - F.col("part") * ReportTable.PIECE, F.lit(ReportTable.PIECE)).cast("int")
+    made = parts.select("scan_id", "part", "generated_at", F.lit("1.2.0").alias("report_version"), F.array_repeat(rec, some).alias("recommendations"))
     store = ReportTable(spark, scratch(spark, "months"))
     store.put(made)
     return store.index().select("scan_id", "generated_at", "recommendation_count").orderBy(F.desc("generated_at")).limit(10)

@@ -101,9 +101,17 @@ class ReportStore:
 class ReportTable:
     """Reports as a table of commits: rows are written by the executors, and a put is seen when all of it is there.  Two
     writers at once lose nothing, since each adds a commit of its own; of several reports of a scan the last put counts.
-    Removal is a put too.  index() and snapshots() read only the columns they need."""
-
-    SCHEMA = f"put string, removed boolean, imported boolean, source_path string, {schemas.REPORT_SCHEMA}"
+    Removal is a put too.  A report is one row or more: lists of over PIECE entries go on in further rows, so neither a row
+    nor a batch of rows that is read grows with them.  Each row says how long its lists are; index() and snapshots() read
+    only the columns they need, and no list for its length."""
+
+    #: Entries of each list that one row holds.
+    PIECE = 64
+    LISTS = ("disks", "paths", "categories", "duplicates", "recommendations", "policy_decisions", "rule_traces", "warnings")
+    #: copy: one report of a put; part, piece: the order of its rows.
+    SCHEMA = ("put string, removed boolean, imported boolean, source_path string, copy string, part bigint, piece bigint, warnings_count bigint, "
+              f"recommendation_count bigint, {schemas.REPORT_SCHEMA}")
+    KEY = ("scan_id", "put", "copy", "part", "piece")
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.log = spark, Commits(spark, f"{folder}/report_table", self.SCHEMA)
@@ -114,13 +122,26 @@ class ReportTable:
 
     def _write(self, rows: DataFrame, removed: bool, imported: bool, source: str | None) -> str:
         name = self._name()
-        head = [F.lit(name).alias("put"), F.lit(removed).alias("removed"), F.lit(imported).alias("imported"), F.lit(source).cast("string").alias("source_path")]
-        names = [f.name for f in StructType.fromDDL(schemas.REPORT_SCHEMA)]
-        self.log.append(rows.select(*head, *(F.col(n) if n in rows.columns else F.lit(None).alias(n) for n in names)).to(StructType.fromDDL(self.SCHEMA)), name)
+        head = {"put": F.lit(name), "removed": F.lit(removed), "imported": F.lit(imported), "source_path": F.lit(source).cast("string")}
+        # rows without a part are a report each; rows with one are the report of their scan
+        rows = rows.withColumns({"copy": F.lit("")} if "part" in rows.columns else {"copy": F.uuid(), "part": F.lit(0).cast("bigint")})
+        fields = StructType.fromDDL(schemas.REPORT_SCHEMA)
+        rows = rows.select("copy", "part", *(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
+        lists, others = self.LISTS, [f.name for f in fields if f.name not in self.LISTS]
+        longest = F.greatest(F.lit(1), *(F.coalesce(F.size(n), F.lit(0)) for n in lists))
+        last = F.floor((longest - 1) / self.PIECE)
+        cut = lambda i: F.struct(i.alias("piece"), *(F.slice(n, i.cast("int") * self.PIECE + 1, self.PIECE).alias(n) for n in lists))
+        whole = F.array(F.struct(F.lit(0).cast("bigint").alias("piece"), *lists))
+        rows = rows.select("copy", "part", *others, F.inline(F.when(longest > self.PIECE, F.transform(F.sequence(F.lit(0).cast("bigint"), last), cut)).otherwise(whole)))
+        counts = {"warnings_count": F.size("warnings"), "recommendation_count": F.size("recommendations")}
+        rows = rows.withColumns(head | {k: F.coalesce(v, F.lit(0)).cast("bigint") for k, v in counts.items()})
+        self.log.append(rows.to(StructType.fromDDL(self.SCHEMA)), name)
         return name
 
     def put(self, reports: DataFrame, imported: bool = False, source: str | None = None) -> str:
-        """reports: REPORT_SCHEMA (missing columns are null).  The name of the put."""
+        """reports: REPORT_SCHEMA (missing columns are null), one row a report; with a column `part` (bigint), a report may
+        come in several rows of its scan, whose lists go together by part and whose other fields are those of the first.
+        The name of the put."""
         return self._write(reports.withColumn("scan_id", F.coalesce("scan_id", F.lit("unknown"))), False, imported, source)
 
     def remove(self, scans: DataFrame) -> str:
@@ -128,33 +149,47 @@ class ReportTable:
         return self._write(scans.select("scan_id").distinct(), True, False, None)
 
     def _last(self, rows: DataFrame) -> DataFrame:
-        """Rows that no later put replaces: of each scan the last put, by an anti-join with those it replaces."""
-        last = rows.groupBy("scan_id").agg(F.max("put").alias("_last"))
+        """Rows that no later put replaces: of each scan the last put (and one copy of it), by an anti-join with those it
+        replaces."""
+        last = rows.groupBy("scan_id").agg(F.max(F.struct("put", "copy")).alias("_last"))
         older = last.select(F.col("scan_id").alias("_scan"), "_last")
-        kept = rows.join(older, (F.col("scan_id") == F.col("_scan")) & (F.col("put") < F.col("_last")), "left_anti").where(~F.col("removed"))
-        return kept.dropDuplicates(["scan_id", "put"])  # a compaction that is under way, or was lost, holds rows twice
+        kept = rows.join(older, (F.col("scan_id") == F.col("_scan")) & (F.struct("put", "copy") < F.col("_last")), "left_anti").where(~F.col("removed"))
+        return kept.dropDuplicates(list(self.KEY))  # a compaction that is under way, or was lost, holds rows twice
 
     def current(self) -> DataFrame:
-        """The present reports, one a scan."""
-        return self._last(self.log.read()).drop("put", "removed", "imported", "source_path")
+        """The present reports, one a scan, with their whole lists: what is long is better read by rows()."""
+        rows = self.rows()
+        fields = [f.name for f in StructType.fromDDL(schemas.REPORT_SCHEMA)]
+        # pieces in order; a list that is null in all of them is null
+        got = F.array_sort(F.collect_list(F.struct("part", "piece", *self.LISTS)))
+        first = [F.min_by(n, F.struct("part", "piece")).alias(n) for n in fields if n not in self.LISTS and n != "scan_id"]
+        whole = rows.groupBy("scan_id").agg(*first, got.alias("_rows"))
+        joined = lambda n: F.flatten(F.filter(F.transform("_rows", lambda r: r[n]), lambda x: x.isNotNull()))
+        some = lambda n: F.exists("_rows", lambda r: r[n].isNotNull())
+        return whole.select(*(F.when(some(n), joined(n)).alias(n) if n in self.LISTS else F.col(n) for n in fields))
+
+    def rows(self) -> DataFrame:
+        """The present reports as they are stored: of each one row or more (part, piece), lists in pieces."""
+        return self._last(self.log.read()).drop("put", "removed", "imported", "source_path", "copy", "warnings_count", "recommendation_count")
 
     def index(self) -> DataFrame:
         """One row a scan, of INDEX_SCHEMA; stored_report_path is the put's folder."""
-        rows = self.log.read().select("put", "removed", "scan_id", "generated_at", "report_version", F.col("scan.roots").alias("roots"), F.coalesce("scan.backend", F.lit("native")).alias("backend"),
-                                      F.coalesce(F.size("warnings"), F.lit(0)).cast("bigint").alias("warnings_count"),
-                                      F.coalesce(F.size("recommendations"), F.lit(0)).cast("bigint").alias("recommendation_count"),
-                                      F.concat(F.lit(f"{self.log.folder}/"), "put").alias("stored_report_path"), "source_path", "imported")
-        return self._last(rows).select(*(f.split()[0] for f in schemas.INDEX_SCHEMA.split(", ")))
+        rows = self.log.read().select("removed", *self.KEY, "generated_at", "report_version", F.col("scan.roots").alias("roots"), F.coalesce("scan.backend", F.lit("native")).alias("backend"),
+                                      "warnings_count", "recommendation_count", F.concat(F.lit(f"{self.log.folder}/"), "put").alias("stored_report_path"), "source_path", "imported")
+        names = [f.split()[0] for f in schemas.INDEX_SCHEMA.split(", ")]
+        made = [F.sum(n).alias(n) if n in ("warnings_count", "recommendation_count") else F.min_by(n, F.struct("part", "piece")).alias(n) for n in names[1:]]
+        return self._last(rows).groupBy("scan_id").agg(*made).select(*names)
 
     def get(self, scan_id: str) -> DataFrame:
         return self.current().where(F.col("scan_id") == scan_id)
 
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         """disk_snapshots and path_snapshots of all present reports, numbered by their time of generation."""
-        rows = self._last(self.log.read().select("put", "removed", "scan_id", "generated_at", "disks", "paths"))
+        rows = self._last(self.log.read().select("removed", *self.KEY, "generated_at", "disks", "paths"))
         order = F.row_number().over(W.orderBy("generated_at", "scan_id"))
-        pos = rows.select("scan_id", "generated_at").withColumn("snap_pos", order - 1).select("scan_id", "snap_pos")  # a row a report, two short columns
-        rows = rows.join(pos, "scan_id")
+        heads = rows.groupBy("scan_id").agg(F.min_by("generated_at", F.struct("part", "piece")).alias("generated_at"))
+        pos = heads.withColumn("snap_pos", order - 1).select("scan_id", "snap_pos", "generated_at")  # a row a report, three short columns
+        rows = rows.drop("generated_at").join(pos, "scan_id")
         d = rows.select("snap_pos", "scan_id", "generated_at", F.explode("disks").alias("d")).select("snap_pos", "scan_id", "generated_at", "d.mount_point", "d.total_space_bytes", "d.free_space_bytes")
         p = rows.select("snap_pos", "scan_id", "generated_at", F.explode("paths").alias("p")).select("snap_pos", "scan_id", "generated_at", "p.root_path", "p.total_size_bytes", "p.file_count")
         return d, p

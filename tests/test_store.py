@@ -91,3 +91,29 @@ def test_history_and_orphans(spark, tmp_path):
     paths = [(r["stored_report_path"],) for r in store.index().collect()]
     gone = spark.createDataFrame([*paths, ("/elsewhere",)], "path string")
     assert [r["path"] for r in store.orphans(gone).collect()] == ["/elsewhere"]
+
+
+def test_long_lists_are_stored_in_pieces_and_counted_without_being_read(spark, tmp_path):
+    store, n = ReportTable(spark, str(tmp_path)), 5 * ReportTable.PIECE + 3
+    texts = [f"w{k}" for k in range(n)]
+    store.put(made(spark, report("long", [disk(f"D{k}", f"/d{k}", 100, k) for k in range(ReportTable.PIECE + 1)], warnings=texts), report("short", warnings=["x"])))
+    assert store.log.read().selectExpr("max(size(warnings))").first()[0] == ReportTable.PIECE
+    assert {r["scan_id"]: r["warnings_count"] for r in store.index().collect()} == {"long": n, "short": 1}
+    plan = store.index()._jdf.queryExecution().executedPlan().toString()
+    assert "warnings_count" in plan and "warnings:array" not in plan and "recommendations:array" not in plan
+    got = store.get("long").first()
+    assert got["warnings"] == texts and len(got["disks"]) == ReportTable.PIECE + 1 and got["policy_decisions"] is not None and got["paths"] == []
+    assert sorted(r["free_space_bytes"] for r in store.snapshots()[0].collect()) == list(range(ReportTable.PIECE + 1))
+    store.remove(store.current().where("scan_id = 'short'"))
+    store.compact()
+    assert store.get("long").first()["warnings"] == texts and [x[0] for x in listed(store)] == ["long"]
+
+
+def test_a_report_that_comes_in_parts_is_one(spark, tmp_path):
+    store = ReportTable(spark, str(tmp_path))
+    parts = spark.createDataFrame([("s", 1, "t", ["c"]), ("s", 0, "t", [str(k) for k in range(70)]), ("s", 2, "t", ["d"])], "scan_id string, part bigint, generated_at string, warnings array<string>")
+    store.put(parts)
+    assert [(r["scan_id"], r["generated_at"], r["warnings_count"], r["recommendation_count"]) for r in store.index().collect()] == [("s", "t", 72, 0)]
+    assert store.get("s").first()["warnings"] == [*(str(k) for k in range(70)), "c", "d"]
+    store.put(made(spark, report("s", warnings=["only"]), report("s", warnings=["only"])))  # two of a scan in one put: one of them counts
+    assert [r["warnings_count"] for r in store.index().collect()] == [1] and store.get("s").first()["warnings"] == ["only"]
