@@ -8,6 +8,8 @@
    if there are at most NODE of them; if there are more, all documents of the node branch on, each by the tokens that
    BRANCH further hashes put first.  At level LEVELS they are compared however many there are: nothing is capped.  Comparison is by bottom-k sketches
    against a threshold well below the wanted similarity; it emits, for each node, a star a component, never all pairs.
+   The first level of the FIRST trees is compared before all else; from there on what its stars connect is known, and a
+   node emits only what joins known components, so copies make a star once and not in every tree and level.
    The stars' components are the candidate clusters.
 3. Links are confirmed on the full sets of each cluster, recomputed from the whole texts: clusters of up to GROUP
    documents and BYTES of text in one go, larger ones in blocks with pivots, then every document outside the cluster's
@@ -33,6 +35,8 @@ from .graph import connected_components, stars
 from .shingles import mix, shingle_sets
 
 TREES, LEVELS, BRANCH, NODE = 14, 4, 2, 256
+#: Trees whose first level says what is known to be connected.
+FIRST = 2
 #: Documents and bytes of text that are compared at once on full sets; blocks that one cluster's rest may fill.
 GROUP, BYTES, PARTS = 256, 16 << 20, 8
 #: Values of a sketch, and the likeness below which two are no candidates: 5 standard errors below 0.75.
@@ -84,10 +88,14 @@ def _branches(nodes: DataFrame, level: int) -> DataFrame:
         "id", "tokens", "tree", F.xxhash64("node", "_b", "_t").alias("node"))
 
 
-def _alike(rows: list[bytes], width: int = SKETCH, looks: float = LOOKS) -> list[tuple[int, int]]:
+def _alike(rows: list[bytes], known: list[int], width: int = SKETCH, looks: float = LOOKS) -> list[tuple[int, int]]:
     """Stars (position, smallest position of its component) of rows whose sketches look alike: by the share, of the
     `width` smallest values of two rows, that are in both; sets of up to `width` shingles are whole in their sketches.
-    Rows that are connected already are not compared again."""
+    Rows that are connected already, by the component known of each or here, are not compared again."""
+    _, first, of = np.unique(np.array(known, dtype=np.int64), return_index=True, return_inverse=True)
+    label = first[of]
+    if len(first) == 1:
+        return [(int(i), int(c)) for i, c in enumerate(label) if i != c]
     values = [np.frombuffer(r, dtype=np.uint32) for r in rows]
     n, sizes = len(values), np.array([len(v) for v in values])
     every, where, held_by = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
@@ -99,7 +107,6 @@ def _alike(rows: list[bytes], width: int = SKETCH, looks: float = LOOKS) -> list
     # the values up to the smaller of two last ones hold one of the sketches, so fewer common ones are too few
     maybe = has @ has.T >= looks * np.minimum(sizes[:, None], sizes[None, :])
     last = np.array([v[-1] if len(v) == width else 0xFFFFFFFF for v in values], dtype=np.uint32)
-    label = np.arange(n)
     for i in range(n - 1):
         js = i + 1 + np.flatnonzero(maybe[i, i + 1:] & (label[i + 1:] != label[i]))
         if not len(js):
@@ -138,7 +145,8 @@ def groups(batches, key: str):
 
 def _compare(batches, near):
     """For each node or block the stars that near(table) finds: a the smallest id of a component, b another one of it.  `far`
-    rows are documents of a block with pivots that are not in the component of the first pivot."""
+    rows are documents of a block with pivots that are not in the component of the first pivot.  Rows may say what component
+    they are `known` to be in: a star then has one member of each."""
     cols: tuple[list, ...] = ([], [], [], [], [])
     for t in groups(batches, "key"):
         if t.num_rows < 2:
@@ -150,8 +158,11 @@ def _compare(batches, near):
             label[i] = c
         # where the rest of a node meets it, what is connected without that rest was found before
         told = {c for p, c in zip(pivots, label, strict=True) if p < 0} if min(pivots) < 0 else set(label)
+        known = t["known"].to_pylist() if "known" in t.schema.names else ids
+        had = {(c, known[c]) for c in told}
         for i, c in enumerate(label):
-            if ids[i] != ids[c] and c in told:
+            if c in told and (c, known[i]) not in had:
+                had.add((c, known[i]))
                 for col, x in zip(cols, (ids[c], ids[i], False, node, big), strict=True):
                     col.append(x)
         if max(pivots) > 0:
@@ -240,17 +251,25 @@ def candidate_clusters(reps: DataFrame, width: int = SKETCH, looks: float = LOOK
     """reps (written): id, tokens, sketch of `width` values.  Returns id, node: the candidate clusters with two documents
     or more."""
     spark = reps.sparkSession
-    sketches = reps.select("id", F.col("sketch").alias("body"), F.lit(False).alias("big"))
+    sketches = reps.select("id", F.col("sketch").alias("body"), F.lit(False).alias("big"), F.col("id").alias("known"))
 
     def compared(rows: DataFrame, held: DataFrame) -> DataFrame:
-        return _by_block(spark, rows.join(held, "id"), lambda t: _alike(t["body"].to_pylist(), width, looks))
-
-    nodes, small, edges, held = _roots(reps), [], [], None
+        return _by_block(spark, rows.join(held, "id"), lambda t: _alike(t["body"].to_pylist(), t["known"].to_pylist(), width, looks))
+
+    nodes = _roots(reps)
+    every = nodes.where(F.col("tree") < FIRST).select("id", "node")
+    here = written(every.join(every.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "node"), "nodes")
+    large = here.where(F.col("n") > NODE).select("node", "id")
+    rows = here.where(F.col("n") <= NODE).select(F.col("node").alias("key"), "node", "id", F.lit(0).alias("pivot")).unionByName(_blocks(large, written(_pivots(large, NODE), "pivots")))
+    stars_ = written(compared(rows, sketches).where("not far"), "first")
+    known = connected_components(stars_.select("a", "b")).withColumnRenamed("component_id", "known")
+    sketches = written(sketches.drop("known").join(known.hint("merge"), "id", "left").withColumn("known", F.coalesce("known", "id")), "sketches")
+    small, edges, held = [], [stars_], None
     for level in range(1, LEVELS + 1):
-        every = nodes.select("id", "node") if level == 1 else written(nodes.select("id", "node"), "branches")
+        every = nodes.select("id", "node", "tree") if level == 1 else written(nodes.select("id", "node", "tree"), "branches")
         counts = every.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         here = written(every.join(counts, "node"), "nodes")
-        small.append(here.where(F.col("n") <= NODE).select("node", "id"))
+        small.append(here.where((F.col("n") <= NODE) & (F.lit(level > 1) | (F.col("tree") >= FIRST))).select("node", "id"))
         large = here.where(F.col("n") > NODE).select("node", "id")
         sizes = written(_pivots(large, NODE), "pivots")
         if sizes.isEmpty():

@@ -183,6 +183,20 @@ def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
     assert {x["component_id"] for x in got} == {0}
 
 
+def test_near_copies_make_stars_once_and_not_in_every_tree(spark, monkeypatch):
+    base, made, by_block = words(300, 5, 10**6), [], near_dedup._by_block
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(120)]
+
+    def counted(session, pairs, near):
+        out = near_dedup.written(by_block(session, pairs, near), "counted")
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "_by_block", counted)
+    got = near_dedup.near_duplicates(docs(spark, rows)).collect()
+    assert {x["component_id"] for x in got} == {0} and sum(made) < 4 * len(rows)  # links of full sets included; a star in each of 14 trees is 1600 rows
+
+
 @held
 def test_near_dedup_as_registered_against_all_pairs(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
