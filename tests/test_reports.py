@@ -237,6 +237,19 @@ def test_lsblk_and_cim(spark):
     assert got == {"C:\\": (None, "X", None, False, 0.84, "cim"), "D:\\": ("V", None, "USB", True, 0.84, "cim")}
 
 
+def test_lsblk_trees_are_flattened_in_one_pass_at_any_depth(spark):
+    node = {"mountpoint": "/150"}
+    for k in reversed(range(150)):
+        node = {"mountpoint": f"/{k}", "vendor": f"V{k}" if k % 50 == 0 else " ", "children": [7, node, {"mountpoint": f"/after{k}"}]}
+    wide = {"blockdevices": [{"mountpoints": [f"/[{k}", None, "/s"], "children": [{"model": str(k)}, {"mountpoint": "/c"}]} for k in range(2000)]}
+    rows = devices.lsblk_rows(spark.createDataFrame([("deep", json.dumps({"blockdevices": [node]})), ("wide", json.dumps(wide))], "doc string, text string"))
+    got = [tuple(r) for r in rows.orderBy("doc", "pos").select("doc", "mount_point", "vendor").collect()]
+    assert [g[1:] for g in got if g[0] == "deep"] == [(f"/{k}", f"V{min(k, 149) // 50 * 50}") for k in range(151)] + [(f"/after{k}", f"V{k // 50 * 50}") for k in reversed(range(150))]
+    assert [g[1] for g in got if g[0] == "wide"] == [m for k in range(2000) for m in (f"/[{k}", "/s", "/c")]
+    plan = rows.drop("pos")._jdf.queryExecution().optimizedPlan().toString()
+    assert "UnionLoop" not in plan and "Window" not in plan and "Join" not in plan
+
+
 def test_hints_of_a_platform(spark):
     from types import SimpleNamespace
 
